@@ -232,3 +232,10 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", memory_
     few = keyed.mapInArrow(lambda batches: _combine(batches, names, memory_bytes), schema)
     buckets = few.repartition(F.col(hash_name))
     return buckets.mapInArrow(lambda batches: _grace(batches, 0, names, root, memory_bytes), schema).select(*[f"`{c}`" for c in docs.columns])
+
+
+SQL = """
+SELECT doc_id, text, lang, source, n_chars
+FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) AS nth FROM {documents})
+WHERE nth = 1 OR text IS NULL
+"""

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -188,10 +188,9 @@ def train(texts: dict[str, list[bytes]], held: dict[str, list[bytes]], quantile:
 def fit(docs: DataFrame, per_language: int = 400, text: str = "text", lang: str = "lang", id: str = "doc_id") -> Model:
     """A model from labelled rows of ``docs``: at most ``per_language``
     documents of each language (a documented bound, by the order of a hash of
-    the id and text), of which every fifth is held out for calibration. Rows
+    the id), of which every fifth is held out for calibration. Rows
     without language or text are left out."""
-    known = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{id}`"), F.octet_length(F.col(f"`{text}`"))).alias("h")).where("lang is not null and text is not null and length(text) >= 50")
-    picked = known.groupBy("lang").agg(F.min_by(F.struct("h", "text"), "h", per_language).alias("rows")) if False else _pick(known, per_language)
+    picked = _pick(docs, per_language, text, lang, id)
     texts: dict[str, list[bytes]] = {}
     held: dict[str, list[bytes]] = {}
     for k, r in enumerate(picked):
@@ -201,11 +200,15 @@ def fit(docs: DataFrame, per_language: int = 400, text: str = "text", lang: str
     return train(texts, held)
 
 
-def _pick(known: DataFrame, most: int) -> list:
-    from pyspark.sql import Window
-
+def _pick(docs: DataFrame, most: int, text: str, lang: str, id: str) -> list:
+    """Rows (lang, text, rank). The ranks are found without the texts; a small
+    join then fetches the texts of the chosen rows alone."""
+    named = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.xxhash64(F.col(f"`{id}`").cast("string")).alias("h"), F.col(f"`{text}`").alias("text")).where("lang is not null")
+    by_hash = Window.partitionBy("lang").orderBy("h")
+    first = named.select("lang", "h").withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= most)
+    chosen = named.where("length(text) >= 50").join(F.broadcast(first.select("lang", "h").distinct()), ["lang", "h"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    return known.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("lang", "rank").collect()
+    return chosen.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("lang", "rank").collect()
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
