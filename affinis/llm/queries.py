@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, urls
+from . import bpe, exact_dedup, langid, mixing, near_dedup, quality, urls
 from .shared import table
 
 
@@ -15,6 +15,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), columns=["doc_id", "source"])
 
@@ -33,7 +42,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op7_mix_sources, op8_bpe, op9_langid, op10_url_filter)}
+    return {f.__name__: f for f in (op2_exact_dedup, op5_quality, op6_near_dedup, op7_mix_sources, op8_bpe, op9_langid, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

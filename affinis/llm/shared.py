@@ -102,3 +102,82 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def only(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def grouped(batches, name: str, most: int = 1 << 14):
+    """Tables of whole groups from batches in which the rows of a group, by the
+    column ``name``, follow one another; small groups come together."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        column = only(batch, name)
+        if rows >= most and column[0] != column[-1]:
+            values = column.to_numpy(zero_copy_only=False)
+            cut = batch.num_rows - int(np.argmax(values[::-1] != values[-1]))
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+            held, rows = [batch.slice(cut)], batch.num_rows - cut
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+#: Bytes that make words: ASCII letters (as lower case), digits, and all beyond ASCII; 0 parts words.
+_LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 0 for b in range(256)], np.uint8)
+_POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15 | 1, np.uint64))
+
+
+def _powers(n: int) -> np.ndarray:
+    global _POWERS
+    if n > len(_POWERS):
+        _POWERS = np.cumprod(np.full(2 * n, _POWERS[0], np.uint64))
+    return _POWERS
+
+
+def _cuts(letters: np.ndarray, most: int = 1 << 22) -> list[int]:
+    """Places between tokens, some ``most`` bytes apart."""
+    out = [0]
+    while len(letters) - out[-1] > most:
+        gap = np.flatnonzero(letters[out[-1] + most :] == 0)
+        if not len(gap):
+            break
+        out.append(out[-1] + most + int(gap[0]))
+    return [*out, len(letters)]
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray, collapse: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the tokens of all texts, in order, and the offsets
+    (texts + 1) of each text's tokens. A token is a run of bytes for which
+    ``letters`` is not 0, taken for what ``letters`` makes of them; with
+    ``collapse``, equal neighbours count once. Long texts go piece by piece."""
+    whole = letters[data]
+    found, firsts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    cuts = _cuts(whole)
+    for a, b in zip(cuts, cuts[1:]):
+        part = whole[a:b]
+        is_token = part > 0
+        first = is_token.copy()
+        first[1:] &= ~is_token[:-1]
+        heads = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)] - a
+        first[heads] = is_token[heads]
+        starts = np.flatnonzero(first)
+        if not len(starts):
+            continue
+        if collapse:
+            is_token[1:] &= (part[1:] != part[:-1]) | first[1:]
+        at = np.flatnonzero(is_token)
+        heads = np.searchsorted(at, starts)
+        sizes = np.diff(np.append(heads, len(at)))
+        place = np.arange(len(at)) - np.repeat(heads, sizes)
+        value = part[at].astype(np.uint64)
+        value *= _powers(int(sizes.max()) + 1)[place]
+        found.append(mix(np.add.reduceat(value, heads) ^ sizes.astype(np.uint64)))
+        firsts.append(starts + a)
+    return np.concatenate(found), np.searchsorted(np.concatenate(firsts), offsets)
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``tokens`` of letters and digits; case counts only beyond ASCII."""
+    return tokens(data, offsets, _LETTERS)
