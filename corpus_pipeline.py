@@ -1,4 +1,8 @@
-"""The corpus pipeline: from raw documents to token ids in training order."""
+"""The corpus pipeline: from raw documents to token ids in training order.
+
+Every stage but the last takes and returns documents; it works on all that the
+stage before it kept.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +10,43 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinis.llm import bpe, exact_dedup
+from affinis.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from affinis.llm.shared import shared_dir, table
 
-DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier doesn't reject."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model).where("kept").select(*docs.columns)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
-    return exact_dedup.exact_dedup(docs).select(*DOCUMENTS)
+    return exact_dedup.exact_dedup(docs)
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.near_dedup(docs)
+
+
+def in_training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in the order of training, as often as they are read."""
+    return mixing.mix_sources(docs).select(*docs.columns)
 
 
-def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    return bpe.bpe_encode(docs, keep=["doc_id", "source"])
+    return bpe.bpe_encode(docs, keep=["doc_id", "lang", "source"])
 
 
-STAGES = [("exact dedup", distinct_texts), ("BPE", encoded)]
+STAGES = [
+    ("quality classifier", good_documents),
+    ("exact dedup", distinct_texts),
+    ("near dedup", distinct_documents),
+    ("mixing", in_training_order),
+    ("BPE", token_ids),
+]
 
 #: Nearest neighbours, sketches and BPE are beyond SQL.
 ORACLE_SQL = None
