@@ -7,10 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, near_dedup, quality, urls
+from . import ann, bpe, exact_dedup, langid, mixing, near_dedup, quality, urls
 from .shared import table
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op5_quality, op6_near_dedup, op7_mix_sources, op8_bpe, op9_langid, op10_url_filter)}
+    return {f.__name__: f for f in (op1_ann, op2_exact_dedup, op5_quality, op6_near_dedup, op7_mix_sources, op8_bpe, op9_langid, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
