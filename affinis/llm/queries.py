@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, langid, mixing, near_dedup, quality, urls
+from . import ann, bpe, exact_dedup, html_crf, langid, lm_score, mixing, near_dedup, quality, urls
 from .shared import table
 
 
@@ -19,6 +19,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.fit(docs), keep=["doc_id"])
+
+
+def op4_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"), keep=["page_id"])
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
@@ -46,7 +55,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_exact_dedup, op5_quality, op6_near_dedup, op7_mix_sources, op8_bpe, op9_langid, op10_url_filter)}
+    every = (op1_ann, op2_exact_dedup, op3_lm_score, op4_html_content, op5_quality, op6_near_dedup, op7_mix_sources, op8_bpe, op9_langid, op10_url_filter)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
