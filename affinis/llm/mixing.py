@@ -45,7 +45,7 @@ def _schedules(totals: DataFrame, schedule: dict[str, list[tuple[float, float]]]
                 return u if b == a else u + (v - u) * (t - a) / (b - a)
         return knots[0][1] if t < knots[0][0] else knots[-1][1]
 
-    lines = {s: [at(k, t) for t in times] for s, k in schedule.items()}
+    lines = {s: [float(at(k, t)) for t in times] for s, k in schedule.items()}
     if any(w < 0 for line in lines.values() for w in line):
         raise ValueError("weights are at least 0")
     spark = totals.sparkSession
@@ -121,7 +121,7 @@ def mix_sources(docs: DataFrame, schedule: dict[str, list[tuple[float, float]]]
     ranked = ranked.withColumn("times", times.cast("long")).where("times > 0")
     epochs = ranked.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
     x = epochs.withColumn("x", F.when(F.col("budget") > 0, (F.col("start") + F.col("epoch") * F.col("supply")) / F.col("budget")).otherwise(F.lit(0.0)))
-    piece = F.coalesce(F.element_at(F.filter("pieces", lambda p: (p["high"] > F.col("x")) & (p["width"] > 0)), 1), F.element_at("pieces", -1))
+    piece = F.coalesce(F.get(F.filter("pieces", lambda p: (p["high"] > F.col("x")) & (p["width"] > 0)), F.lit(0)), F.element_at("pieces", -1))
     x = x.withColumn("p", piece)
     y = F.col("x") - F.col("p.low")
     slope = (F.col("p.v") - F.col("p.w")) / F.col("p.width")
