@@ -36,7 +36,7 @@ _A = mix(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) |
 _B = mix(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _W = mix(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 #: Rows of a table that may be broadcast; larger ones are joined by a shuffle.
-SMALL = 2_000_000
+SMALL = 400_000
 
 
 def shingles(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
