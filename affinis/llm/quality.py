@@ -58,7 +58,7 @@ def _repetition(hashes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     # the row's number in the upper bits, so that one sort parts the texts
     keys = np.sort((row.astype(np.uint64) << np.uint64(44)) | (runs >> np.uint64(20)))
     again = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> np.uint64(44)).astype(np.int64), minlength=n)
-    return LEVELS * again // (np.bincount(row, minlength=n) + 12)  # a short text that repeats a line is no junk
+    return LEVELS * again // (np.bincount(row, minlength=n) + 40)  # a short text that repeats a line is no junk
 
 
 class Model:
