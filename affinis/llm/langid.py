@@ -9,7 +9,8 @@ gives all languages' values at once, scaled by what each language leaves for
 n-grams it has not seen in that context.
 
 The language of the lowest cross-entropy per character wins, if that is not
-above the language's own threshold, calibrated on held-out labelled text.
+above the language's own threshold, calibrated on held-out labelled text and
+higher for short texts.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .shared import fresh, mix, only, steps, utf8
 
 ORDER = 4
 DISCOUNT = 0.75
+#: A short text's entropy is uncertain: the threshold is higher by this over the root of its characters.
+SHORT = 2.0
 #: Characters of a text that one step scores; longer texts go in pieces.
 PIECE = 1 << 17
 
@@ -134,7 +137,7 @@ def _count(c: np.ndarray, pos: np.ndarray) -> list[tuple[np.ndarray, np.ndarray,
     return out
 
 
-def train(texts: dict[str, list[bytes]], held: dict[str, list[bytes]], quantile: float = 0.995, margin: float = 0.35) -> Model:
+def train(texts: dict[str, list[bytes]], held: dict[str, list[bytes]], quantile: float = 0.995, margin: float = 0.6) -> Model:
     """A model of the languages in ``texts``; ``held`` calibrates: a language's
     threshold is the quantile of the cross-entropies of its held-out texts of 50
     characters or more, plus ``margin`` nats a character."""
@@ -251,7 +254,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
                 entropy = -total / np.maximum(sizes, 1)[:, None] if m.languages else np.zeros((len(points), 1))
                 best = entropy.argmin(1)
                 least = entropy[np.arange(len(points)), best]
-                accepted = ok & (least <= m.thresholds[best] if m.languages else False)
+                accepted = ok & (least <= m.thresholds[best] + SHORT / np.sqrt(np.maximum(sizes, 1)) if m.languages else False)
                 name = names[np.where(accepted, best, len(m.languages))]
                 yield pa.RecordBatch.from_arrays([*[only(batch, f.name) for f in kept], pa.array(name, pa.string(), mask=~known), pa.array(np.round(least, 4), mask=~ok)], names=schema.names)
 
