@@ -36,7 +36,6 @@ def ngrams(column: Column, n: int = 3) -> Column:
 
 def ngram_cosine(a: Column, b: Column, n: int = 3) -> Column:
     """Cosine of the n-gram counts of two texts; null if either has none."""
-    x, y = ngrams(a, n), ngrams(b, n)
 
     def times(g: Column, grams: Column) -> Column:
         return F.size(F.filter(grams, lambda h: h == g))
@@ -44,8 +43,13 @@ def ngram_cosine(a: Column, b: Column, n: int = 3) -> Column:
     def product(p: Column, q: Column) -> Column:
         return F.aggregate(F.array_distinct(p), F.lit(0).cast("long"), lambda s, g: s + times(g, p) * times(g, q))
 
-    size = product(x, x).cast("double") * product(y, y)
-    return F.when(size > 0, product(x, y) / F.sqrt(size))
+    def cosine(sides: Column) -> Column:
+        x, y = sides["x"], sides["y"]
+        size = product(x, x).cast("double") * product(y, y)
+        return F.when(size > 0, product(x, y) / F.sqrt(size))
+
+    # a lambda's argument is computed once; an expression inside its body would be for every n-gram
+    return F.transform(F.array(F.struct(ngrams(a, n).alias("x"), ngrams(b, n).alias("y"))), cosine)[0]
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

@@ -36,6 +36,9 @@ def rank_cut(pairs: DataFrame, k: int) -> DataFrame:
 
 def _unit(column: pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks()
+    sizes = pa.compute.list_value_length(column)
+    if len(column) and pa.compute.min(sizes) != pa.compute.max(sizes):
+        raise ValueError("vectors of one block have different sizes")
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = x.reshape(len(column), -1)
     return x / np.sqrt((x * x).sum(1, keepdims=True))

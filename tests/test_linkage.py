@@ -145,3 +145,9 @@ def test_empty_tables(sides):
     assert linkage.merge(left, right.limit(0), on="name").count() == 0
     assert linkage.merge_range(left, right.limit(0), on="name").count() == 6
     assert linkage.merge_edit(left, right, "name", "name", "id", "id").where(F.col("score").isNull()).count() == 0
+
+
+def test_vectors_of_different_sizes_raise(spark):
+    df = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0, 3.0])], "id long, v array<double>")
+    with pytest.raises(Exception, match="different sizes"):
+        linkage.merge_knn(df, df, embedder=Precomputed("v"), left_id="id", right_id="id").collect()

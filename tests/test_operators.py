@@ -122,7 +122,9 @@ def test_classify(spark):
 # graphs and clusters
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, graph.ONE_TASK])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "ONE_TASK", most)
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(r.randrange(100, 300), r.randrange(100, 300)) for _ in range(120)] + [(500, 500)]
     parent = {}
