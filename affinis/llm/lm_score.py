@@ -46,6 +46,7 @@ _SIGN = np.array([[1 if v >> 7 - k & 1 else -1 for k in range(8)] for v in range
 #: The kind of the byte before: letter or digit, other ASCII, beyond ASCII.
 _KIND = np.array([0 if chr(b).isalnum() and b < 128 else 1 if b < 128 else 2 for b in range(256)])
 _ONE_HOT = np.eye(3, dtype=np.float32)[_KIND]
+_ONES = np.ones((1, BLOCK), np.float32)
 
 
 def width(total_bytes: int) -> int:
@@ -89,7 +90,7 @@ def _count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
         ids, counts = np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids)
         ids, counts = ids[order], counts[order]
         first = np.flatnonzero(np.diff(ids, prepend=-1))
         return ids[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -98,21 +99,22 @@ def _count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
         folds, (data, at) = only(whole, "fold").to_numpy(), utf8(only(whole, "text"))
         for low in range(0, len(data), 1 << 20):
             high = min(len(data), low + (1 << 20))
-            place = np.arange(low, high)
-            row = np.searchsorted(at, place, side="right") - 1
-            place -= at[row]
+            rows = slice(int(np.searchsorted(at, low, side="right")) - 1, int(np.searchsorted(at, high)))
+            starts = at[rows]
+            sizes = np.minimum(at[1:][rows], high) - np.maximum(starts, low)
             before = []
             for k in range(1, max(ORDERS) + 1):
                 b = np.zeros(high - low, np.uint8)
                 b[max(0, k - low) :] = data[max(0, low - k) : high - k]
-                b[place < k] = 0
+                for j in range(k):  # no byte of the text before; the next text, if one is so short, has none there either
+                    b[(where := starts + j - low)[(where >= 0) & (where < high - low)]] = 0
                 before.append(b)
-            fold = folds[row].astype(np.int64)
-            ids = [((base[o] + c) * 2 + fold) << 8 | data[low:high] for o, c in enumerate(_contexts(before, bits))]
-            ids, counts = np.unique(np.concatenate(ids), return_counts=True)
+            fold = np.repeat(folds[rows].astype(np.int32), sizes)
+            parts = [np.unique((((c.astype(np.int32) + np.int32(base[o])) * 2 + fold) << 8) | data[low:high], return_counts=True) for o, c in enumerate(_contexts(before, bits))]
+            ids, counts = (np.concatenate([x[i] for x in parts]) for i in (0, 1))  # orders follow one another
             held.append((ids, counts))
             size += len(ids)
-            if size > 6_000_000:
+            if size > 3_000_000:
                 held = [merged()]
                 size = len(held[0][0])
     if not held:
@@ -193,27 +195,36 @@ def cost(table: np.ndarray, bits: int, data: np.ndarray, starts: np.ndarray, siz
             place = np.arange(low, low + BLOCK)
             live = place < size[:n, None]
             at = start[:n, None] + np.where(live, place, 0)
-            byte = data[at]
-            before = [np.where(place >= k, data[np.maximum(at - k, 0)], 0) for k in range(1, max(ORDERS) + 1)]
-            path, sign = _PATH[byte], _SIGN[byte]
-            gate = _ONE_HOT[before[0]]
+            byte = data.take(at)
+            before = []
+            for k in range(1, max(ORDERS) + 1):
+                before.append(data.take(at - k, mode="clip"))
+                if low == 0:
+                    before[-1][:, :k] = 0
+            path, sign = _PATH.take(byte, axis=0), _SIGN.take(byte, axis=0)
+            gate = _ONE_HOT.take(before[0], axis=0)
             odds, x = np.zeros((n, BLOCK, 8), np.float32), []
             for o, context in enumerate(_contexts(before, bits)):
-                place_in = path + (((base[o] + context) * 2 + fold[:n, None]) << 8)[..., None]
-                x.append(table[place_in] * sign)
-                odds += np.matmul(gate, weights[o][:n]) * x[o]
+                x.append(table.take(path + (((base[o] + context) * 2 + fold[:n, None]) << 8)[..., None]))
+                part = np.matmul(gate, weights[o][:n])
+                part *= x[o]
+                odds += part
             odds *= np.float32(1 / SCALE)
-            final = odds * scale[:n] + sign * shift[:n]
-            e = np.exp(np.minimum(-final, 30))
-            miss = e / (1 + e)
-            paid = np.log(1 + e)
-            paid[~live], miss[~live] = 0, 0
-            total[:n] += paid.sum((1, 2), dtype=np.float64)
+            e = odds * scale[:n]
+            e += shift[:n]
+            e *= sign
+            np.exp(np.minimum(np.negative(e, out=e), 30, out=e), out=e)
+            if not live.all():
+                e *= live[..., None]
+            miss = e + 1
+            total[:n] += np.log(miss).sum((1, 2), dtype=np.float64)
+            np.divide(e, miss, out=miss)
+            miss *= sign
             turned = np.swapaxes(gate, 1, 2)
             for o in range(len(ORDERS)):
-                weights[o][:n] += np.float32(RATE / SCALE) * np.matmul(turned, miss * x[o])
-            scale[:n] += np.float32(LAST_RATE / 8) * (miss * odds).sum(1, keepdims=True)
-            shift[:n] += np.float32(LAST_RATE) * (miss * sign).sum(1, keepdims=True)
+                weights[o][:n] += np.float32(RATE / SCALE) * np.matmul(turned, np.multiply(miss, x[o], out=part))
+            scale[:n] += np.float32(LAST_RATE / 8) * np.matmul(_ONES, np.multiply(miss, odds, out=part))
+            shift[:n] += np.float32(LAST_RATE) * np.matmul(_ONES, miss)
         out[rows] = total / math.log(2)
     return out
 
