@@ -3,7 +3,6 @@ says the same."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import cluster, graph, judge, linkage, metrics, prep, rows, train
 from .operators.embed import Encoder, Precomputed, embed
-from .plans.storage import shared_dir
+from .plans.storage import until_exit
 from .sources import tables
 from .streaming import match
 
@@ -590,7 +589,7 @@ def train_linkage(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey::INTEGER AS p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/part-{uuid.uuid4().hex}.csv"
+    path = until_exit(spark, "part") + "/part.csv"
     tables.write_table(_table(spark, d, "part"), path)
     return tables.read_table(spark, path, "p_partkey int, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
 

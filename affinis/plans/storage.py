@@ -13,10 +13,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; if that
-    is unset (single-machine tests), a temporary one is made."""
+    """The folder all executors share, from ``spark.checkpoint.dir``. If that is
+    unset, a session in one process (tests) gets a temporary one, and a cluster
+    raises ValueError."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="affinis-")
@@ -24,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def until_exit(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder; what is written there goes when the
+    application ends."""
+    path = f"{shared_dir(spark)}/affinis-{what}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -34,10 +45,7 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 def stash(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, the
-    work is done once, and the loss of an executor costs nothing. The files go
-    when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/affinis-{what}-{uuid.uuid4().hex}"
+    work is done once, and the loss of an executor costs nothing."""
+    path = until_exit(df.sparkSession, what)
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
