@@ -18,7 +18,6 @@ a task turns the counts of a page into log-odds.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, only, shared_dir, steps, utf8
+from .shared import fresh, only, steps, until_exit, utf8
 
 ORDERS = (1, 2, 3, 5)
 #: Log-odds are kept in steps of 1/SCALE, as one byte.
@@ -154,7 +153,7 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[str, int]:
     known = docs.select(F.col(f"`{text}`").alias("text")).where("text is not null")
     bits = width(known.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0)
     counts = known.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2))).select("fold", "text").mapInArrow(lambda b: _count(b, bits), "page long, counts binary")
-    path = f"{shared_dir(docs.sparkSession)}/lm-{uuid.uuid4().hex}"
+    path = until_exit(docs.sparkSession, "lm")
     counts.repartition("page").sortWithinPartitions("page").mapInArrow(_pages, "page long, odds binary").write.parquet(path)
     return path, bits
 

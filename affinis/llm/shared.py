@@ -1,19 +1,17 @@
-"""What the operators have in common: Arrow text buffers, names, written tables."""
+"""What the operators have in common: Arrow text buffers, names, tokens."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.storage import shared_dir as shared_dir
+from ..plans.storage import stash as stash
+from ..plans.storage import until_exit as until_exit
+
 #: Bytes of text that one vectorised step works on; bounds a worker's memory.
 STEP_BYTES = 1 << 20
-#: By application, the folder used where the cluster names none.
-_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,36 +30,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; if that
-    is unset (single-machine tests), a temporary one is made."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="affinis-")
-        _own[spark.sparkContext.applicationId] = found
-    return found.rstrip("/")
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    except Exception:  # the session is gone; the cluster's own clean-up remains
-        pass
-
-
-def stash(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, the
-    work is done once, and the loss of an executor costs nothing. The files go
-    when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/affinis-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, and n + 1 offsets; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):

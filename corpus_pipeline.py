@@ -6,12 +6,10 @@ stage before it kept.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from affinis.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from affinis.llm.shared import shared_dir, table
+from affinis.llm.shared import stash, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
-    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
-        docs = spark.read.parquet(f"{root}/{k}")
+        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{k}")
     return docs
