@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import fresh, only, utf8
+from .shared import fresh, map_arrow, only, utf8
 
 #: How the byte-level vocabularies cut text into pieces.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -161,7 +161,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text"
                 new = [lists, pa.array(sizes, mask=~known), pa.array(np.array(same, bool), mask=~known)]
                 yield pa.RecordBatch.from_arrays([only(batch, f.name) for f in kept] + new, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str = VOCABULARY, tokens: str = "tokens", text: str = "text") -> DataFrame:
@@ -192,4 +192,4 @@ def bpe_decode(encoded: DataFrame, vocabulary: str = VOCABULARY, tokens: str = "
                 out.append(coder.decode(values).tobytes().decode(errors="replace"))
             yield pa.RecordBatch.from_arrays([*[only(batch, f.name) for f in kept], pa.array(out, pa.string())], names=schema.names)
 
-    return encoded.mapInArrow(run, schema)
+    return map_arrow(encoded, run, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, only, shared_dir
+from .shared import fresh, map_arrow, only, shared_dir
 
 #: Bits of the hash that one level of partitioning takes.
 LEVEL_BITS = 3
@@ -229,9 +229,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", memory_
     keyed = docs.withColumn(tie, every).withColumn(hash_name, F.when(F.col(text).isNull(), F.col(tie)).otherwise(F.xxhash64(text)))
     root = shared_dir(docs.sparkSession)
     schema = keyed.schema
-    few = keyed.mapInArrow(lambda batches: _combine(batches, names, memory_bytes), schema)
+    few = map_arrow(keyed, lambda batches: _combine(batches, names, memory_bytes), schema)
     buckets = few.repartition(F.col(hash_name))
-    return buckets.mapInArrow(lambda batches: _grace(batches, 0, names, root, memory_bytes), schema).select(*[f"`{c}`" for c in docs.columns])
+    return map_arrow(buckets, lambda batches: _grace(batches, 0, names, root, memory_bytes), schema).select(*[f"`{c}`" for c in docs.columns])
 
 
 SQL = """

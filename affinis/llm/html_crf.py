@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import fresh, only
+from .shared import fresh, map_arrow, only
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][\w:-]*)([^<>]*)>?|<[!?][^<>]*>?", re.S | re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -346,4 +346,4 @@ def extract(pages: DataFrame, page: str = "html", model: Model | None = None, ke
                     goods.append(sum(good))
                 yield pa.RecordBatch.from_arrays([*[only(batch, f.name) for f in kept], pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(goods, pa.int64())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)

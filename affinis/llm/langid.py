@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, mix, only, steps, utf8
+from .shared import fresh, map_arrow, mix, only, steps, utf8
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -258,4 +258,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
                 name = names[np.where(accepted, best, len(m.languages))]
                 yield pa.RecordBatch.from_arrays([*[only(batch, f.name) for f in kept], pa.array(name, pa.string(), mask=~known), pa.array(np.round(least, 4), mask=~ok)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)

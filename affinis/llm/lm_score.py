@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, only, steps, until_exit, utf8
+from .shared import fresh, map_arrow, only, steps, until_exit, utf8
 
 ORDERS = (1, 2, 3, 5)
 #: Log-odds are kept in steps of 1/SCALE, as one byte.
@@ -259,4 +259,4 @@ def score(docs: DataFrame, model: tuple[str, int], text: str = "text", keep: lis
                 per = found / np.maximum(sizes, 1)
                 yield pa.RecordBatch.from_arrays([*[only(batch, f.name) for f in kept], pa.array(sizes, mask=~known), pa.array(np.round(found, 2), mask=~known), pa.array(np.round(per, 4), mask=~known | (sizes == 0))], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)

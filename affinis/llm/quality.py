@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, mix, only, steps, tokens, utf8, words
+from .shared import fresh, map_arrow, mix, only, steps, tokens, utf8, words
 
 WORD_BITS, SHAPE_BITS = 15, 11
 #: Eighths of a text's three-word runs that have stood in it before; each level has so many terms.
@@ -191,4 +191,4 @@ def classify(docs: DataFrame, model: Model, neighbours: int = 15, threshold: flo
                 none = np.isnan(score)
                 yield pa.RecordBatch.from_arrays([*[only(batch, f.name) for f in kept], pa.array(score, mask=none), pa.array(none | (score >= threshold))], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)

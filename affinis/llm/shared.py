@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..plans.storage import shared_dir as shared_dir
 from ..plans.storage import stash as stash
@@ -30,6 +33,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow``, which by itself fails for column names with dots or
+    backquotes; ``run`` sees and gives the names as they are."""
+    if not any(set(".`") & set(c) for c in [*df.columns, *schema.names]):
+        return df.mapInArrow(run, schema)
+    names = df.columns
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
+
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema)])
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, and n + 1 offsets; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):

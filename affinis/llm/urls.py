@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import fresh, mix, only, steps, utf8
+from .shared import fresh, map_arrow, mix, only, steps, utf8
 
 BITS = 16
 SIZES = (3, 4, 5)
@@ -154,4 +154,4 @@ def filter_urls(pages: DataFrame, url: str = "url", threshold: float = 0.5, mode
                 p = np.round(_scores(weights, bias, [u or "" for u in only(batch, url).to_pylist()]), 6)
                 yield pa.RecordBatch.from_arrays([*[only(batch, f.name) for f in kept], pa.array(p, mask=~known), pa.array(p >= threshold, mask=~known)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)

@@ -1,21 +1,30 @@
 """The corpus pipeline: from raw documents to token ids in training order.
 
-Every stage but the last takes and returns documents; it works on all that the
-stage before it kept.
+Every stage but the last takes and returns documents, with all their columns; it
+works on all that the stage before it kept. A document of null text passes every
+stage and has null tokens; one of null id or source is treated like any other,
+as each operator's docstring says; repeated rows become one in exact dedup; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from affinis.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from affinis.llm.shared import stash, table
 
 
+def _columns(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*[f"`{c}`" for c in docs.columns])
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier doesn't reject."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model).where("kept").select(*docs.columns)
+    scored = quality.classify(docs, model)
+    return _columns(scored.where(F.col(f"`{scored.columns[-1]}`")), docs)  # its name, if documents has a column "kept", is another
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +39,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def in_training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in the order of training, as often as they are read."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return _columns(mixing.mix_sources(docs), docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,27 @@ def test_queries_equal_their_sql(spark):
         assert sorted(map(tuple, df.collect()), key=repr) == rows, name
 
 
+def test_edge_cases(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, text_hash string, tokens int, `position` string, `a.b` int"
+    extra = (False, "h", 1, "p", 2)
+    rows = [
+        (1, None, "en", "a", None, *extra), (2, None, None, None, None, *extra), (3, "", "en", "a", 0, *extra), (4, "", "en", "b", 0, *extra),
+        (5, "some plain words of an ordinary text.", "en", "a", 37, *extra), (5, "some plain words of an ordinary text.", "en", "a", 37, *extra),
+        (6, "Some plain words of an ordinary text!", "en", None, 37, *extra), (None, "another text without an id.", None, "b", None, *[None] * 5),
+        (7, "word " * 1000 + "x" * 100_000, "en", "b", 1, *extra),
+    ]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, 1, 0), (5, None, 0), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = table(spark, str(tmp_path), "documents")
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() > 0, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    found = P.run(spark, str(tmp_path)).collect()
+    first = {r.doc_id: r for r in found}
+    assert set(first) == {1, 2, 3, 5, 7, None} and first[1].tokens is None and first[3].tokens == [] and all(r.exact for r in found if r.tokens is not None)
+
+
 def test_planted_copies_in_the_real_table(spark):
     rows = [tuple(r) for r in table(spark, D, "documents").select("doc_id", "text").collect()]
     from test_near_dedup import brute
