@@ -11,8 +11,10 @@ text's score.
 The tables are counts over all documents. Documents are in two folds by a hash
 of their text, and a document is scored by the counts of the other fold, so
 neither it nor its exact copies tell about it. Tables are wider for a larger
-corpus. Counts travel in pages (a range of contexts of one order and fold), and
-a task turns the counts of a page into log-odds.
+corpus, without an end. Counts travel in pages (a range of contexts of one order
+and fold), and a task turns the counts of a page into log-odds. Where an order
+has more contexts than a worker may hold, its pages are written in shards, and a
+worker gathers the log-odds of some texts from one shard after the other.
 """
 
 from __future__ import annotations
@@ -33,8 +35,11 @@ from .shared import fresh, map_arrow, only, steps, until_exit, utf8
 ORDERS = (1, 2, 3, 5)
 #: Log-odds are kept in steps of 1/SCALE, as one byte.
 SCALE = 14.0
-#: Contexts of an order of 3 or more: 2 to this power, by the corpus's size.
+#: Contexts of an order of 3 or more: 2 to the first power at least; a worker
+#: holds 2 to the second at once.
 LEAST_BITS, MOST_BITS = 10, 18
+#: Bytes of text whose log-odds a worker gathers from the shards at a time.
+SPAN = 1 << 23
 PAGE = 256
 BLOCK, TOGETHER = 256, 64
 START_WEIGHTS = (0.2, 0.3, 0.3, 0.35)
@@ -48,7 +53,17 @@ _ONE_HOT = np.eye(3, dtype=np.float32)[_KIND]
 _ONES = np.ones((1, BLOCK), np.float32)
 
 
+def spread(total_bytes: int) -> int:
+    """The contexts of an order of 3 or more, as a power of 2. Hashes have 32
+    bits, so beyond 2^46 bytes of text there is no table."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(2, total_bytes))) - 14)
+    if bits > 32:
+        raise ValueError("contexts have 32 bits: at most 2^46 bytes of text")
+    return bits
+
+
 def width(total_bytes: int) -> int:
+    """Those of them that a worker holds at once."""
     return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(2, total_bytes))) - 14))
 
 
@@ -81,9 +96,28 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.round(odds * SCALE), -127, 127).astype(np.int8)
 
 
+def _windows(data: np.ndarray, at: np.ndarray, first: int, last: int) -> Iterator[tuple[slice, np.ndarray, int, int, list[np.ndarray]]]:
+    """Pieces of the texts' bytes from ``first`` to ``last``: their rows, the
+    bytes of each, the piece's ends, and per byte those before it in its text."""
+    for low in range(first, last, 1 << 20):
+        high = min(last, low + (1 << 20))
+        rows = slice(int(np.searchsorted(at, low, side="right")) - 1, int(np.searchsorted(at, high)))
+        starts = at[rows]
+        sizes = np.minimum(at[1:][rows], high) - np.maximum(starts, low)
+        before = []
+        for k in range(1, max(ORDERS) + 1):
+            b = np.zeros(high - low, np.uint8)
+            b[max(0, k - low) :] = data[max(0, low - k) : max(0, high - k)]
+            for j in range(k):  # no byte of the text before; the next text, if one is so short, has none there either
+                b[(where := starts + j - low)[(where >= 0) & (where < high - low)]] = 0
+            before.append(b)
+        yield rows, sizes, low, high, before
+
+
 def _count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     slots = _slots(bits)
     base = np.cumsum([0, *slots])[:-1]
+    kind = np.int32 if sum(slots) << 9 < 1 << 31 else np.int64
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -96,20 +130,9 @@ def _count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
 
     for whole in batches:
         folds, (data, at) = only(whole, "fold").to_numpy(), utf8(only(whole, "text"))
-        for low in range(0, len(data), 1 << 20):
-            high = min(len(data), low + (1 << 20))
-            rows = slice(int(np.searchsorted(at, low, side="right")) - 1, int(np.searchsorted(at, high)))
-            starts = at[rows]
-            sizes = np.minimum(at[1:][rows], high) - np.maximum(starts, low)
-            before = []
-            for k in range(1, max(ORDERS) + 1):
-                b = np.zeros(high - low, np.uint8)
-                b[max(0, k - low) :] = data[max(0, low - k) : high - k]
-                for j in range(k):  # no byte of the text before; the next text, if one is so short, has none there either
-                    b[(where := starts + j - low)[(where >= 0) & (where < high - low)]] = 0
-                before.append(b)
-            fold = np.repeat(folds[rows].astype(np.int32), sizes)
-            parts = [np.unique((((c.astype(np.int32) + np.int32(base[o])) * 2 + fold) << 8) | data[low:high], return_counts=True) for o, c in enumerate(_contexts(before, bits))]
+        for rows, sizes, low, high, before in _windows(data, at, 0, len(data)):
+            fold = np.repeat(folds[rows].astype(kind), sizes)
+            parts = [np.unique((((c.astype(kind) + kind(base[o])) * 2 + fold) << 8) | data[low:high], return_counts=True) for o, c in enumerate(_contexts(before, bits))]
             ids, counts = (np.concatenate([x[i] for x in parts]) for i in (0, 1))  # orders follow one another
             held.append((ids, counts))
             size += len(ids)
@@ -147,40 +170,99 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def fit(docs: DataFrame, text: str = "text") -> tuple[str, int]:
+def fit(docs: DataFrame, text: str = "text", held: int = MOST_BITS) -> tuple[str, int, int]:
     """Count all of ``docs``; the model is a table in the shared folder (its
-    path) and the width of its contexts. Null and empty texts add nothing."""
+    path), the width of its contexts, and the width of a shard, at most ``held``
+    (of a page at least). Null and empty texts add nothing."""
     known = docs.select(F.col(f"`{text}`").alias("text")).where("text is not null")
-    bits = width(known.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0)
+    bits = spread(known.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0)
+    held = min(bits, held)
     counts = known.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2))).select("fold", "text").mapInArrow(lambda b: _count(b, bits), "page long, counts binary")
     path = until_exit(docs.sparkSession, "lm")
-    counts.repartition("page").sortWithinPartitions("page").mapInArrow(_pages, "page long, odds binary").write.parquet(path)
-    return path, bits
+    pages = counts.repartition("page").sortWithinPartitions("page").mapInArrow(_pages, "page long, odds binary")
+    if held == bits:
+        pages.write.parquet(path)
+    else:  # shard 0 has the orders of 1 and 2
+        shard = F.floor((F.col("page") - _SMALL // PAGE) / ((1 << held) // PAGE)) + 1
+        pages.withColumn("shard", F.greatest(shard, F.lit(0)).cast("long")).write.partitionBy("shard").parquet(path)
+    return path, bits, held
 
 
 _loaded: dict[str, np.ndarray] = {}
-
-
-def load(path: str, bits: int) -> np.ndarray:
-    """All log-odds [contexts of all orders, folds, 256], once a worker."""
+#: Contexts of the orders of 1 and 2.
+_SMALL = sum(_slots(0)[:2])
+
+
+def _read(path: str, first: int, contexts: int) -> np.ndarray:
+    """Log-odds [contexts from ``first``, folds, 256] of the pages in a folder, if there is one."""
+    table = np.zeros((-(-contexts // PAGE), PAGE << 9), np.int8)
+    fs, where = pafs.FileSystem.from_uri(path)
+    for info in fs.get_file_info(pafs.FileSelector(where, allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as file:
+                for batch in pq.ParquetFile(file).iter_batches(64):
+                    for page, odds in zip(batch.column(0).to_pylist(), batch.column(1)):
+                        table[page - first // PAGE] = np.frombuffer(odds.as_buffer(), np.int8)
+    return table.reshape(-1)
+
+
+def load(path: str, bits: int, held: int) -> np.ndarray:
+    """All log-odds [contexts of all orders, folds, 256], once a worker; of a
+    table in shards, those of the orders of 1 and 2."""
     if path not in _loaded:
         _loaded.clear()
-        contexts = sum(_slots(bits))
-        table = np.zeros((-(-contexts // PAGE), PAGE << 9), np.int8)
-        fs, where = pafs.FileSystem.from_uri(path)
-        for info in fs.get_file_info(pafs.FileSelector(where)):
-            if info.path.endswith(".parquet"):
-                with fs.open_input_file(info.path) as file:
-                    for batch in pq.ParquetFile(file).iter_batches(64):
-                        for page, odds in zip(batch.column(0).to_pylist(), batch.column(1)):
-                            table[page] = np.frombuffer(odds.as_buffer(), np.int8)
-        _loaded[path] = table.reshape(-1)
+        _loaded[path] = _read(path, 0, sum(_slots(bits))) if held == bits else _read(f"{path}/shard=0", 0, _SMALL)
     return _loaded[path]
 
 
-def cost(table: np.ndarray, bits: int, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, folds: np.ndarray) -> np.ndarray:
+class Shards:
+    """The log-odds of the orders of 3 and more for some texts, gathered from one
+    shard after the other; texts of more than SPAN bytes together are one text,
+    which is read from its start to its end."""
+
+    def __init__(self, path: str, bits: int, held: int, data: np.ndarray, at: np.ndarray, folds: np.ndarray) -> None:
+        self.path, self.bits, self.held = path, bits, held
+        self.data, self.at, self.folds = data, at, folds
+        self.low = self.high = 0
+
+    def _fill(self, first: int) -> None:
+        self.low, self.high = first, min(len(self.data), first + SPAN)
+        n, more = self.high - first, self.bits - self.held
+        large = len(ORDERS) - 2
+        contexts, fold = np.empty((large, n), np.uint32), np.empty(n, np.uint8)
+        for rows, sizes, low, high, before in _windows(self.data, self.at, first, self.high):
+            for o, c in enumerate(_contexts(before, self.bits)[2:]):
+                contexts[o, low - first : high - first] = c
+            fold[low - first : high - first] = np.repeat(1 - self.folds[rows], sizes)
+        self.odds = np.empty((large, n, 8), np.int8)
+        for o in range(large):
+            shard = contexts[o] >> np.uint32(self.held)
+            order = np.argsort(shard, kind="stable")
+            edges = np.searchsorted(shard[order], np.arange((1 << more) + 1))
+            for k, (a, b) in enumerate(zip(edges, edges[1:])):
+                if a == b:
+                    continue
+                number = (o << more) + k
+                table = _read(f"{self.path}/shard={number + 1}", _SMALL + (number << self.held), 1 << self.held)
+                for low in range(a, b, 1 << 18):
+                    some = order[low : min(b, low + (1 << 18))]
+                    slot = ((contexts[o, some] & np.uint32((1 << self.held) - 1)).astype(np.int64) * 2 + fold[some]) << 8
+                    self.odds[o, some] = table.take(_PATH.take(self.data[first + some], axis=0) + slot[:, None])
+
+    def take(self, o: int, at: np.ndarray) -> np.ndarray:
+        """Those of the large order ``o`` at the places of ``at``."""
+        if len(self.data) <= SPAN:
+            if not self.high:
+                self._fill(0)
+        elif at[0, 0] >= self.high:  # SPAN is a number of blocks
+            self._fill(int(at[0, 0]))
+        return self.odds[o].take(at - self.low, axis=0, mode="clip")  # places that don't count lie outside
+
+
+def cost(table: np.ndarray, bits: int, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, folds: np.ndarray, shards: Shards | None = None) -> np.ndarray:
     """Bits that each of some texts costs, under the other fold's counts. Texts
-    advance together, a block at a time, each with its own weights."""
+    advance together, a block at a time, each with its own weights. With
+    ``shards``, the table has the orders of 1 and 2."""
     base = np.cumsum([0, *_slots(bits)])
     out = np.zeros(len(sizes))
     for first in range(0, len(sizes), TOGETHER):
@@ -204,7 +286,7 @@ def cost(table: np.ndarray, bits: int, data: np.ndarray, starts: np.ndarray, siz
             gate = _ONE_HOT.take(before[0], axis=0)
             odds, x = np.zeros((n, BLOCK, 8), np.float32), []
             for o, context in enumerate(_contexts(before, bits)):
-                x.append(table.take(path + (((base[o] + context) * 2 + fold[:n, None]) << 8)[..., None]))
+                x.append(shards.take(o - 2, at) if shards and o > 1 else table.take(path + (((base[o] + context) * 2 + fold[:n, None]) << 8)[..., None]))
                 part = np.matmul(gate, weights[o][:n])
                 part *= x[o]
                 odds += part
@@ -228,7 +310,21 @@ def cost(table: np.ndarray, bits: int, data: np.ndarray, starts: np.ndarray, siz
     return out
 
 
-def score(docs: DataFrame, model: tuple[str, int], text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def _together(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Batches of at least SPAN bytes of text, but for the last."""
+    kept: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        kept.append(batch)
+        size += int(utf8(only(batch, text))[1][-1])
+        if size >= SPAN:
+            yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+            kept, size = [], 0
+    if kept:
+        yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+
+
+def score(docs: DataFrame, model: tuple[str, int, int], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (its columns ``keep``; None: all but the text) with ``n_bytes``,
     ``bits``, the cost of the whole text to 2 decimals, and ``bits_per_byte``,
     to 4.
@@ -243,19 +339,21 @@ def score(docs: DataFrame, model: tuple[str, int], text: str = "text", keep: lis
     source = wanted.withColumn(fold_name, F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(2)))
     kept = [f for f in wanted.schema if f.name in keep]
     schema = T.StructType([*kept, T.StructField(n_name, T.LongType()), T.StructField(b_name, T.DoubleType()), T.StructField(p_name, T.DoubleType())])
-    where, bits = model
+    where, bits, held = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            table = load(where, bits)
-            for first, last in steps(utf8(only(whole, text))[1], 1 << 22):
+        for whole in batches if held == bits else _together(batches, text):
+            table = load(where, bits, held)
+            for first, last in steps(utf8(only(whole, text))[1], 1 << 22 if held == bits else SPAN):
                 batch = whole.slice(first, last - first)
                 known = np.asarray(only(batch, text).is_valid())
                 data, at = utf8(only(batch, text))
                 sizes = np.diff(at)
                 order = np.argsort(-sizes, kind="stable")
                 found = np.zeros(len(sizes))
-                found[order] = cost(table, bits, data, at[:-1][order], sizes[order], only(batch, fold_name).to_numpy(zero_copy_only=False)[order])
+                folds = only(batch, fold_name).to_numpy(zero_copy_only=False)
+                shards = None if held == bits else Shards(where, bits, held, data, at, folds)
+                found[order] = cost(table, bits, data, at[:-1][order], sizes[order], folds[order], shards)
                 per = found / np.maximum(sizes, 1)
                 yield pa.RecordBatch.from_arrays([*[only(batch, f.name) for f in kept], pa.array(sizes, mask=~known), pa.array(np.round(found, 2), mask=~known), pa.array(np.round(per, 4), mask=~known | (sizes == 0))], names=schema.names)
 

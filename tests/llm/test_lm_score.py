@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from affinis.llm import lm_score as L
 
@@ -87,3 +88,46 @@ def test_cost_against_a_bit_by_bit_mixer():
 
 def test_width_grows_with_the_corpus():
     assert [L.width(n) for n in (0, 1 << 25, 1 << 30, 1 << 50)] == [10, 11, 16, 18]
+
+
+def test_the_table_grows_beyond_what_a_worker_holds():
+    assert [L.spread(n) for n in (0, 1 << 25, 1 << 32, 1 << 35, 1 << 40)] == [10, 11, 18, 21, 26]
+
+
+def test_scores_from_shards_equal_those_from_one_table(spark):
+    r = random.Random(6)
+    rows = [(i, t, 1) for i, t in enumerate([*sentences(200), "", "ab", None, "".join(chr(r.randint(33, 900)) for _ in range(5000))])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    whole, parts = L.fit(docs), L.fit(docs, held=8)
+    assert whole[1:] == (10, 10) and parts[1:] == (10, 8)
+    assert L.score(docs, parts).orderBy("doc_id").collect() == L.score(docs, whole).orderBy("doc_id").collect()
+
+
+def test_a_text_longer_than_what_is_gathered_at_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(sentences(60))], SCHEMA)
+    whole, parts = L.fit(docs), L.fit(docs, held=8)
+    data = np.frombuffer(" ".join(sentences(60, 7)).encode(), np.uint8)
+    monkeypatch.setattr(L, "SPAN", 4 * L.BLOCK)
+    at, size, fold = np.array([0, len(data)]), np.array([len(data)]), np.array([1])
+    shards = L.Shards(*parts, data, at, fold)
+    got = L.cost(L.load(*parts), 10, data, at[:1], size, fold, shards)
+    assert shards.low > 0 and got == L.cost(L.load(*whole), 10, data, at[:1], size, fold)
+
+
+def test_counts_of_wide_tables():
+    """Contexts of 21 bits: ids don't fit into 32."""
+    text = " ".join(sentences(20)).encode()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text.decode()])], names=["fold", "text"])
+    found = {}
+    for out in L._count(iter([batch]), 21):
+        for page, counts in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+            for at, n in zip(*np.frombuffer(counts, np.uint32).reshape(2, -1).tolist()):
+                found[page << 17 | at] = n
+    want = {}
+    base = np.cumsum([0, *L._slots(21)]).tolist()
+    for t, byte in enumerate(text):
+        before = [np.array([text[t - k] if t >= k else 0], np.uint8) for k in range(1, 6)]
+        for o, c in enumerate(L._contexts(before, 21)):
+            key = ((base[o] + int(c[0])) * 2 + 1) << 8 | byte
+            want[key] = want.get(key, 0) + 1
+    assert found == want and max(found) >= 1 << 31
