@@ -1,4 +1,4 @@
-"""The corpus pipeline: from raw documents to token ids in training order.
+"""The corpus pipeline: from raw documents to token ids with their training order.
 
 Every stage but the last takes and returns documents, with all their columns; it
 works on all that the stage before it kept. A document of null text passes every
@@ -9,7 +9,8 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinis.llm import bpe, exact_dedup, mixing, near_dedup, quality
@@ -42,9 +43,30 @@ def in_training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _columns(mixing.mix_sources(docs), docs)
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``position``, which grows with the order in which the rows
+    were written: by the part's number, then by the row's place in its file. A
+    read by itself gives files in another order. Rows that come from no file are
+    taken as they stand."""
+    plain = docs.select("doc_id", "lang", "source", "text")
+    try:
+        meta = docs.metadataColumn("_metadata")
+        rows = docs.select("doc_id", "lang", "source", "text", meta["file_path"].alias("file"), meta["row_index"].alias("row"))
+    except AnalysisException:
+        return plain.withColumn("position", F.monotonically_increasing_id())
+    name = F.element_at(F.split("file", "/"), -1)
+    part, piece = (F.regexp_extract(name, r"^part-(\d+)-.*?(?:-c(\d+))?\.", k) for k in (1, 2))
+    number = [F.coalesce(x.try_cast("long"), F.lit(0)) for x in (part, piece)]
+    files = rows.groupBy("file").agg((F.max("row") + 1).alias("n"))
+    before = Window.orderBy(*number, "file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    return rows.join(F.broadcast(files), "file").select("doc_id", "lang", "source", "text", (F.col("skip") + F.col("row")).alias("position"))
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return bpe.bpe_encode(docs, keep=["doc_id", "lang", "source"])
+    """Token ids of every document, and its ``position`` in the order of
+    training, by which a reader sorts: rows of a table have no order."""
+    return bpe.bpe_encode(_placed(docs), keep=["doc_id", "lang", "source", "position"])
 
 
 STAGES = [

@@ -68,3 +68,30 @@ def test_planted_copies_in_the_real_table(spark):
     from test_near_dedup import brute
 
     assert sorted(r.doc_id for r in queries.op6_near_dedup(spark, D).collect()) == brute(rows)
+
+
+def test_positions_give_the_order_in_which_rows_were_written(spark, tmp_path):
+    """Files of uneven size, which a plain read takes out of order."""
+    rows = [(i, "en", "a", f"text {i} " * (1 if i < 20 else 300)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    docs.repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id").write.option("maxRecordsPerFile", 4).parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    assert [r.doc_id for r in read.collect()] != list(range(60))
+    found = P.token_ids(spark, read, D).collect()
+    assert [r.doc_id for r in sorted(found, key=lambda r: r.position)] == list(range(60))
+    assert sorted(r.position for r in found) == list(range(60))
+
+
+def test_run_keeps_the_order_of_mixing(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(P, "stash", lambda df, what, stash=P.stash: written.append(stash(df, what)) or written[-1])
+    out = P.run(spark, D)
+    docs = written[2]
+    again = {}
+    for r in mixing.mix_sources(docs).collect():
+        again.setdefault(r.position, []).append(r.doc_id)
+    found = [r.doc_id for r in sorted(out.collect(), key=lambda r: r.position)]
+    for ids in (again[p] for p in sorted(again)):
+        some, found = found[: len(ids)], found[len(ids) :]
+        assert sorted(some) == sorted(ids)
+    assert found == []
