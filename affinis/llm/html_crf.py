@@ -40,8 +40,6 @@ _IMPLIED = {
 _P = (frozenset(["p"]), frozenset("div td th li article section main body blockquote aside nav header footer".split()))
 #: Text features come first, then hashed features of ancestors.
 TEXT_FEATURES, PATH_FEATURES = 64, 4096
-#: Ancestors beyond this depth add no features.
-DEEPEST = 16
 
 
 def _hashed(kind: str, name: str) -> int:
@@ -49,26 +47,27 @@ def _hashed(kind: str, name: str) -> int:
 
 
 class Paths:
-    """Interned chains of ancestors with their features."""
+    """Interned chains of ancestors with their features, at any depth. A feature
+    counts once in a chain, so that levels of wrappers don't add up."""
 
     def __init__(self, weights: np.ndarray | None = None) -> None:
         self.weights, self.known = weights, {}
-        self.features: list[tuple[int, ...]] = [()]
+        self.features: list[frozenset[int]] = [frozenset()]
         self.scores: list[float] = [0.0]
-        self.depth = [0]
 
     def enter(self, parent: int, tag: str, attributes: str) -> int:
         key = (parent, tag, attributes if "=" in attributes else "")
         found = self.known.get(key)
         if found is None:
-            own = [_hashed("tag", tag)] if self.depth[parent] < DEEPEST else []
-            if key[2] and own:
+            own = {_hashed("tag", tag)}
+            if key[2]:
                 names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower()
-                own += [_hashed("name", w) for w in sorted(set(_WORD.findall(names)))]
+                own.update(_hashed("name", w) for w in _WORD.findall(names))
+            before = self.features[parent]
+            new = sorted(own - before)
             found = self.known[key] = len(self.scores)
-            self.features.append((*self.features[parent], *own) if self.weights is None else ())
-            self.scores.append(self.scores[parent] + (sum(float(self.weights[x]) for x in own) if self.weights is not None else 0.0))
-            self.depth.append(self.depth[parent] + 1)
+            self.features.append(before.union(new) if new else before)
+            self.scores.append(self.scores[parent] + (sum(float(self.weights[x]) for x in new) if self.weights is not None else 0.0))
         return found
 
 
@@ -288,6 +287,17 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[str]:
     return out
 
 
+def deepened(page: str, r: random.Random, most: int = 40) -> str:
+    """``page`` in wrappers, and with divs among its blocks that nothing closes."""
+
+    def wrappers(n: int) -> str:
+        return "".join("<div>" if r.random() < 0.6 else f'<div class="{r.choice(["wrap", "row", "col", "inner", "layout", "container", "box", "grid"])}">' for _ in range(n))
+
+    head, body = page.split("<body>", 1)
+    pieces = re.split(r"(?=<(?:p|h2|nav|aside|footer|header|article|main|section)\b)", body)
+    return f"{head}<body>" + wrappers(r.randint(0, most)) + "".join((wrappers(r.randint(1, 4)) if r.random() < 0.2 else "") + x for x in pieces)
+
+
 def chain(page: str) -> tuple[list[list[int]], list[int]]:
     """Features and labels of a labelled page's blocks."""
     paths = Paths()
@@ -295,13 +305,15 @@ def chain(page: str) -> tuple[list[list[int]], list[int]]:
     for k, (text, path, share) in enumerate(found):
         labels.append(int(text.startswith(_MARK)))
         text = text.lstrip(_MARK) or " "
-        features.append([*text_features(text, share, k == 0), *paths.features[path]])
+        features.append([*text_features(text, share, k == 0), *sorted(paths.features[path])])
     return features, labels
 
 
 @functools.lru_cache(1)
 def default_model() -> Model:
-    return train([c for c in map(chain, labelled_pages()) if c[1]])
+    r = random.Random(11)
+    pages = [deepened(page, r) if k % 4 == 0 else page for k, page in enumerate(labelled_pages())]
+    return train([c for c in map(chain, pages) if c[1]])
 
 
 def extract(pages: DataFrame, page: str = "html", model: Model | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 
@@ -69,3 +70,26 @@ def test_edge_cases(spark):
     assert found[3] == found[4] and found[3]._content == ("A sentence of words, with an end. " * 8).strip()
     assert found[5].n_blocks == 20_000 and found[6].n_blocks == 1
     assert H.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_held_out_pages_with_deep_nesting():
+    """Wrappers, and divs that nothing closes, put most blocks below level 16."""
+    model = H.default_model()
+    right = total = 0
+    for k, page in enumerate(H.labelled_pages(100, seed=78)):
+        deep = H.deepened(page, random.Random(k), 60)
+        paths = H.Paths(model.weights)
+        found = H.blocks(deep, paths)
+        scores = [paths.scores[path] + sum(model.weights[f] for f in H.text_features(text.lstrip(H._MARK) or " ", share, n == 0)) for n, (text, path, share) in enumerate(found)]
+        right += sum(a == text.startswith(H._MARK) for a, (text, _, _) in zip(model.decode(scores), found))
+        total += len(found)
+    assert right / total > 0.96
+
+
+def test_features_of_the_innermost_ancestors_count():
+    weights = np.zeros(H.TEXT_FEATURES + H.PATH_FEATURES)
+    weights[H._hashed("name", "ad")] = -3
+    weights[H._hashed("tag", "div")] = 0.5
+    paths = H.Paths(weights)
+    found = H.blocks("<div>" * 1000 + '<div class="ad">x</div><p>y', paths)
+    assert [paths.scores[path] for _, path, _ in found] == [-2.5, 0.5]
