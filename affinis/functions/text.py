@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import col
+
 SEPARATOR = "</s>"
 
 
@@ -14,7 +16,7 @@ def serialize(columns: list[str], sep: str = SEPARATOR) -> Column:
     separators stand whatever the fields hold."""
     if not columns:
         raise ValueError("no columns to serialise")
-    return F.concat_ws(sep, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
+    return F.concat_ws(sep, *[F.coalesce(col(c).cast("string"), F.lit("")) for c in columns])
 
 
 def ascii_only(column: Column) -> Column:
@@ -23,7 +25,7 @@ def ascii_only(column: Column) -> Column:
 
 def lower_strings(df: DataFrame) -> DataFrame:
     """All string columns in lower case."""
-    return df.select(*[F.lower(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema])
+    return df.select(*[F.lower(col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else col(f.name) for f in df.schema])
 
 
 def ngrams(column: Column, n: int = 3) -> Column:

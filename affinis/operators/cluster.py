@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import col
 from ..functions.text import SEPARATOR
 from ..plans import similarity
 from ..plans.ranking import dense_ids
@@ -62,7 +63,7 @@ def dbscan(pairs: DataFrame, rows: DataFrame, id: str, min_samples: int) -> Data
     near = stash(pairs.where("left_id <> right_id").select("left_id", "right_id"), "near")
     core = stash(near.groupBy("left_id").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_samples).select(F.col("left_id").alias("node")), "core")
     if min_samples <= 1:
-        core = rows.select(F.col(f"`{id}`").alias("node")).distinct()
+        core = rows.select(col(id).alias("node")).distinct()
     inner = near.join(core.withColumnRenamed("node", "left_id"), "left_id", "left_semi").join(core.withColumnRenamed("node", "right_id"), "right_id", "left_semi")
     lone = core.select(F.col("node").alias("left_id"), F.col("node").alias("right_id"))
     component = connected_components(inner.select("left_id", "right_id").union(lone), "left_id", "right_id")
@@ -70,7 +71,7 @@ def dbscan(pairs: DataFrame, rows: DataFrame, id: str, min_samples: int) -> Data
     cores = stash(component.join(numbers, "component").select("node", "cluster"), "cores")
     border = near.join(cores.select(F.col("node").alias("right_id"), "cluster"), "right_id").groupBy(F.col("left_id").alias("node")).agg(F.min("cluster").alias("border"))
     return (
-        rows.select(F.col(f"`{id}`").alias("node")).distinct().join(cores, "node", "left").join(border, "node", "left")
+        rows.select(col(id).alias("node")).distinct().join(cores, "node", "left").join(border, "node", "left")
         .select(F.col("node").alias(id), F.coalesce("cluster", "border", F.lit(-1)).cast("int").alias("cluster"))
     )
 
@@ -194,11 +195,11 @@ def hdbscan(x: np.ndarray, min_cluster_size: int, min_samples: int) -> np.ndarra
 
 def _vectors(df: DataFrame, on: list[str], embedder: Embedder, id: str) -> DataFrame:
     if isinstance(embedder, Precomputed):
-        return df.select(F.col(f"`{id}`").alias("node"), F.col(f"`{embedder.column}`").cast("array<double>").alias("v"))
+        return df.select(col(id).alias("node"), col(embedder.column).cast("array<double>").alias("v"))
     if isinstance(embedder, Encoder):
         from ..functions.text import serialize
 
-        return df.select(F.col(f"`{id}`").alias("node"), embedder.column(serialize(on)).alias("v"))
+        return df.select(col(id).alias("node"), embedder.column(serialize(on)).alias("v"))
     raise ValueError("this clustering needs dense vectors: precomputed ones or an encoder")
 
 
@@ -266,7 +267,7 @@ def dedup_rows(df: DataFrame, on: Keys, embedder: Embedder = Ngrams(), cluster_t
         raise ValueError("noise is 'keep' or 'collapse'")
     name, keys = "__row", _listed(on)
     rows = with_row_ids(df, name, id)
-    first = Window.partitionBy(*[F.col(f"`{c}`") for c in keys]).orderBy(name)
+    first = Window.partitionBy(*[col(c) for c in keys]).orderBy(name)
     distinct = stash(rows.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth"), "distinct")
     params = {"threshold": 0.5, "min cluster size": 2, "metric": "cosine"} if cluster_params is None else cluster_params
     labelled = distinct.join(cluster_labels(distinct, on, embedder, cluster_type, params, name).withColumnRenamed("cluster", "__cluster"), name)

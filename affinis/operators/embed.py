@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import col
+
 
 @dataclass(frozen=True)
 class Precomputed:
@@ -65,7 +67,7 @@ def embed(df: DataFrame, columns: list[str], encoder: Encoder, out: str = "embed
 
     keyed = df.withColumn("_key", serialize(columns, sep))
     vectors = keyed.select("_key").distinct().withColumn(out, encoder.column(F.col("_key")))
-    return keyed.join(vectors, "_key").select(*[f"`{c}`" for c in df.columns], out)
+    return keyed.join(vectors, "_key").select(*[col(c) for c in df.columns], out)
 
 
 def is_openai_embedding(model: str) -> bool:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import col
 from ..plans.ranking import dense_ids
 from ..plans.storage import stash
 
@@ -43,7 +44,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     neighbours and keeps the edges between the replacements, until none is left.
     Hashes make the order random, so chains shrink by a constant factor a round.
     """
-    plain = edges.select(F.col(f"`{src}`").alias("a"), F.col(f"`{dst}`").alias("b")).where("a is not null and b is not null")
+    plain = edges.select(col(src).alias("a"), col(dst).alias("b")).where("a is not null and b is not null")
 
     names = stash(plain.select(F.col("a").alias("n")).union(plain.select("b")).distinct(), "nodes")
 
@@ -77,6 +78,6 @@ def clusters_from_edges(edges: DataFrame, src: str = "src", dst: str = "dst") ->
 
 def edges_from_clusters(clusters: DataFrame, cluster: str = "cluster", node: str = "node") -> DataFrame:
     """All unordered pairs ``src`` < ``dst`` of distinct nodes of one cluster."""
-    one = clusters.select(F.col(f"`{cluster}`").alias("c"), F.col(f"`{node}`").alias("src")).where("c is not null and src is not null").distinct()
+    one = clusters.select(col(cluster).alias("c"), col(node).alias("src")).where("c is not null and src is not null").distinct()
     other = one.select("c", F.col("src").alias("dst"))
     return one.join(other, "c").where("src < dst").select(F.col("c").alias("cluster"), "src", "dst")

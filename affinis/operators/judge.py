@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import col
 from ..plans.storage import stash
 from .linkage import Keys, merge_knn, resolve_keys
 
@@ -65,7 +66,7 @@ def judged(df: DataFrame, answer: str) -> DataFrame:
     def run(parts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse_verdict(None if pd.isna(x) else x) for x in parts], columns=["llm_is_match", "llm_confidence"])
 
-    return df.withColumn("__v", run(F.col(f"`{answer}`"))).select(*[f"`{c}`" for c in df.columns], "__v.llm_is_match", "__v.llm_confidence")
+    return df.withColumn("__v", run(col(answer))).select(*[col(c) for c in df.columns], "__v.llm_is_match", "__v.llm_confidence")
 
 
 @dataclass(frozen=True)
@@ -110,7 +111,7 @@ def merge_k_judge(left: DataFrame, right: DataFrame, judge: Judge, on: Keys = No
     found = merge_knn(left, right, on, k, left_on=left_on, right_on=right_on, suffixes=suffixes, **options)
 
     def side(columns: list[str], suffix: str) -> F.Column:
-        named = [F.col(f"`{c + suffix}`" if c + suffix in found.columns else f"`{c}`").alias(c) for c in columns]
+        named = [col(c + suffix if c + suffix in found.columns else c).alias(c) for c in columns]
         return F.struct(*named)
 
     asked = found.withColumn("__payload", F.to_json(F.struct(side(l, suffixes[0]).alias("left"), side(r, suffixes[1]).alias("right")), {"ignoreNullFields": "false"}))
@@ -122,7 +123,7 @@ def merge_k_judge(left: DataFrame, right: DataFrame, judge: Judge, on: Keys = No
 
     verdicts = judged(stash(asked.mapInPandas(run, schema), "verdicts"), "llm_raw_response")
     order = [*found.columns, "llm_is_match", "llm_confidence", "llm_raw_response"]
-    verdicts = verdicts.select(*[f"`{c}`" for c in order])
+    verdicts = verdicts.select(*[col(c) for c in order])
     return verdicts if confidence_threshold is None else verdicts.where(F.col("llm_confidence") >= confidence_threshold)
 
 

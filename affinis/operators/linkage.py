@@ -16,6 +16,7 @@ import warnings
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import col
 from ..functions import vectors
 from ..functions.text import SEPARATOR, edit_similarity, ngram_cosine, serialize
 from ..plans import similarity
@@ -49,7 +50,7 @@ def with_row_ids(df: DataFrame, name: str, id: str | None = None) -> DataFrame:
     if name in df.columns:
         raise ValueError(f"column {name} exists already")
     if id is not None:
-        return df.withColumn(name, F.col(f"`{id}`"))
+        return df.withColumn(name, col(id))
     return stash(df.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
@@ -58,18 +59,18 @@ def glue(pairs: DataFrame, left: DataFrame, right: DataFrame, suffixes: tuple[st
     own = [c for c in left.columns if c != LEFT]
     other = [c for c in right.columns if c != RIGHT]
     both = set(own) & set(other)
-    a = left.select(LEFT, *[F.col(f"`{c}`").alias(c + suffixes[0] if c in both else c) for c in own])
-    b = right.select(RIGHT, *[F.col(f"`{c}`").alias(c + suffixes[1] if c in both else c) for c in other])
+    a = left.select(LEFT, *[col(c).alias(c + suffixes[0] if c in both else c) for c in own])
+    b = right.select(RIGHT, *[col(c).alias(c + suffixes[1] if c in both else c) for c in other])
     named = pairs.select(F.col("left_id").alias(LEFT), F.col("right_id").alias(RIGHT), "score")
     whole = a.join(named.join(b, RIGHT), LEFT, "left" if how == "left" else "inner")
     ids = [F.col(LEFT).alias("id_lt" + suffixes[0]), F.col(RIGHT).alias("id_lt" + suffixes[1])] if row_ids else []
-    return whole.select(*ids, *[f"`{c}`" for c in a.columns if c != LEFT], *[f"`{c}`" for c in b.columns if c != RIGHT], "score")
+    return whole.select(*ids, *[col(c) for c in a.columns if c != LEFT], *[col(c) for c in b.columns if c != RIGHT], "score")
 
 
 def _block(columns: list[str]):
     if not columns:
         return F.lit("")
-    return F.when(F.greatest(*[F.col(f"`{c}`").isNull() for c in columns], F.lit(False)), F.lit(None)).otherwise(serialize(columns, "\x1f"))
+    return F.when(F.greatest(*[col(c).isNull() for c in columns], F.lit(False)), F.lit(None)).otherwise(serialize(columns, "\x1f"))
 
 
 def matches(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str], embedder: Embedder, k: int | None, threshold: float | None = None, blocks: list[str] | None = None, sep: str = SEPARATOR) -> DataFrame:
@@ -77,7 +78,7 @@ def matches(left: DataFrame, right: DataFrame, left_on: list[str], right_on: lis
     blocks = blocks or []
     block = _block(blocks).alias("block")
     if isinstance(embedder, Precomputed):
-        a, b = (df.select(F.col(id).alias("id"), block, F.col(f"`{embedder.column}`").alias("v")) for df, id in ((left, LEFT), (right, RIGHT)))
+        a, b = (df.select(F.col(id).alias("id"), block, col(embedder.column).alias("v")) for df, id in ((left, LEFT), (right, RIGHT)))
         return similarity.dense(a, b, k, threshold)
     a = left.select(F.col(LEFT).alias("left_id"), block, serialize(left_on, sep).alias("text"))
     b = right.select(F.col(RIGHT).alias("right_id"), block, serialize(right_on, sep).alias("text"))
@@ -166,7 +167,7 @@ def evaluate_pairs(df: DataFrame, left_on: Keys, right_on: Keys, embedder: Embed
     two vector columns."""
     l, r = _listed(left_on), _listed(right_on)
     if isinstance(embedder, Precomputed):
-        score = vectors.cosine(F.col(f"`{l[0]}`"), F.col(f"`{r[0]}`"))
+        score = vectors.cosine(col(l[0]), col(r[0]))
     elif isinstance(embedder, Encoder):
         score = vectors.cosine(embedder.column(serialize(l, sep)), embedder.column(serialize(r, sep)))
     else:
@@ -177,9 +178,9 @@ def evaluate_pairs(df: DataFrame, left_on: Keys, right_on: Keys, embedder: Embed
 def all_pair_combos_evaluate(df: DataFrame, left_on: str, right_on: str, embedder: Embedder = Ngrams()) -> DataFrame:
     """All left values with all right values of one table, and ``score``; every
     distinct value is embedded once."""
-    a = df.select(F.col(f"`{left_on}`").alias("l"))
-    b = df.select(F.col(f"`{right_on}`").alias("r"))
-    values = df.select(F.col(f"`{left_on}`").alias("text")).union(df.select(F.col(f"`{right_on}`").alias("text"))).where("text is not null").distinct()
+    a = df.select(col(left_on).alias("l"))
+    b = df.select(col(right_on).alias("r"))
+    values = df.select(col(left_on).alias("text")).union(df.select(col(right_on).alias("text"))).where("text is not null").distinct()
     items = values.select(F.col("text").alias("id"), F.lit("").alias("block"), "text")
     if isinstance(embedder, Encoder):
         items = stash(items.withColumn("v", embedder.column(F.col("text"))), "vectors")
@@ -196,9 +197,9 @@ def merge_edit(left: DataFrame, right: DataFrame, left_on: str, right_on: str, l
     """Every left row with its right row of most edit similarity, the baseline
     for semantic merges: all distinct pairs of texts are compared."""
     a, b = with_row_ids(left, LEFT, left_id), with_row_ids(right, RIGHT, right_id)
-    l = a.select(F.col(f"`{left_on}`").alias("l")).where("l is not null").distinct()
-    r = b.where(F.col(f"`{right_on}`").isNotNull()).groupBy(F.col(f"`{right_on}`").alias("r")).agg(F.min(RIGHT).alias("right_id"))
+    l = a.select(col(left_on).alias("l")).where("l is not null").distinct()
+    r = b.where(col(right_on).isNotNull()).groupBy(col(right_on).alias("r")).agg(F.min(RIGHT).alias("right_id"))
     score = F.round(edit_similarity(F.col("l"), F.col("r")), similarity.DIGITS)
     best = l.crossJoin(r).withColumn("score", score).groupBy("l").agg(F.min(F.struct((-F.col("score")).alias("s"), "right_id")).alias("b"))
-    pairs = a.select(F.col(LEFT).alias("left_id"), F.col(f"`{left_on}`").alias("l")).join(best, "l").select("left_id", "b.right_id", (-F.col("b.s")).alias("score"))
+    pairs = a.select(F.col(LEFT).alias("left_id"), col(left_on).alias("l")).join(best, "l").select("left_id", "b.right_id", (-F.col("b.s")).alias("score"))
     return glue(pairs, a, b, suffixes)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import col, quoted
 from ..functions.text import SEPARATOR, lower_strings, serialize
 from ..plans.ranking import dense_ids
 from ..plans.storage import stash
@@ -34,11 +35,11 @@ def group_numbers(df: DataFrame, columns: list[str], name: str = "group") -> Dat
     """``df`` with the dense number of each row's key in key order."""
     _check(df, columns)
     keyed = df
-    match = [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in columns]
+    match = [F.col(f"l.{quoted(c)}").eqNullSafe(F.col(f"r.{quoted(c)}")) for c in columns]
     condition = match[0]
     for m in match[1:]:
         condition = condition & m
-    return keyed.alias("l").join(dense_ids(df, columns, name).alias("r"), condition).select("l.*", f"r.`{name}`")
+    return keyed.alias("l").join(dense_ids(df, columns, name).alias("r"), condition).select("l.*", f"r.{quoted(name)}")
 
 
 def prepare_pairs(df: DataFrame, left_on: list[str], right_on: list[str], left_id: list[str] | None = None, right_id: list[str] | None = None, label: str | None = None, sep: str = SEPARATOR) -> DataFrame:
@@ -55,7 +56,7 @@ def prepare_pairs(df: DataFrame, left_on: list[str], right_on: list[str], left_i
         rows = rows.dropna(how="any", subset=right_id)
     named = rows.select(
         serialize(left_on, sep).alias("left_text"), serialize(right_on, sep).alias("right_text"),
-        serialize(l_id, "\x1f").alias("l"), serialize(r_id, "\x1f").alias("r"), *([F.col(f"`{label}`").alias("label")] if label else []),
+        serialize(l_id, "\x1f").alias("l"), serialize(r_id, "\x1f").alias("r"), *([col(label).alias("label")] if label else []),
     )
     first = Window.partitionBy("left_text", "right_text").orderBy("l", "r", *(["label"] if label else []))
     one = stash(named.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n"), "pairs")
@@ -153,7 +154,7 @@ def preprocess(df: DataFrame, left_on: list[str] | None = None, right_on: list[s
 def label_numbers(df: DataFrame, label: str) -> DataFrame:
     """``label`` and ``number``, from 0 in alphabetical order, of a training set;
     to be joined to every split, so numbers agree."""
-    return dense_ids(df.dropna(subset=[label]).select(F.col(f"`{label}`").cast("string").alias(label)), [label], "number")
+    return dense_ids(df.dropna(subset=[label]).select(col(label).cast("string").alias(label)), [label], "number")
 
 
 def classification_data(df: DataFrame, on: list[str], label: str, train: float = 0.8, val: float = 0.1, seed: int = 22) -> DataFrame:
@@ -161,7 +162,7 @@ def classification_data(df: DataFrame, on: list[str], label: str, train: float =
     training split, and a label unknown there has no number. Rows with a null
     label or a null key are dropped."""
     _check(df, [*on, label])
-    rows = df.dropna(subset=[*on, label]).select(serialize(on).alias("text"), F.col(f"`{label}`").cast("string").alias("label"))
+    rows = df.dropna(subset=[*on, label]).select(serialize(on).alias("text"), col(label).cast("string").alias("label"))
     rows = rows.withColumn("split", split_of(F.col("text"), train, val, seed))
     return rows.join(label_numbers(rows.where("split = 'train'"), "label"), "label", "left").select("text", "label", "number", "split")
 
@@ -174,7 +175,7 @@ def pair_rows(clusters: DataFrame) -> DataFrame:
 
 def contrastive_labels(df: DataFrame, label: str) -> DataFrame:
     """``same``/``1`` as 1 and ``different``/``0`` as 0; another label is null."""
-    text = F.lower(F.col(f"`{label}`").cast("string"))
+    text = F.lower(col(label).cast("string"))
     return df.withColumn(label, F.when(text.isin("same", "1"), 1).when(text.isin("different", "0"), 0))
 
 
@@ -186,16 +187,16 @@ def tariff_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def assemble_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str, id: str = "id") -> DataFrame:
     """A table of id pairs with both tables' columns, as ``ltable_`` and ``rtable_``."""
-    a = left.select(*[F.col(f"`{c}`").alias(left_key if c == id else f"ltable_{c}") for c in left.columns])
-    b = right.select(*[F.col(f"`{c}`").alias(right_key if c == id else f"rtable_{c}") for c in right.columns])
+    a = left.select(*[col(c).alias(left_key if c == id else f"ltable_{c}") for c in left.columns])
+    b = right.select(*[col(c).alias(right_key if c == id else f"rtable_{c}") for c in right.columns])
     return pairs.join(a, left_key, "left").join(b, right_key, "left")
 
 
 def unpivot_aliases(df: DataFrame, id: str, columns: list[str], name: str = "name") -> DataFrame:
     """(id, alias_id, name): one row for each alias that is not null."""
-    aliases = F.array(*[F.col(f"`{c}`").cast("string") for c in columns])
-    return df.select(F.col(f"`{id}`"), F.posexplode(aliases).alias("alias_id", name)).where(F.col(name).isNotNull())
+    aliases = F.array(*[col(c).cast("string") for c in columns])
+    return df.select(col(id), F.posexplode(aliases).alias("alias_id", name)).where(F.col(name).isNotNull())
 
 
 def drop_prefixed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*[f"`{c}`" for c in df.columns if not c.startswith(prefix)])
+    return df.select(*[col(c) for c in df.columns if not c.startswith(prefix)])

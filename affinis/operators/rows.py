@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import col
 from ..functions.text import SEPARATOR, serialize
 
 BatchFunction = Callable[[list[str], dict], Sequence]
@@ -40,7 +41,7 @@ def transform_column(df: DataFrame, column: str, transform_fn: BatchFunction, fn
             found = apply_in_chunks(texts, transform_fn, fn_kwargs, chunk_size)
             yield pd.Series([None if x is None else str(x) for x in found], dtype=object)
 
-    return df.withColumn(output_column or f"{column}_transformed", run(F.col(f"`{column}`").cast("string")))
+    return df.withColumn(output_column or f"{column}_transformed", run(col(column).cast("string")))
 
 
 def transform_rows(df: DataFrame, on: str | list[str], transform_fn: BatchFunction, fn_kwargs: dict | None = None, batch_size: int = 50, output_column: str | None = None, sep: str = SEPARATOR) -> DataFrame:
@@ -84,8 +85,8 @@ def to_numbers(df: DataFrame, column: str, label_map: dict[str, int]) -> DataFra
     """The column's names as numbers if all of them are in the map; otherwise
     the names stay, all of them."""
     lookup = F.create_map(*[F.lit(x) for pair in label_map.items() for x in pair]) if label_map else None
-    known = F.col(f"`{column}`").isin(list(label_map))
-    strange = df.where(F.col(f"`{column}`").isNotNull() & ~known)
+    known = col(column).isin(list(label_map))
+    strange = df.where(col(column).isNotNull() & ~known)
     if lookup is None or not strange.isEmpty():
         return df
-    return df.withColumn(column, lookup[F.col(f"`{column}`")])
+    return df.withColumn(column, lookup[col(column)])

@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import col
 from ..functions.text import serialize
 from .embed import Embedder, Ngrams
 from .linkage import evaluate_pairs
@@ -75,7 +76,7 @@ def predict(model: PipelineModel, df: DataFrame, text: str) -> DataFrame:
     """``df`` with ``prediction`` (a label number) and ``probabilities``."""
     named = df.withColumn("text", F.coalesce(F.col(text), F.lit("")))
     out = model.transform(named)
-    return out.select(*[f"`{c}`" for c in df.columns], F.col("prediction").cast("long").alias("prediction"), vector_to_array("probability").alias("probabilities"))
+    return out.select(*[col(c) for c in df.columns], F.col("prediction").cast("long").alias("prediction"), vector_to_array("probability").alias("probabilities"))
 
 
 def supervised_contrastive_loss(vectors: np.ndarray, labels: np.ndarray, temperature: float = 0.07) -> float:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import col
 from ..functions.text import SEPARATOR, serialize
 from ..operators.linkage import Keys, _listed, merge_knn
 
@@ -24,7 +25,7 @@ def start(stream: DataFrame, reference: DataFrame, path: str, checkpoint: str, o
 def exact_match(stream: DataFrame, reference: DataFrame, left_on: Keys, right_on: Keys, sep: str = SEPARATOR) -> DataFrame:
     """A stateless stream-static join on equal keys in lower case."""
     a = stream.withColumn("__key", F.lower(serialize(_listed(left_on), sep)))
-    first = Window.partitionBy("__key").orderBy(*[f"`{c}`" for c in reference.columns])
+    first = Window.partitionBy("__key").orderBy(*[col(c) for c in reference.columns])
     b = reference.withColumn("__key", F.lower(serialize(_listed(right_on), sep))).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
     return a.join(b, "__key", "left").drop("__key")
 
