@@ -4,14 +4,19 @@ Vectors get unit length and a random rotation, after which the first d of D
 dimensions estimate a whole distance. They are put into inverted lists around
 centroids. A query probes the lists whose centroids are nearest. A list is
 scanned in column blocks: after each block, a hypothesis test on the partial
-distance abandons the candidates that will not come below the query's current
-k-th distance; only survivors see the next block.
+distance abandons the candidates that will not come below the query's bound;
+only survivors see the next block. The bound is the k-th least distance so far,
+at first that to some seeds, vectors which every query is compared with and
+which lie in no list.
 
+Centroids have two levels, coarse cells and the lists of each cell, both fitted
+to a bounded sample; every vector is put into a list, by two short comparisons.
 How many lists to probe is calibrated: the true neighbours, among all rows, of
 a sample of queries show how far down the order of lists they lie.
 
-Lists are scanned in groups, and a task holds one group and a share of the
-queries that probe it, so memory is bounded and every row may be a query.
+Lists are scanned in groups of neighbouring ones, and a list with very many
+vectors in several; a task holds one group and a share of the queries that probe
+it, so memory is bounded whatever the lists' sizes, and every row may be a query.
 """
 
 from __future__ import annotations
@@ -21,17 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import grouped, only, stash, utf8
+from .shared import col, fresh, grouped, only, stash, utf8
 
 #: Columns of a block; the test runs after each.
 BLOCK = 16
 #: Vectors of a group of lists, and queries that a task matches with them.
 GROUP_ROWS, TASK_QUERIES = 8192, 16384
+#: The sample to which centroids are fitted has at most so many bytes of floats.
+SAMPLE_BYTES = 32 << 20
+#: Vectors of that sample with which every query is compared.
+SEEDS = 512
 
 
 def rotation(dimensions: int, seed: int = 11) -> np.ndarray:
@@ -50,11 +59,54 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """For unit-free centroids: the list of each row, by squared distance."""
+    """The centroid next to each row, by squared distance."""
     half = (centroids * centroids).sum(1) / 2
     return np.concatenate([np.zeros(0, np.int64), *[(x[a : a + 4096] @ centroids.T - half).argmax(1) for a in range(0, len(x), 4096)]])
 
 
+def _means(x: np.ndarray, centroids: np.ndarray, rounds: int = 4) -> np.ndarray:
+    """Lloyd's rounds from the given centroids; one without rows stays."""
+    for _ in range(rounds):
+        at = _nearest(x, centroids)
+        order = np.argsort(at, kind="stable")
+        some, first, count = np.unique(at[order], return_index=True, return_counts=True)
+        centroids = centroids.copy()
+        centroids[some] = np.add.reduceat(x[order], first) / count[:, None]
+    return centroids
+
+
+class Lists:
+    """``coarse`` [cells, dimensions], ``fine`` [lists, dimensions], the lists of
+    a cell one after the other from ``first``."""
+
+    def __init__(self, sample: np.ndarray, count: int, dimensions: int) -> None:
+        self.coarse = np.zeros((1, dimensions), np.float32)
+        if len(sample):
+            self.coarse = _means(sample, sample[: max(1, math.isqrt(count))])
+        cell = _nearest(sample, self.coarse)
+        fine = []
+        for c in range(len(self.coarse)):
+            own = sample[cell == c]
+            share = min(len(own), max(1, round(count * len(own) / max(1, len(sample)))))
+            fine.append(_means(own, own[:share]) if share else self.coarse[c : c + 1])
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in fine])])
+        self.fine = np.concatenate(fine).astype(np.float32)
+        self.half = (self.fine * self.fine).sum(1) / 2
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The list of each row: the next one of the next cell."""
+        cell = _nearest(x, self.coarse)
+        out = np.zeros(len(x), np.int64)
+        order = np.argsort(cell, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(x) else ():
+            a, b = self.first[cell[rows[0]]], self.first[cell[rows[0]] + 1]
+            out[rows] = a + _nearest(x[rows], self.fine[a:b])
+        return out
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.fine.T - self.half
+
+
 def scan(queries: np.ndarray, candidates: np.ndarray, bound: np.ndarray, epsilon: float, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, squared distance) of the pairs that no test abandoned
     and that lie within ``bound``, each query's squared distance so far.
@@ -85,17 +137,17 @@ def scan(queries: np.ndarray, candidates: np.ndarray, bound: np.ndarray, epsilon
     return pairs[0], pairs[1], np.maximum(distance, 0)
 
 
-def _search(batches: Iterator[pa.RecordBatch], k: int, dimensions: int, centroids: np.ndarray, epsilon: float, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], k: int, dimensions: int, lists: Lists, epsilon: float, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("id", id_type), ("neighbour", id_type), ("cosine", pa.float64())])
     for table in grouped(batches, "part", 1):
         part = table.column("part").to_numpy()
         edges = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
         for a, b in zip(edges, edges[1:]):
             own = table.slice(a, b - a)
-            lists = own.column("list").to_numpy()
-            n = int((lists >= 0).sum())  # candidates come first, by list
+            of = own.column("list").to_numpy()
+            n = int((of >= 0).sum())  # candidates come first, by list
             x, ids = _matrix(own.column("v"), dimensions), own.column("id").combine_chunks()
-            c, q, bars = x[:n], x[n:], own.column("bar").to_numpy()[n:]
+            c, q, bars, bounds = x[:n], x[n:], own.column("bar").to_numpy()[n:], own.column("bound").to_numpy()[n:]
             if not n or not len(q):
                 continue
             order = np.empty(len(ids), np.int64)
@@ -103,12 +155,12 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, dimensions: int, centroid
             same = pa.compute.rank(ids, tiebreaker="dense").to_numpy()
             best_d = np.full((len(q), k), np.inf)
             best_c = np.full((len(q), k), -1, np.int64)
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(lists[:n])) + 1, [n]])
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(of[:n])) + 1, [n]])
             for s, e in zip(starts, starts[1:]):
-                asks = np.flatnonzero(q @ centroids[lists[s]] - (centroids[lists[s]] ** 2).sum() / 2 >= bars - 1e-6)
+                asks = np.flatnonzero(q @ lists.fine[of[s]] - lists.half[of[s]] >= bars - 1e-6)
                 for first in range(0, len(asks), 4096):
                     rows = asks[first : first + 4096]
-                    i, j, d = scan(q[rows], c[s:e], np.minimum(best_d[rows, -1], 8.0), epsilon)
+                    i, j, d = scan(q[rows], c[s:e], np.minimum(best_d[rows, -1], bounds[rows]), epsilon)
                     i, j = rows[i], j + s
                     other = same[n + i] != same[j]
                     i, j, d = i[other], j[other], np.round(d[other].astype(np.float64), 6)
@@ -126,11 +178,12 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, dimensions: int, centroid
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(n + i)), ids.take(pa.array(j)), pa.array(np.round(cosine, 6))], schema=schema)
 
 
-def _prepared(vectors: DataFrame, id: str, vector: str) -> tuple[DataFrame, int]:
-    found = vectors.select(F.col(f"`{id}`").alias("id"), F.col(f"`{vector}`").cast("array<float>").alias("v")).where("id is not null and size(v) > 0")
+def _prepared(vectors: DataFrame, id: str, vector: str, asks: Column | None) -> tuple[DataFrame, int]:
+    asking = F.lit(True) if asks is None else F.coalesce(asks, F.lit(False))
+    found = vectors.select(col(id).alias("id"), col(vector).cast("array<float>").alias("v"), asking.alias("asks")).where("id is not null and size(v) > 0")
     sizes = found.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     dimensions = sizes[0]["n"] if sizes else 1
-    one = found.where(F.size("v") == dimensions).groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+    one = found.where(F.size("v") == dimensions).groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"), F.max("asks").alias("asks"))
     turn = rotation(dimensions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,125 +192,172 @@ def _prepared(vectors: DataFrame, id: str, vector: str) -> tuple[DataFrame, int]
             size = np.sqrt((x * x).sum(1))
             good = np.isfinite(size) & (size > 0)
             turned = (x[good] / size[good, None]).astype(np.float32) @ turn
-            yield pa.RecordBatch.from_arrays([only(batch, "id").filter(pa.array(good)), _binary(turned)], names=["id", "v"])
+            kept = batch.filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([only(kept, "id"), _binary(turned), only(kept, "asks")], names=["id", "v", "asks"])
 
-    return stash(one.mapInArrow(run, T.StructType([found.schema["id"], T.StructField("v", T.BinaryType())])), "vectors"), dimensions
+    return stash(one.mapInArrow(run, T.StructType([found.schema["id"], T.StructField("v", T.BinaryType()), T.StructField("asks", T.BooleanType())])), "vectors"), dimensions
 
 
-def _sums(base: DataFrame, centroids: np.ndarray, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of all rows: each list's vector sum and count."""
+def _sample(base: DataFrame, n: int, dimensions: int) -> tuple[np.ndarray, list, np.ndarray]:
+    """Vectors in the order of a hash of their ids, as many as SAMPLE_BYTES hold
+    (or all): a share of the hash's range, so no task sorts or sends more; and
+    of the first SEEDS ones the ids, in order, and the vectors."""
+    most = max(1, SAMPLE_BYTES // (4 * dimensions))
+    h = F.xxhash64(F.lit("sample"), F.col("id").cast("string"))
+    steps = 1 << 40
+    some = base if n <= most else base.where(F.pmod(h, F.lit(steps)) < int(steps * most / n))
+    rows = sorted((r["h"], r["id"], bytes(r["v"])) for r in some.select(h.alias("h"), "id", "v").collect())
+    seeds = sorted(rows[:SEEDS], key=lambda r: r[1])
+    whole, part = (np.frombuffer(b"".join(v for _, _, v in x), np.float32).reshape(-1, dimensions) for x in (rows, seeds))
+    return whole, [i for _, i, _ in seeds], part
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, count = np.zeros(centroids.shape), np.zeros(len(centroids), np.int64)
-        for batch in batches:
-            x = _matrix(only(batch, "v"), dimensions)
-            at = _nearest(x, centroids)
-            np.add.at(total, at, x)
-            count += np.bincount(at, minlength=len(count))
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some]), pa.array(list(total[some]), pa.list_(pa.float64()))], names=["list", "n", "total"])
-
-    partial = base.mapInArrow(part, "list long, n long, total array<double>")
-    flat = partial.select("list", "n", F.posexplode("total")).groupBy("list", "pos").agg(F.sum("col").alias("s"), F.sum("n").alias("n"))
-    total, count = np.zeros(centroids.shape), np.zeros(len(centroids), np.int64)
-    found = flat.toPandas()
-    total[found["list"], found["pos"]] = found["s"]
-    count[found["list"]] = found["n"]
-    return total, count
-
-
-def _calibrate(placed: DataFrame, centroids: np.ndarray, dimensions: int, k: int, recall: float, sample: int) -> int:
+
+def _calibrate(placed: DataFrame, lists: Lists, dimensions: int, k: int, recall: float, sample: int) -> tuple[int, np.ndarray]:
     """The number of lists that hold the share ``recall`` of the true neighbours,
-    among all rows, of ``sample`` queries."""
-    asked = placed.orderBy(F.xxhash64(F.lit("query"), F.col("id").cast("string"))).limit(sample).select("v").collect()
-    q = np.stack([np.frombuffer(r["v"], np.float32) for r in asked])
+    among all rows, of ``sample`` queries; and those queries."""
+    asked = placed.where("asks").orderBy(F.xxhash64(F.lit("query"), F.col("id").cast("string"))).limit(sample).select("v").collect()
+    q = np.frombuffer(b"".join(r["v"] for r in asked), np.float32).reshape(-1, dimensions)
+    if not len(q):
+        return 1, q
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, where = np.full((len(q), k + 1), -9.0, np.float32), np.full((len(q), k + 1), -1)
         for batch in batches:
             near = np.hstack([best, q @ _matrix(only(batch, "v"), dimensions).T])
-            lists = np.hstack([where, np.broadcast_to(only(batch, "list").to_numpy(), (len(q), batch.num_rows))])
+            of = np.hstack([where, np.broadcast_to(only(batch, "list").to_numpy(), (len(q), batch.num_rows))])
             top = np.argpartition(-near, k, axis=1)[:, : k + 1]
-            best, where = np.take_along_axis(near, top, 1), np.take_along_axis(lists, top, 1)
+            best, where = np.take_along_axis(near, top, 1), np.take_along_axis(of, top, 1)
         i, j = np.nonzero(where >= 0)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(best[i, j].astype(np.float64)), pa.array(where[i, j])], names=["q", "near", "list"])
 
-    found = placed.mapInArrow(run, "q long, near double, list long")
+    found = placed.select("v", "list").mapInArrow(run, "q long, near double, list long")
     nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "list"))
     true = found.withColumn("nth", nth).where(F.col("nth") <= k + 1).where("nth > 1").toPandas()  # the first is the query itself
     if not len(true):
-        return len(centroids)
-    score = q @ centroids.T - (centroids * centroids).sum(1) / 2
-    place = np.argsort(np.argsort(-score, axis=1), axis=1)[true["q"], true["list"]]
-    return int(np.quantile(place, recall, method="higher")) + 1
+        return len(lists.fine), q
+    place = np.argsort(np.argsort(-lists.scores(q), axis=1), axis=1)[true["q"], true["list"]]
+    return int(np.quantile(place, recall, method="higher")) + 1, q
+
+
+def _groups(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first group of each list, and in how many groups it is: short lists
+    share one with their neighbours, a longer one than a group has some alone."""
+    first, shares = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    group, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > GROUP_ROWS:
+            group, held = group + 1, 0
+        first[i], shares[i] = group, max(1, -(-n // GROUP_ROWS))
+        group, held = group + shares[i] - 1, held + n if shares[i] == 1 else GROUP_ROWS
+    return first, shares
+
+
+def _hits(scores: np.ndarray, bar: np.ndarray, first: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, group) of the groups in which each row probes a list."""
+    row, of = np.nonzero(scores >= bar[:, None] - 1e-6)
+    many = shares[of]
+    ends = np.cumsum(many)
+    row, group = np.repeat(row, many), np.repeat(first[of], many) + np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many, many)
+    groups = int((first + shares).max())
+    both = np.unique(row * groups + group)
+    return both // groups, both % groups
+
 
+def _bars(scores: np.ndarray, probes: int) -> np.ndarray:
+    """Each row's ``probes``-th best score."""
+    return -np.partition(-scores, probes - 1, axis=1)[:, probes - 1]
 
-def nearest(vectors: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", recall: float = 0.96, sample: int = 400, epsilon: float = 2.1) -> DataFrame:
+
+def nearest(vectors: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", recall: float = 0.96, sample: int = 400, epsilon: float = 2.1, asks: Column | None = None) -> DataFrame:
     """``id``, ``neighbour``, ``cosine`` (to 6 decimals) and ``rank`` 1 to ``k``
-    for the rows of ``vectors``, every one a query against all others.
+    for the rows of ``vectors`` that meet the condition ``asks`` (None: every
+    row), each against all other rows.
 
     ``recall`` is the share of true neighbours for which lists are probed, by a
     calibration with ``sample`` queries; ``epsilon`` is the caution of the tests.
-    Ties (squared distances equal to 6 decimals) go to the lesser neighbour id.
-    With fewer than k + 1 vectors there are fewer ranks. Rows of null id, of
+    Centroids are fitted to a sample of at most SAMPLE_BYTES; every row is in a
+    list. Ties (squared distances equal to 6 decimals) go to the lesser neighbour
+    id. With fewer than k + 1 vectors there are fewer ranks. Rows of null id, of
     null, empty or zero vector, of a null or infinite component, or of another
     size than most, are left out. Of rows with one id the one with the least
-    hash of its vector counts. An empty table gives an empty table.
+    hash of its vector counts, and it asks if one of them does. An empty table,
+    or one in which no row asks, gives an empty table. If ``id`` has one of the
+    new names, the new one gets an underscore before its name.
     """
-    base, dimensions = _prepared(vectors, id, vector)
-    n = base.count()
-    count = max(1, math.isqrt(n))
-    first = base.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(count).select("v").collect()
-    centroids = np.stack([np.frombuffer(r["v"], np.float32) for r in first]) if first else np.zeros((1, dimensions), np.float32)
-    for _ in range(3):
-        total, sizes = _sums(base, centroids, dimensions)
-        centroids = np.where(sizes[:, None] > 0, total / np.maximum(sizes, 1)[:, None], centroids).astype(np.float32)
+    base, dimensions = _prepared(vectors, id, vector, asks)
+    n, n_asks = base.agg(F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).collect()[0]
+    drawn, seed_ids, seeds = _sample(base, n, dimensions)
+    lists = Lists(drawn, max(1, math.isqrt(n)), dimensions)
     id_field = base.schema["id"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_nearest(_matrix(only(batch, "v"), dimensions), centroids))], names=["id", "v", "list"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists.place(_matrix(only(batch, "v"), dimensions)))], names=["id", "v", "asks", "list"])
 
     placed = stash(base.mapInArrow(place, T.StructType([*base.schema, T.StructField("list", T.LongType())])), "placed")
-    probes = _calibrate(placed, centroids, dimensions, k, recall, sample) if n else 1
-    sizes = np.zeros(len(centroids), np.int64)
+    probes, tried = _calibrate(placed, lists, dimensions, k, recall, sample)
+    sizes = np.zeros(len(lists.fine), np.int64)
     for r in placed.groupBy("list").count().collect():
         sizes[r["list"]] = r["count"]
-    group_of = (np.cumsum(sizes) - sizes) // GROUP_ROWS
-    groups = int(group_of[-1]) + 1
-    expected = n * min(1.0, probes / groups)
-    salts = max(1, math.ceil(expected / TASK_QUERIES))
-    schema = T.StructType([T.StructField("part", T.LongType()), id_field, placed.schema["v"], T.StructField("list", T.LongType()), T.StructField("bar", T.DoubleType())])
-    half = (centroids * centroids).sum(1) / 2
-    sent = placed.sparkSession.sparkContext.broadcast((centroids, half, group_of))  # grows with the root of the rows
+    first, shares = _groups(sizes)
+    # how many queries will come to each group, by those of the calibration
+    expected = np.bincount(_hits(lists.scores(tried), _bars(lists.scores(tried), probes), first, shares)[1], minlength=int((first + shares).max())) if len(tried) else np.zeros(int((first + shares).max()))
+    salts = np.maximum(1, np.ceil((expected + 1) / max(1, len(tried)) * n_asks / TASK_QUERIES)).astype(np.int64)
+    base_part = np.cumsum(salts) - salts
+    schema = T.StructType([T.StructField("part", T.LongType()), id_field, placed.schema["v"], T.StructField("list", T.LongType()), T.StructField("bar", T.DoubleType()), T.StructField("bound", T.DoubleType())])
+    id_type = to_arrow_type(id_field.dataType)
+    sent = placed.sparkSession.sparkContext.broadcast((lists, first, shares, salts, base_part, seeds, pa.array(seed_ids, id_type)))  # grows with the root of the rows
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids, half, group_of = sent.value
-        edges = np.flatnonzero(np.diff(group_of, prepend=-1))
+        lists, first, shares, salts, base_part, near, _ = sent.value
         for whole in batches:
             for low in range(0, whole.num_rows, 4096):
                 batch = whole.slice(low, 4096)
-                score = _matrix(only(batch, "v"), dimensions) @ centroids.T - half
-                bar = -np.partition(-score, probes - 1, axis=1)[:, probes - 1]
-                hit = np.add.reduceat((score >= bar[:, None] - 1e-6).astype(np.int32), edges, axis=1) > 0
-                row, edge = np.nonzero(hit)
-                salt = only(batch, "salt").to_numpy()[row]
+                x = _matrix(only(batch, "v"), dimensions)
+                score = lists.scores(x)
+                bar = _bars(score, probes)
+                bound = np.full(len(x), 8.0)
+                if len(near) > k:  # one of them may be the query itself
+                    bound = np.minimum(bound, 2 - 2 * _bars(x @ near.T, k + 1).astype(np.float64) + 1e-5)
+                row, group = _hits(score, bar, first, shares)
+                part = base_part[group] + only(batch, "salt").to_numpy()[row] % salts[group]
                 taken = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(group_of[edges[edge]] * salts + salt), only(batch, "id").take(taken), only(batch, "v").take(taken), pa.array(np.full(len(row), -1)), pa.array(bar[row].astype(np.float64))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(part), only(batch, "id").take(taken), only(batch, "v").take(taken), pa.array(np.full(len(row), -1)), pa.array(bar[row].astype(np.float64)), pa.array(bound[row])], names=schema.names)
 
-    salted = placed.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), F.col("id").cast("string")), F.lit(salts)))
-    queries = salted.mapInArrow(ask, schema)
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), F.col("id").cast("string")), F.lit(1 << 30)))
+    queries = salted.where("asks").mapInArrow(ask, schema)
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group_of = sent.value[2]
+        _, first, shares, salts, base_part, _, seed_ids = sent.value
         for batch in batches:
-            lists = only(batch, "list").to_numpy()
-            for salt in range(salts):
-                yield pa.RecordBatch.from_arrays([pa.array(group_of[lists] * salts + salt), only(batch, "id"), only(batch, "v"), only(batch, "list"), pa.nulls(len(lists), pa.float64())], names=schema.names)
-
-    both = placed.mapInArrow(offer, schema).union(queries).repartition("part").sortWithinPartitions(F.col("part"), F.col("list") < 0, F.col("list"))
-    id_type = to_arrow_type(id_field.dataType)
-    found = both.mapInArrow(lambda b: _search(b, k, dimensions, sent.value[0], epsilon, id_type), T.StructType([id_field, T.StructField("neighbour", id_field.dataType), T.StructField("cosine", T.DoubleType())]))
+            batch = batch.filter(pa.compute.invert(pa.compute.is_in(only(batch, "id"), seed_ids)))
+            of, salt = only(batch, "list").to_numpy(), only(batch, "salt").to_numpy()
+            group = first[of] + salt % shares[of]
+            for low in range(int(salts[group].max()) if len(group) else 0):
+                row = np.flatnonzero(salts[group] > low)
+                some, none = batch.take(pa.array(row)), pa.nulls(len(row), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(base_part[group[row]] + low), only(some, "id"), only(some, "v"), only(some, "list"), none, none], names=schema.names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, seed_ids = sent.value[-2:]
+        for whole in batches:
+            for low in range(0, whole.num_rows, 4096):
+                batch = whole.slice(low, 4096)
+                x, ids = _matrix(only(batch, "v"), dimensions), only(batch, "id")
+                own = pa.compute.index_in(ids, seed_ids).fill_null(-1).to_numpy(zero_copy_only=False)
+                d = np.round(2 - 2 * (x @ near.T).astype(np.float64), 6)
+                d[np.flatnonzero(own >= 0), own[own >= 0]] = np.inf
+                j = np.argsort(d, axis=1, kind="stable")[:, :k]  # seeds are in the order of their ids
+                i = np.repeat(np.arange(len(x)), j.shape[1])
+                j = j.ravel()
+                i, j = i[j != own[i]], j[j != own[i]]
+                cosine = np.einsum("ij,ij->i", x[i].astype(np.float64), near[j].astype(np.float64))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), seed_ids.take(pa.array(j)), pa.array(np.round(cosine, 6))], names=found_schema.names)
+
+    found_schema = T.StructType([id_field, T.StructField("neighbour", id_field.dataType), T.StructField("cosine", T.DoubleType())])
+    both = salted.mapInArrow(offer, schema).union(queries).repartition("part").sortWithinPartitions(F.col("part"), F.col("list") < 0, F.col("list"))
+    found = both.mapInArrow(lambda b: _search(b, k, dimensions, sent.value[0], epsilon, id_type), found_schema)
+    found = found.union(placed.where("asks").select("id", "v").mapInArrow(compare, found_schema))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("id", id)
-
+    new = fresh(vectors.select(col(id)), "neighbour", "cosine", "rank")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).toDF(id, *new)

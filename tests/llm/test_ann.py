@@ -25,6 +25,36 @@ def test_recall(spark, clustered):
     assert (found.sort_values(["vec_id", "rank"])["rank"].to_numpy().reshape(-1, 10) == np.arange(1, 11)).all()
 
 
+def test_the_query_against_brute_force(spark):
+    """Every row whose id is divisible by 20, against all rows of the real table."""
+    from affinis.llm import queries
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    true = {ids[i]: set(ids[row]) for i, row in enumerate(brute(x, 10)) if ids[i] % 20 == 0}
+    found = queries.op1_ann(spark, "/root/testdata/sf0.1").toPandas()
+    got = found.groupby("vec_id")["neighbour"].apply(set)
+    assert set(got.index) == set(true) and len(found) == 10 * len(true)
+    assert np.mean([len(true[i] & got[i]) / 10 for i in true]) >= 0.9
+
+
+def test_a_list_with_most_of_the_rows_is_split(spark, monkeypatch):
+    """Copies of one vector make a list longer than a group; none is lost."""
+    monkeypatch.setattr(ann, "GROUP_ROWS", 64)
+    monkeypatch.setattr(ann, "TASK_QUERIES", 32)
+    rng = np.random.default_rng(3)
+    x = np.vstack([np.tile(rng.standard_normal(16), (300, 1)), rng.standard_normal((300, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "neighbour long, embedding array<float>")
+    found = ann.nearest(df, id="neighbour", recall=1.0)
+    assert found.columns == ["neighbour", "_neighbour", "cosine", "rank"]
+    by = found.toPandas().groupby("neighbour")["_neighbour"].apply(list)
+    assert by[0] == list(range(1, 11)) and by[299] == list(range(10))
+    true = brute(x, 10)
+    assert np.mean([len(set(by[i]) & set(true[i])) / 10 for i in range(300, 600)]) >= 0.97
+    first, shares = ann._groups(np.array([10, 200, 30, 30, 64, 1]))
+    assert first.tolist() == [0, 1, 5, 5, 6, 7] and shares.tolist() == [1, 4, 1, 1, 1, 1]
+
+
 def test_small_tables_are_exact_and_ties_go_by_id(spark):
     rows = [(i, [1.0, 0.0, 0.0]) for i in range(30)] + [(100, [0.0, 2.0, 0.0]), (101, [0.0, 1.0, 0.1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
