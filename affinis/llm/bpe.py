@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import fresh, map_arrow, only, utf8
+from .shared import col, fresh, map_arrow, only, utf8
 
 #: How the byte-level vocabularies cut text into pieces.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -139,7 +139,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text"
     driver and sent to the executors.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    source = docs.select(*[f"`{c}`" for c in keep if c != text], f"`{text}`")
+    source = docs.select(*[col(c) for c in keep if c != text], col(text))
     tokens, n_tokens, exact = fresh(source, "tokens", "n_tokens", "exact")
     kept = [f for f in source.schema if f.name != text or text in keep]
     schema = T.StructType([*kept, T.StructField(tokens, T.ArrayType(T.IntegerType(), False)), T.StructField(n_tokens, T.LongType()), T.StructField(exact, T.BooleanType())])

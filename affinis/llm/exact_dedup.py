@@ -17,12 +17,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, map_arrow, only, shared_dir
+from .shared import col, file_system, fresh, map_arrow, only, shared_dir
 
 #: Bits of the hash that one level of partitioning takes.
 LEVEL_BITS = 3
@@ -130,7 +129,7 @@ class Spill:
     """Files of one level of partitioning, in a folder of their own."""
 
     def __init__(self, root: str, schema: pa.Schema) -> None:
-        self.fs, path = pafs.FileSystem.from_uri(root)
+        self.fs, path = file_system(root)
         self.path = f"{path}/grace-{uuid.uuid4().hex}"
         self.fs.create_dir(self.path, recursive=True)
         self.schema, self.files, self.written = schema, {}, set()
@@ -211,6 +210,15 @@ def _combine(batches: Iterator[pa.RecordBatch], names: dict[str, str], memory_by
         yield from kept.rows(schema, names)
 
 
+def _unhashed(kind: T.DataType) -> bool:
+    """Whether Spark has no hash for values of this type, at any depth."""
+    if isinstance(kind, T.ArrayType):
+        return _unhashed(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_unhashed(f.dataType) for f in kind)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", memory_bytes: int = 48 << 20) -> DataFrame:
     """One row of ``docs`` for each distinct text, with all its columns.
 
@@ -225,13 +233,13 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", memory_
     """
     hash_name, tie = fresh(docs, "content_hash", "row_tie")
     names = {"hash": hash_name, "tie": tie, "text": text, "id": id}
-    every = F.xxhash64(*[F.col(f"`{f.name}`").cast("string") if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in docs.schema])
-    keyed = docs.withColumn(tie, every).withColumn(hash_name, F.when(F.col(text).isNull(), F.col(tie)).otherwise(F.xxhash64(text)))
+    every = F.xxhash64(*[col(f.name).cast("string") if _unhashed(f.dataType) else col(f.name) for f in docs.schema])
+    keyed = docs.withColumn(tie, every).withColumn(hash_name, F.when(col(text).isNull(), col(tie)).otherwise(F.xxhash64(col(text))))
     root = shared_dir(docs.sparkSession)
     schema = keyed.schema
     few = map_arrow(keyed, lambda batches: _combine(batches, names, memory_bytes), schema)
-    buckets = few.repartition(F.col(hash_name))
-    return map_arrow(buckets, lambda batches: _grace(batches, 0, names, root, memory_bytes), schema).select(*[f"`{c}`" for c in docs.columns])
+    buckets = few.repartition(col(hash_name))
+    return map_arrow(buckets, lambda batches: _grace(batches, 0, names, root, memory_bytes), schema).select(*[col(c) for c in docs.columns])
 
 
 SQL = """

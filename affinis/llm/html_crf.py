@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import fresh, map_arrow, only
+from .shared import col, fresh, map_arrow, only
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][\w:-]*)([^<>]*)>?|<[!?][^<>]*>?", re.S | re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -328,7 +328,7 @@ def extract(pages: DataFrame, page: str = "html", model: Model | None = None, ke
     gets an underscore before its name.
     """
     keep = [c for c in pages.columns if c != page] if keep is None else keep
-    source = pages.select(*[f"`{c}`" for c in dict.fromkeys([*keep, page])])
+    source = pages.select(*[col(c) for c in dict.fromkeys([*keep, page])])
     c_name, n_name, k_name = fresh(source, "content", "n_blocks", "n_content")
     kept = [f for f in source.schema if f.name in keep]
     schema = T.StructType([*kept, T.StructField(c_name, T.StringType()), T.StructField(n_name, T.LongType()), T.StructField(k_name, T.LongType())])

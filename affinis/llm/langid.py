@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, map_arrow, mix, only, steps, utf8
+from .shared import col, fresh, map_arrow, mix, only, steps, utf8
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, per_language: int = 400, text: str = "text", lang: str
 def _pick(docs: DataFrame, most: int, text: str, lang: str, id: str) -> list:
     """Rows (lang, text, rank). The ranks are found without the texts; a small
     join then fetches the texts of the chosen rows alone."""
-    named = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.xxhash64(F.col(f"`{id}`").cast("string")).alias("h"), F.col(f"`{text}`").alias("text")).where("lang is not null")
+    named = docs.select(col(lang).cast("string").alias("lang"), F.xxhash64(col(id).cast("string")).alias("h"), col(text).alias("text")).where("lang is not null")
     by_hash = Window.partitionBy("lang").orderBy("h")
     first = named.select("lang", "h").withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= most)
     chosen = named.where("length(text) >= 50").join(F.broadcast(first.select("lang", "h").distinct()), ["lang", "h"])
@@ -227,7 +227,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     one gets an underscore before its name.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    source = docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, text])])
+    source = docs.select(*[col(c) for c in dict.fromkeys([*keep, text])])
     l_name, e_name = fresh(source, "lang_id", "cross_entropy")
     kept = [f for f in source.schema if f.name in keep]
     schema = T.StructType([*kept, T.StructField(l_name, T.StringType()), T.StructField(e_name, T.DoubleType())])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, map_arrow, only, steps, until_exit, utf8
+from .shared import col, file_system, fresh, map_arrow, only, steps, until_exit, utf8
 
 ORDERS = (1, 2, 3, 5)
 #: Log-odds are kept in steps of 1/SCALE, as one byte.
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, text: str = "text", held: int = MOST_BITS) -> tuple[str
     """Count all of ``docs``; the model is a table in the shared folder (its
     path), the width of its contexts, and the width of a shard, at most ``held``
     (of a page at least). Null and empty texts add nothing."""
-    known = docs.select(F.col(f"`{text}`").alias("text")).where("text is not null")
+    known = docs.select(col(text).alias("text")).where("text is not null")
     bits = spread(known.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0)
     held = min(bits, held)
     counts = known.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2))).select("fold", "text").mapInArrow(lambda b: _count(b, bits), "page long, counts binary")
@@ -196,7 +196,7 @@ _SMALL = sum(_slots(0)[:2])
 def _read(path: str, first: int, contexts: int) -> np.ndarray:
     """Log-odds [contexts from ``first``, folds, 256] of the pages in a folder, if there is one."""
     table = np.zeros((-(-contexts // PAGE), PAGE << 9), np.int8)
-    fs, where = pafs.FileSystem.from_uri(path)
+    fs, where = file_system(path)
     for info in fs.get_file_info(pafs.FileSelector(where, allow_not_found=True)):
         if info.path.endswith(".parquet"):
             with fs.open_input_file(info.path) as file:
@@ -334,9 +334,9 @@ def score(docs: DataFrame, model: tuple[str, int, int], text: str = "text", keep
     one of the new names, the new one gets an underscore before its name.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    wanted = docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, text])])
+    wanted = docs.select(*[col(c) for c in dict.fromkeys([*keep, text])])
     n_name, b_name, p_name, fold_name = fresh(wanted, "n_bytes", "bits", "bits_per_byte", "fold")
-    source = wanted.withColumn(fold_name, F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(2)))
+    source = wanted.withColumn(fold_name, F.pmod(F.xxhash64(col(text)), F.lit(2)))
     kept = [f for f in wanted.schema if f.name in keep]
     schema = T.StructType([*kept, T.StructField(n_name, T.LongType()), T.StructField(b_name, T.DoubleType()), T.StructField(p_name, T.DoubleType())])
     where, bits, held = model

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh
+from .shared import col, fresh
 
 #: Leading hexadecimal digits of the md5 that make a cell: 4096 cells a source.
 CELL_DIGITS = 3
@@ -89,14 +89,14 @@ def mix_sources(docs: DataFrame, schedule: dict[str, list[tuple[float, float]]]
     """
     n_name, e_name, p_name = fresh(docs, "n_tokens", "epoch", "position")
     columns = docs.columns if columns is None else columns
-    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
-    count = F.col(f"`{tokens}`").cast("long") if tokens else F.ceil(F.octet_length(F.col(f"`{text}`")) / 4).cast("long")
-    name = F.col(f"`{source}`").cast("string")
+    row = F.struct(*[col(c) for c in columns]).alias("row")
+    count = col(tokens).cast("long") if tokens else F.ceil(F.octet_length(col(text)) / 4).cast("long")
+    name = col(source).cast("string")
     base = docs.select(
         row,
         F.coalesce(F.concat(F.lit("s"), name), F.lit("n")).alias("key"),
         F.greatest(F.coalesce(count, F.lit(0)), F.lit(0)).alias("n"),
-        F.when(F.col(f"`{id}`").isNull(), F.lit("")).otherwise(F.md5(F.concat(F.lit(seed + "#"), F.col(f"`{id}`").cast("string")))).alias("place"),
+        F.when(col(id).isNull(), F.lit("")).otherwise(F.md5(F.concat(F.lit(seed + "#"), col(id).cast("string")))).alias("place"),
     ).withColumn("cell", F.substring("place", 1, CELL_DIGITS))
     cells = base.groupBy("key", "cell").agg(F.sum("n").alias("in_cell"))
     before = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -128,8 +128,9 @@ def mix_sources(docs: DataFrame, schedule: dict[str, list[tuple[float, float]]]
     under = F.greatest(F.col("p.w") * F.col("p.w") + slope * 2 * y, F.lit(0.0))
     bottom = F.col("p.w") + F.sqrt(under)
     moment = F.col("p.t") + F.when(bottom > 0, y * 2 / bottom).otherwise(F.lit(0.0))
-    placed = x.select("row.*", F.col("n").alias(n_name), F.col("epoch").alias(e_name), F.round(moment * F.col("budget")).cast("long").alias(p_name), F.col("place").alias("place#"))
-    return placed.orderBy(p_name, "place#").drop("place#")
+    (order,) = fresh(docs, "place")
+    placed = x.select("row.*", F.col("n").alias(n_name), F.col("epoch").alias(e_name), F.round(moment * F.col("budget")).cast("long").alias(p_name), F.col("place").alias(order))
+    return placed.orderBy(p_name, order).drop(order)
 
 
 #: The same by DuckDB, for the default schedule and budget.

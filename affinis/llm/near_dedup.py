@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, grouped, mix, only, stash, steps, utf8, words
+from .shared import col, fresh, grouped, mix, only, stash, steps, utf8, words
 
 M, ROWS = 160, 4
 BASE, RATE, TOP = 1.001, 20.0, 65535
@@ -237,7 +237,7 @@ def near_groups(docs: DataFrame, threshold: float = 0.5, text: str = "text", id:
     or of a text without words, are in no group. Rows with the same id and text
     are one document. An empty table gives an empty table.
     """
-    named = docs.select(F.col(f"`{id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
+    named = docs.select(col(id).alias("id"), F.xxhash64(col(text)).alias("text_hash"), col(text).alias("text"))
     names = ["id", "text_hash", "text", "key", "sig"]
     schema = T.StructType([named.schema["id"], T.StructField("text_hash", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sig", T.BinaryType())])
     base = stash(named.where("text is not null").mapInArrow(lambda b: _sketches(b, names), schema).where("key is not null"), "sketches")
@@ -267,9 +267,9 @@ def near_dedup(docs: DataFrame, threshold: float = 0.5, text: str = "text", id:
     groups = near_groups(docs, threshold, text, id)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
     least = groups.groupBy("group").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first")
-    gone = stash(groups.join(least, "group").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash")))).select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
+    hash_name, gone_id, gone_hash = fresh(docs, "text_hash", "gone_id", "gone_hash")
+    gone = stash(groups.join(least, "group").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash")))).select(F.col("id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct(), "gone")
     side = F.broadcast(gone) if gone.count() <= SMALL else gone
-    (hash_name,) = fresh(docs, "text_hash")
-    hashed = docs.withColumn(hash_name, F.xxhash64(F.col(f"`{text}`")))
-    kept = hashed.join(side, (F.col(hash_name) == F.col("gone_hash")) & F.col(f"`{id}`").eqNullSafe(F.col("gone_id")), "left_anti")
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    hashed = docs.withColumn(hash_name, F.xxhash64(col(text)))
+    kept = hashed.join(side, (F.col(hash_name) == F.col(gone_hash)) & col(id).eqNullSafe(F.col(gone_id)), "left_anti")
+    return kept.select(*[col(c) for c in docs.columns])

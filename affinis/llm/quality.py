@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, map_arrow, mix, only, steps, tokens, utf8, words
+from .shared import col, fresh, map_arrow, mix, only, steps, tokens, utf8, words
 
 WORD_BITS, SHAPE_BITS = 15, 11
 #: Eighths of a text's three-word runs that have stood in it before; each level has so many terms.
@@ -145,10 +145,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 600, text: str = "t
     good. Rows of null id, label or text are left out; a document with several
     different labels counts with each. Without labels the model knows nothing.
     """
-    known = labels.select(F.col(f"`{id}`").alias("id"), (F.col(f"`{label}`") > 0).cast("int").alias("good")).where("id is not null and good is not null")
+    known = labels.select(col(id).alias("id"), (col(label) > 0).cast("int").alias("good")).where("id is not null and good is not null")
     rank = F.row_number().over(Window.partitionBy("good").orderBy(F.xxhash64(F.col("id").cast("string")), "id"))
     chosen = known.withColumn("rank", rank).where(F.col("rank") <= per_class).select("id", "good").distinct()
-    texts = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("text is not null").join(F.broadcast(chosen), "id")
+    texts = docs.select(col(id).alias("id"), col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +175,7 @@ def classify(docs: DataFrame, model: Model, neighbours: int = 15, threshold: flo
     new one gets an underscore before its name.
     """
     keep = docs.columns if keep is None else keep
-    source = docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, text])])
+    source = docs.select(*[col(c) for c in dict.fromkeys([*keep, text])])
     s_name, k_name = fresh(source, "quality_score", "kept")
     kept = [f for f in source.schema if f.name in keep]
     schema = T.StructType([*kept, T.StructField(s_name, T.DoubleType()), T.StructField(k_name, T.BooleanType())])

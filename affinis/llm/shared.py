@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..functions.names import col as col
 from ..plans.storage import shared_dir as shared_dir
 from ..plans.storage import stash as stash
 from ..plans.storage import until_exit as until_exit
@@ -33,6 +35,31 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def file_uri(path: str) -> str:
+    """A path as the cluster's file systems name it, as Arrow's name it."""
+    scheme, colon, rest = path.partition(":")
+    if colon and scheme in ("s3a", "s3n"):
+        return "s3:" + rest
+    if colon and scheme == "dbfs":  # mounted on every machine
+        return "file:///dbfs/" + rest.lstrip("/")
+    return path
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path in the shared folder, and the path in it. A
+    scheme that Arrow lacks is left to fsspec, if that is there."""
+    uri = file_uri(path)
+    try:
+        return pafs.FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, ValueError):
+        try:
+            import fsspec
+        except ModuleNotFoundError:
+            raise ValueError(f"no file system for {path}") from None
+        fs, where = fsspec.core.url_to_fs(path)
+        return pafs.PyFileSystem(pafs.FSSpecHandler(fs)), where
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """``df.mapInArrow``, which by itself fails for column names with dots or
     backquotes; ``run`` sees and gives the names as they are."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import fresh, map_arrow, mix, only, steps, utf8
+from .shared import col, fresh, map_arrow, mix, only, steps, utf8
 
 BITS = 16
 SIZES = (3, 4, 5)
@@ -139,7 +139,7 @@ def filter_urls(pages: DataFrame, url: str = "url", threshold: float = 0.5, mode
     underscore before its name.
     """
     keep = pages.columns if keep is None else keep
-    source = pages.select(*[f"`{c}`" for c in dict.fromkeys([*keep, url])])
+    source = pages.select(*[col(c) for c in dict.fromkeys([*keep, url])])
     p_name, b_name = fresh(source, "p_unwanted", "blocked")
     kept = [f for f in source.schema if f.name in keep]
     schema = T.StructType([*kept, T.StructField(p_name, T.DoubleType()), T.StructField(b_name, T.BooleanType())])

@@ -41,3 +41,16 @@ def test_spilling_changes_nothing(spark):
     df = spark.createDataFrame(rows, SCHEMA).repartition(2)
     small = rows_of(exact_dedup(df, memory_bytes=3000))
     assert small == rows_of(exact_dedup(df)) == expected(rows)
+
+
+def test_a_text_column_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a", {"k": [1]}), (2, "a", None), (3, "b", None)], "doc_id long, `my.te``xt` string, m map<string, array<int>>")
+    out = exact_dedup(docs, text="my.te`xt")
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
+def test_paths_of_the_cluster_are_paths_of_arrow():
+    from affinis.llm.shared import file_system, file_uri
+
+    assert [file_uri(x) for x in ("s3a://b/k", "s3n://b/k", "dbfs:/x/y", "file:/x", "/x")] == ["s3://b/k", "s3://b/k", "file:///dbfs/x/y", "file:/x", "/x"]
+    assert file_system("file:///tmp/x")[1] == "/tmp/x"
