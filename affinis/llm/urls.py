@@ -1,70 +1,27 @@
 """URL filter: logistic regression on hashed character n-grams of host and path.
 
-The training table is small and made here: host and path words that mark
-unwanted sites, and words of ordinary ones, put together in the shapes that
-URLs have. N-grams of host and path are hashed apart, so that a word weighs in
-the place where it was seen. Training is on the driver, over some thousand
-URLs; the weights (a quarter of a megabyte) are broadcast.
+The small labelled table of ``url_table`` (or one that is given) trains the
+model, on the driver. N-grams of host and path are hashed apart, so that a word
+weighs in the place where it was seen. The weights (a quarter of a megabyte) are
+broadcast.
 """
 
 from __future__ import annotations
 
 import functools
-import random
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import url_table
 from .shared import col, fresh, map_arrow, mix, only, steps, utf8
 
 BITS = 16
-SIZES = (3, 4, 5)
-
-_UNWANTED = """adult-x adult-cam xxx-tube xxx-video sex-chat porn-hub porno-gratis hot-girls escort-city nude-pics
-casino-win casino-royal lucky-casino online-poker poker-room free-bets bet-bonus sports-bet slot-machine jackpot-spin roulette-live
-cheap-pills pills-online viagra-shop cialis-store pharma-deal no-prescription-meds diet-pills weight-loss-fast
-spam-farm link-farm seo-spam mass-mailer buy-followers click-bait get-rich-quick crypto-doubler payday-loans
-ads-track ad-server adclick-net popunder-ads tracking-pixel banner-ads affiliate-ads doubleclick-ads
-malware-drop free-crack keygen-serial warez-download torrent-crack phishing-login prize-winner free-iphone""".split()
-_ORDINARY = """news weather library university school garden recipes history science museum travel maps music theatre
-football cycling chess cooking health clinic doctor hospital council parliament court law economy market bank finance
-engineering software python database kernel hardware astronomy biology chemistry physics mathematics language grammar
-dictionary archive journal research institute society community forum blog diary photo gallery art design architecture
-railway bus airport harbour bridge river mountain forest ocean island village city county region tourism hotel
-therapist essex sussex middlesex analytics betty alphabet address advent addition badge shadow casinghouse mission traction
-tion ther ing ent ant ern than thing tiontion therin ththan nderst onthe ingthe atther eren anth ently ouble""".split()
-_SEGMENTS = "en de fr es article story page post item view read about contact index archive category tag 2019 2021 2023 topic thread".split()
-_TAILS = ["", "", "", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top", "?id=17", ".php"]
-_BAD_SEGMENTS = "casino porn xxx viagra bonus-bet pills adclick popunder jackpot escort warez keygen".split()
-
-
-@functools.lru_cache(1)
-def labelled_urls(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
-    """The training table: (url, 1 for unwanted)."""
-    r = random.Random(seed)
-    out = []
-    for i in range(n):
-        bad = i % 2
-        words = (_UNWANTED if bad else _ORDINARY)
-        name = r.choice(words)
-        in_path = bad and r.random() < 0.2
-        if in_path:
-            name = r.choice(_ORDINARY)
-        if not bad and r.random() < 0.6:
-            name += r.choice(["", "-", "s-"]) + r.choice(_ORDINARY)
-        elif bad and r.random() < 0.3:
-            name += r.choice(["24", "-online", "7", "-club", "-best"])
-        host = r.choice(["", "", "www.", "m.", "blog."]) + name + r.choice([".example.com", ".example.org", ".example.net", ".com", ".org", ".net", ".de", ".fr", ".es", ".info"])
-        path = [r.choice(_SEGMENTS) for _ in range(r.randint(0, 2))] + ([str(r.randint(1, 99999))] if r.random() < 0.7 else [])
-        if in_path:
-            path.insert(r.randint(0, len(path)), r.choice(_BAD_SEGMENTS))
-        elif not bad and r.random() < 0.3:
-            path.append(r.choice(_ORDINARY))
-        out.append((f"{r.choice(['http', 'https'])}://{host}{'/' + '/'.join(path) if path else ''}{r.choice(_TAILS)}", bad))
-    return out
+SIZES = (2, 3, 4, 5)
 
 
 def parts(url: str) -> tuple[bytes, bytes]:
@@ -84,7 +41,7 @@ def features(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for which in (0, 1):
         texts = [parts(u)[which] for u in urls]
         data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
-        at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         row = np.repeat(np.arange(len(texts)), np.diff(at))
         for n in SIZES:
             if len(data) < n:
@@ -108,29 +65,45 @@ def _scores(weights: np.ndarray, bias: float, urls: list[str]) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
-def train(table: list[tuple[str, int]], rounds: int = 300, rate: float = 8.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias, by gradient descent on the whole table; deterministic."""
+def gradient(weights: np.ndarray, bias: float, row: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.ndarray, decay: float) -> tuple[np.ndarray, float]:
+    """Of the mean log-likelihood of labels ``y``, less half of ``decay`` times
+    the squared weights: for the weights and the bias."""
+    z = bias + np.bincount(row, weights[column] * scale, minlength=len(y))
+    miss = y - 1 / (1 + np.exp(-z))
+    return np.bincount(column, miss[row] * scale, minlength=len(weights)) / len(y) - decay * weights, float(miss.mean())
+
+
+def train(table: list[tuple[str, int]], rounds: int = 300, rate: float = 160.0, decay: float = 5e-6) -> tuple[np.ndarray, float]:
+    """Weights and bias, by gradient ascent on the whole table; deterministic.
+    Without rows all are 0, so that every probability is a half."""
     urls, y = [u for u, _ in table], np.array([v for _, v in table], np.float64)
-    row, col = features(urls)
+    row, column = features(urls)
     scale = (1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(urls)), 1)))[row]
     weights, bias = np.zeros(1 << BITS), 0.0
-    for _ in range(rounds):
-        z = bias + np.bincount(row, weights[col] * scale, minlength=len(urls))
-        miss = y - 1 / (1 + np.exp(-z))
-        weights += rate * (np.bincount(col, miss[row] * scale, minlength=1 << BITS) / len(urls) * 20 - decay * weights)
-        bias += rate * miss.mean()
+    for _ in range(rounds if len(y) else 0):
+        step, shift = gradient(weights, bias, row, column, scale, y, decay)
+        weights += rate * step
+        bias += rate / 20 * shift
     return weights.astype(np.float32), float(bias)
 
 
+def fit(labelled: DataFrame, url: str = "url", label: str = "unwanted", most: int = 20_000) -> tuple[np.ndarray, float]:
+    """A model from a table of labelled URLs: at most ``most`` rows (a documented
+    bound, by the order of a hash of the URL). A label above 0 is unwanted. Rows
+    of null URL or label are left out."""
+    known = labelled.select(col(url).alias("url"), (col(label) > 0).cast("int").alias("y")).where("url is not null and y is not null")
+    return train([(r["url"], r["y"]) for r in known.orderBy(F.xxhash64("url"), "url", "y").limit(most).collect()])
+
+
 @functools.lru_cache(1)
 def _default_model() -> tuple[np.ndarray, float]:
-    return train(labelled_urls())
+    return train(url_table.rows())
 
 
-def filter_urls(pages: DataFrame, url: str = "url", threshold: float = 0.5, model: tuple[np.ndarray, float] | None = None, keep: list[str] | None = None) -> DataFrame:
+def filter_urls(pages: DataFrame, url: str = "url", threshold: float = 0.6, model: tuple[np.ndarray, float] | None = None, keep: list[str] | None = None) -> DataFrame:
     """``pages`` (its columns ``keep``; None: all) with ``p_unwanted``, the
     model's probability to 6 decimals, and ``blocked``: whether it is at least
-    ``threshold``.
+    ``threshold``. ``model`` None: that of the table in ``url_table``.
 
     A null URL has null in both and so is not blocked. An empty URL, or one
     without n-grams, has the probability of the bias alone. Rows are
