@@ -23,7 +23,14 @@ from pyspark.sql import types as T
 
 from .shared import col, fresh, map_arrow, only
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][\w:-]*)([^<>]*)>?|<[!?][^<>]*>?", re.S | re.I)
+#: Attributes up to a tag's end: a quoted value may hold any sign, "<" within its
+#: first thousand; a quote that nothing closes is a sign like any other.
+_ATTRIBUTES = r"""(?:[^<>=]++|=\s*+(?:"(?:[^"<]*+"|[^"]{0,1000}+")|'(?:[^'<]*+'|[^']{0,1000}+'))?+)*+"""
+_TOKEN = re.compile(rf"<!--|<(/?)([a-z][\w:-]*)({_ATTRIBUTES})>?|<[!?][^<>]*>?", re.I)
+#: What is no text up to the closing tag. Scripts and styles that nothing closes
+#: go on to the page's end, of the others the opening tag alone is skipped.
+_RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in "script style noscript template svg textarea".split()} | {"!--": re.compile("-->")}
+_TO_THE_END = frozenset(["script", "style", "!--"])
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr img".split())
@@ -97,34 +104,52 @@ def blocks(page: str, paths: Paths) -> list[tuple[str, int, float]]:
             if tag in until:
                 return
 
+    ahead: dict[str, int] = {}
+
+    def closed(tag: str, at: int) -> int:
+        """Where the next closing tag ends, or -1; every stretch is searched once."""
+        found = ahead.get(tag, 0)
+        if 0 <= found <= at:
+            m = _RAW[tag].search(page, at)
+            found = ahead[tag] = m.end() if m else -1
+        return found
+
     end = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, end):
         if m.start() > end:
             pieces.append(page[end : m.start()])
             if links:
                 linked += m.start() - end
         end = m.end()
-        name = m[3]
+        name = m[2]
         if not name:
+            if m[0] == "<!--":
+                after = closed("!--", end)
+                end = after if after >= 0 else len(page)
             continue
         tag = name.lower()
+        if tag in _RAW:
+            if not m[1] and (tag in _TO_THE_END or not m[3].endswith("/")):
+                after = closed(tag, end)
+                end = after if after >= 0 else len(page) if tag in _TO_THE_END else end
+            continue
         if tag in _INLINE:
             if tag == "a":
-                links = 0 if m[2] else 1
+                links = 0 if m[1] else 1
             continue
         if tag == "br":
             pieces.append(" ")
             continue
         leaf()
         links = 0
-        if m[2]:
+        if m[1]:
             for at in range(len(stack) - 1, 0, -1):
                 if stack[at][0] == tag:
                     del stack[at:]
                     break
         elif tag not in _VOID:
             close(*_IMPLIED.get(tag, _P))
-            stack.append((tag, paths.enter(stack[-1][1], tag, m[4])))
+            stack.append((tag, paths.enter(stack[-1][1], tag, m[3])))
     pieces.append(page[end:])
     leaf()
     return out
@@ -214,8 +239,9 @@ def train(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 200, rat
 _MARK = "\x02"
 
 
-def labelled_pages(n: int = 400, seed: int = 5) -> list[str]:
-    """Pages in many layouts, in which every content block begins with a mark."""
+def labelled_pages(n: int = 400, seed: int = 5, without: str = "") -> list[str]:
+    """Pages of eight kinds of sites, in which every content block begins with a
+    mark; none of the kind ``without``."""
     r = random.Random(seed)
     syllables = "ta re mi no su la ber ing ous tion est qua der ich und le aux ció ñe ö ß eau".split()
 
@@ -226,64 +252,87 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[str]:
         return " ".join(word() for _ in range(r.randint(low, high)))
 
     def prose(low: int, high: int) -> str:
-        style = r.random()
         sentences = []
+        loud = r.random() < 0.1
         for _ in range(r.randint(low, high)):
             s = [word() for _ in range(r.randint(4, 18))]
+            s[0] = s[0].capitalize()
             if r.random() < 0.5:
                 s[len(s) // 2] += ","
-            if style < 0.1:
-                s = [w + r.choice(["!!", "***", "$$$"]) for w in s]
-            elif style < 0.2:
-                s = [w.upper() for w in s]
+            if loud:
+                s = [w.upper() + r.choice(["", "", "!"]) for w in s]
             if r.random() < 0.15:
                 s[0] = f"<b>{s[0]}</b>"
             if r.random() < 0.1:
                 s[-1] = f'<a href="/{word()}">{s[-1]}</a>'
-            sentences.append(" ".join(s).capitalize() + ".")
-        return " ".join(sentences).replace("<B>", "<b>").replace("</B>", "</b>")
+            sentences.append(" ".join(s) + r.choice("...?"))
+        return " ".join(sentences)
 
     def links(low: int, high: int, tag: str = "li") -> str:
-        return "".join(f'<{tag}><a href="/{word()}">{some(1, 3)}</a></{tag}>' for _ in range(r.randint(low, high)))
-
-    def noise(where: str) -> str:
-        name = r.choice({"top": ["nav", "menu", "header", "cookie"], "in": ["ad", "share", "promo", "advert", "banner"], "side": ["sidebar", "related", "widget"], "end": ["footer", "copyright", "comments"]}[where])
-        body = r.choice([
-            lambda: f"<ul>{links(3, 9)}</ul>", lambda: f"<p>{some(2, 8)}</p>", lambda: some(3, 12) + ".", lambda: links(2, 6, "span"),
-            lambda: f"&copy; {r.randint(1999, 2025)} {some(1, 3)} &middot; {some(1, 8)}", lambda: f"<h3>{some(1, 3)}</h3><ul>{links(2, 6)}</ul>", lambda: prose(1, 2),
-        ])()
-        tag = {"top": r.choice(["nav", "header", "div"]), "in": r.choice(["div", "div", "aside"]), "side": r.choice(["aside", "div"]), "end": r.choice(["footer", "footer", "div"])}[where]
-        attribute = f' class="{name}"' if tag == "div" or r.random() < 0.4 else ""
-        return f"<{tag}{attribute}>{body}</{tag}>"
-
-    def content() -> str:
-        kind = r.random()
-        if kind < 0.72:
-            return f"<p>{_MARK}{prose(1, 7) if r.random() < 0.85 else some(1, 5)}" + r.choice(["</p>", "</p>", "</p>", "", "<br>"])
-        if kind < 0.79:
-            return f"<h2>{_MARK}{some(1, 6)}</h2>"
-        if kind < 0.86:
-            return "<ul>" + "".join(f"<li>{_MARK}{prose(1, 1)}</li>" for _ in range(r.randint(2, 5))) + "</ul>"
-        if kind < 0.9:
-            return f"<blockquote>{_MARK}{prose(1, 3)}</blockquote>"
-        if kind < 0.95:
-            return "<table>" + "".join(f"<tr><td>{_MARK}{some(1, 4)}</td><td>{_MARK}{r.randint(1, 9999)}</td></tr>" for _ in range(r.randint(2, 4))) + "</table>"
-        return f"<div>{_MARK}{prose(1, 4)}</div>"
+        return "".join(f'<{tag}><a href="/{word()}?a=1&b=2" title="{word()} &gt; {word()}">{some(1, 3)}</a></{tag}>' for _ in range(r.randint(low, high)))
+
+    def menu(tag: str, name: str = "") -> str:
+        return f"<{tag}{name}><ul>{links(3, 9)}</ul></{tag}>"
+
+    def legal() -> str:
+        return f"&copy; {r.randint(1999, 2025)} {some(1, 3)} {r.choice(['|', '&middot;', '-', ''])} {some(0, 8)}"
+
+    def maybe(p: float, make) -> str:
+        return make() if r.random() < p else ""
+
+    def paragraphs(low: int, high: int) -> str:
+        return "".join(f"<p>{_MARK}{prose(1, 7) if r.random() < 0.85 else some(1, 5)}" + r.choice(["</p>", "</p>", "</p>", "", "<br>"]) for _ in range(r.randint(low, high)))
+
+    def body(*kinds: str) -> str:
+        """Runs of content: paragraphs, and what ``kinds`` names."""
+        make = {
+            "head": lambda: f"<h2>{_MARK}{some(1, 6)}</h2>",
+            "list": lambda: "<ul>" + "".join(f"<li>{_MARK}{prose(1, 1)}</li>" for _ in range(r.randint(2, 5))) + "</ul>",
+            "quote": lambda: f"<blockquote>{_MARK}{prose(1, 3)}</blockquote>",
+            "table": lambda: "<table>" + "".join(f"<tr><td>{_MARK}{some(1, 4)}</td><td>{_MARK}{r.randint(1, 9999)}</td></tr>" for _ in range(r.randint(2, 4))) + "</table>",
+            "div": lambda: f"<div>{_MARK}{prose(1, 4)}</div>",
+        }
+        return "".join(paragraphs(1, 3) if r.random() < 0.7 else make[r.choice(kinds)]() for _ in range(r.choice([1, 1, 2, 3, 5, 8])))
+
+    def ad() -> str:
+        name = r.choice(["ad", "ads", "advert", "promo", "banner", "sponsored"])
+        inside = r.choice([lambda: prose(1, 2), lambda: some(2, 9), lambda: links(1, 3, "span"), lambda: f"<p>{prose(1, 2)}</p>"])()
+        return f'<{r.choice(["div", "div", "aside"])} class="{name}">{inside}</div></aside>'
+
+    def title() -> str:
+        return f"<h1>{_MARK}{some(1, 8)}</h1>"
+
+    def blog() -> str:
+        return f'<div id="wrapper"><div class="header"><a href="/">{some(1, 3)}</a></div>{menu("div", r.choice([" class=menu", " id=navigation"]))}<div class="post">{title()}{maybe(0.5, lambda: f"<div class=meta>{some(2, 5)}</div>")}{body("head", "quote", "list")}{maybe(0.4, ad)}{maybe(0.4, lambda: paragraphs(1, 3))}</div>{maybe(0.5, lambda: f"<div class=comments><h3>{some(1, 2)}</h3>" + "".join(f"<p>{prose(1, 2)}</p>" for _ in range(r.randint(1, 4))) + "</div>")}<div class="sidebar"><h3>{some(1, 2)}</h3><ul>{links(2, 7)}</ul></div><div class="footer">{legal()}</div></div>'
+
+    def news() -> str:
+        return f'{menu("nav")}{maybe(0.5, ad)}<main><article>{maybe(0.8, title)}{maybe(0.4, lambda: f"<p class=byline>{some(2, 5)}</p>")}{body("head", "quote")}{maybe(0.4, lambda: f"<aside class=related><h3>{some(1, 2)}</h3><ul>{links(2, 5)}</ul></aside>")}{maybe(0.4, lambda: paragraphs(1, 4))}</article></main>{maybe(0.4, lambda: f"<div class=newsletter><p>{prose(1, 1)}</p></div>")}<footer>{legal()}</footer>'
+
+    def manual() -> str:
+        return f'<div class="toc"><ul>{links(4, 12)}</ul></div><div class="section">{title()}{body("head", "list", "table")}{maybe(0.5, lambda: f"<pre>{_MARK}{some(3, 20)}</pre>")}{maybe(0.5, lambda: paragraphs(1, 3))}</div><div class="pager"><a href="/p">{some(1, 2)}</a> <a href="/n">{some(1, 2)}</a></div><div role="contentinfo">{legal()}</div>'
+
+    def forum() -> str:
+        posts = "".join(f'<tr><td class="author">{word()}<br>{some(1, 2)}</td><td class="postbody">{_MARK}{prose(1, 5)}</td></tr>' for _ in range(r.randint(1, 6)))
+        return f'<div class="breadcrumbs">{links(2, 4, "span")}</div><h1>{_MARK}{some(2, 7)}</h1><table class="posts">{posts}</table>{maybe(0.3, ad)}<div class="pagination">{links(2, 6, "span")}</div><p class="small">{legal()}</p>'
+
+    def shop() -> str:
+        return f'<header>{links(3, 8, "div")}</header>{maybe(0.4, lambda: f"<div class=cookie><p>{prose(1, 2)}</p><button>{word()}</button></div>")}<section class="product">{title()}<div class="description">{body("list", "table", "div")}</div></section><div class="cart">{some(1, 4)}</div><section class="recommend"><h3>{some(1, 3)}</h3>{links(3, 6, "div")}</section><footer><div>{links(3, 8, "div")}</div><p>{legal()}</p></footer>'
+
+    def wiki() -> str:
+        return f'<div id="content"><h1>{_MARK}{some(1, 4)}</h1><div class="body">{body("head", "list", "table", "quote")}{maybe(0.6, lambda: body("head", "list"))}</div></div><div class="categories">{links(2, 6)}</div>{menu("div", " id=tools")}<div id="footer"><ul><li>{legal()}</li><li>{some(3, 9)}.</li></ul></div>'
+
+    def tables() -> str:
+        return f'<center><img src=x.gif></center><table width=100%><tr><td width=120>{"<br>".join(f"<a href={k}>{some(1, 2)}</a>" for k in range(r.randint(3, 8)))}</td><td>{maybe(0.6, title)}{body("div", "head")}</td></tr></table><hr><center>{legal()}</center>'
+
+    def plain() -> str:
+        return f'{maybe(0.7, title)}{body("head", "quote", "list", "div")}{maybe(0.6, lambda: f"<p>{links(1, 3, 'span')}</p>")}{maybe(0.5, lambda: f"<footer><p>{legal()}</p></footer>")}'
 
+    kinds = {f.__name__: f for f in (blog, news, manual, forum, shop, wiki, tables, plain) if f.__name__ != without}
     out = []
-    for _ in range(n):
-        parts = [f"<title>{some(1, 6)}</title></head><body>", *[noise("top") for _ in range(r.randint(0, 3))]]
-        if r.random() < 0.5:
-            parts.append(f'<!-- {word()} --><div class="ad">{prose(1, 2)}</div>')
-        tag = r.choice(["article", "article", "main", 'div class="content"', 'div id="post"', "section", "div"])
-        inner = [f"<h1>{_MARK}{some(1, 8)}</h1>"] if r.random() < 0.7 else []
-        for _ in range(r.choice([1, 1, 2, 3, 5, 8])):
-            inner.append(content())
-            if r.random() < 0.12:
-                inner.append(noise("in"))
-        parts += [f"<{tag}>", *inner, f"</{tag.split()[0]}>"]
-        parts += [noise("side") for _ in range(r.randint(0, 2))] + [noise("end") for _ in range(r.randint(0, 2))]
-        out.append("<!DOCTYPE html><html><head><script>var a='</p>';</script>" + "".join(parts) + "</body></html>")
+    for k in range(n):
+        page = kinds[list(kinds)[k % len(kinds)]]()
+        head = f"<title>{some(1, 6)}</title>" + maybe(0.5, lambda: '<script src="a.js">if (a > b) { c("<div>") }</script>') + maybe(0.3, lambda: "<style>p > b { top: 0 }</style>")
+        out.append(f"<html><head>{head}</head><body>{page}</body></html>")
     return out
 
 

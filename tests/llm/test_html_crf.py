@@ -19,6 +19,34 @@ def test_held_out_pages():
     assert right / total > 0.98
 
 
+def share_right(model, pages):
+    right = total = 0
+    for page in pages:
+        features, labels = H.chain(page)
+        scores = [sum(model.weights[f] for f in block) for block in features]
+        right += sum(int(a) == b for a, b in zip(model.decode(scores), labels))
+        total += len(labels)
+    return right / total
+
+
+def test_kinds_of_sites_held_out_whole():
+    """A model that never saw a kind of site labels its pages."""
+    found = {}
+    for kind in ("blog", "news", "manual", "forum", "shop", "wiki", "tables", "plain"):
+        known = [c for c in map(H.chain, H.labelled_pages(240, without=kind)) if c[1]]
+        other = set(H.labelled_pages(80, seed=9, without=kind))
+        pages = only_kind(kind)
+        assert not other & set(pages)
+        found[kind] = share_right(H.train(known), pages)
+    assert min(found.values()) > 0.7 and np.mean(list(found.values())) > 0.9
+
+
+def only_kind(kind):
+    """Pages of one kind, as they lie among those of all kinds."""
+    names = ("blog", "news", "manual", "forum", "shop", "wiki", "tables", "plain")
+    return H.labelled_pages(320, seed=9)[names.index(kind) :: 8]
+
+
 def test_viterbi_against_all_labellings():
     rng = np.random.default_rng(1)
     for n in range(1, 8):
@@ -59,6 +87,43 @@ def test_blocks():
         H.blocks(broken, paths)
 
 
+def texts(page):
+    return [t for t, _, _ in H.blocks(page, H.Paths())]
+
+
+def test_attributes_may_hold_any_sign():
+    assert texts('<a title="a > b" href="x">link</a>') == ["link"]
+    assert texts("<p title='x > y' data-a=\"<b>\">one</p><p don't>two</p>") == ["one", "two"]
+    assert texts('<p class="x>one<p>two</p>') == ["one", "two"]  # a quote that nothing closes
+    assert texts('<p title="' + "<" * 5000 + '">x') and texts('<p a="' * 5000) == []
+
+
+def test_text_that_is_none():
+    assert texts('<p>a</p><svg class="i"/><article><p>main text</p></article>') == ["a", "main text"]
+    assert texts("<p>a<svg><path/>no</svg>b<noscript><p>c") == ["ab", "c"]
+    assert texts('<script src="a>b">no</script>x<script>if (a</p>b)') == ["x"]
+    assert texts("a<textarea>no</textarea><template>no</TEMPLATE ><style>no") == ["a"]
+    for tag in ("svg", "noscript", "!--"):
+        texts(f"<{tag}>" * 50_000 + "x")  # in linear time
+
+
+def test_the_query_against_a_plain_labelling(spark):
+    """Every page, its labels found by trying each block's last label in turn."""
+    from affinis.llm import queries
+
+    model = H.default_model()
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    for r in queries.op4_html_content(spark, "/root/testdata/sf0.001").collect():
+        paths = H.Paths()
+        found = H.blocks(pages[r.page_id], paths)
+        scores = [sum(model.weights[f] for f in [*H.text_features(t, share, k == 0), *paths.features[p]]) for k, (t, p, share) in enumerate(found)]
+        best = {y: ((model.start + scores[0]) * y, [y]) for y in (0, 1)}
+        for s in scores[1:]:
+            best = {y: max(((v + model.moves[x, y] + s * y, [*way, y]) for x, (v, way) in best.items()), key=lambda x: x[0]) for y in (0, 1)}
+        way = max(best.values(), key=lambda x: x[0])[1]
+        assert r.n_blocks == len(found) and r.content == "\n".join(t for (t, _, _), y in zip(found, way) if y)
+
+
 def test_edge_cases(spark):
     article = "<html><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><article><p>" + "A sentence of words, with an end. " * 8 + "</p></article><footer>&copy; 2020 site</footer></body></html>"
     long = "<article>" + "<p>A sentence of words, with an end.</p>" * 20_000 + "</article>"
