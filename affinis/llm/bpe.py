@@ -2,8 +2,8 @@
 
 Ordinary text is cut into pieces by the vocabulary's pattern and each piece is
 merged by itself, all in the tokenizer library. A long unsplit piece (a run
-without white space, say) is a tree instead: its halves are encoded in
-parallel, and a growing window around the join is encoded again until both of
+without white space, say) is a tree instead: its halves, down to leaves, are
+encoded in parallel by threads that hold no lock, and a growing window around the join is encoded again until both of
 its ends agree with the tokens on either side. Agreement means that the outer
 tokens of the window are the ones that stood there, and that each of the two
 pairs of neighbours across the window's ends is what BPE makes of its bytes; a
@@ -28,7 +28,7 @@ from .shared import col, fresh, map_arrow, only, utf8
 #: How the byte-level vocabularies cut text into pieces.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Bytes of a leaf of the tree; longer pieces are halved.
+#: Characters of a leaf of the tree; longer pieces are halved.
 LEAF = 4096
 
 
@@ -39,6 +39,8 @@ class Coder:
         pairs = [line.split() for line in content.splitlines() if line.strip()]
         ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.encoding = tiktoken.Encoding("affinis", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        # takes a text for one piece; unlike a piece's own encoder, it lets other threads run
+        self.whole = tiktoken.Encoding("affinis-leaf", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.leaf = leaf
         self.long = regex.compile(r"\S{%d,}|\s{%d,}" % (leaf, leaf))
         self.pieces = regex.compile(PIECES)
@@ -53,6 +55,10 @@ class Coder:
     def piece(self, data: bytes) -> list[int]:
         return self.encoding._core_bpe.encode_single_piece(data)
 
+    def stretch(self, text: str) -> list[int]:
+        """The encoding of a text as one piece."""
+        return np.frombuffer(self.whole._core_bpe.encode_to_tiktoken_buffer(text, set()), np.uint32).tolist()
+
     def _fits(self, a: int, b: int) -> bool:
         return self.piece(self.words[a] + self.words[b]) == [a, b]
 
@@ -70,17 +76,16 @@ class Coder:
                 return left[: len(left) - lw] + middle + right[rw:]
             width *= 2
 
-    def tree(self, data: bytes) -> list[int]:
+    def tree(self, text: str) -> list[int]:
         """The encoding of one unsplit piece, however long."""
         leaves = 1
-        while len(data) > leaves * self.leaf:
+        while len(text) > leaves * self.leaf:
             leaves *= 2
-        cuts = [len(data) * i // leaves for i in range(leaves + 1)]
-        parts = [data[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
-        level = list(self.pool.map(self.piece, parts)) if self.pool and len(parts) > 1 else [self.piece(x) for x in parts]
+        cuts = [len(text) * i // leaves for i in range(leaves + 1)]
+        parts = [text[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
+        level = list(self.pool.map(self.stretch, parts)) if self.pool and len(parts) > 1 else [self.stretch(x) for x in parts]
         while len(level) > 1:
-            pairs = [(level[i], level[i + 1]) for i in range(0, len(level) - 1, 2)]
-            joined = list(self.pool.map(lambda x: self.join(*x), pairs)) if self.pool else [self.join(*x) for x in pairs]
+            joined = [self.join(a, b) for a, b in zip(level[::2], level[1::2])]  # a few tokens each
             level = joined + level[len(level) // 2 * 2 :]
         return level[0] if level else []
 
@@ -91,12 +96,11 @@ class Coder:
         out: list[np.ndarray] = []
         short: list[int] = []
         for m in self.pieces.finditer(text):
-            data = m.group().encode()
-            if len(data) > self.leaf:
-                out += [np.array(short, np.int32), np.array(self.tree(data), np.int32)]
+            if len(m.group()) > self.leaf:
+                out += [np.array(short, np.int32), np.array(self.tree(m.group()), np.int32)]
                 short = []
             else:
-                short += self.piece(data)
+                short += self.piece(m.group().encode())
         return np.concatenate([*out, np.array(short, np.int32)])
 
     def decode(self, tokens: np.ndarray) -> np.ndarray:

@@ -1,5 +1,6 @@
 import base64
 import random
+import time
 
 import numpy as np
 import pytest
@@ -32,7 +33,32 @@ def test_tree_equals_plain_bpe(content):
     for alphabet in (b"ab", b"etaoin", bytes(range(33, 127)), b"a", b"the"):
         for n in (1, 17, 40, 333, 700):
             data = bytes(r.choice(alphabet) for _ in range(n))
-            assert coder.tree(data) == plain_bpe(ranks, data)
+            assert coder.tree(data.decode()) == plain_bpe(ranks, data)
+
+
+def test_characters_of_several_bytes_at_the_joins(content):
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
+    coder = bpe.Coder(content, leaf=8)
+    r = random.Random(2)
+    for alphabet in ("aé", "漢字", "🙂a", "ßüéñ"):
+        text = "".join(r.choice(alphabet) for _ in range(150))
+        assert coder.tree(text) == plain_bpe(ranks, text.encode())
+
+
+def test_leaves_are_encoded_in_parallel(content):
+    """Two threads take less time than one; the tokens are the same."""
+    r = random.Random(3)
+    text = "".join(r.choice("etaoinshrdlu") for _ in range(4 << 20))
+    taken, found = {}, {}
+    for threads in (1, 2):
+        coder = bpe.Coder(content, threads=threads)
+        coder.tree(text[:100_000])
+        taken[threads] = 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            found[threads] = coder.tree(text)
+            taken[threads] = min(taken[threads], time.perf_counter() - began)
+    assert found[1] == found[2] and taken[2] < 0.95 * taken[1], taken
 
 
 def test_long_unsplit_text_equals_the_library(content):
