@@ -37,21 +37,32 @@ def ngrams(column: Column, n: int = 3) -> Column:
 
 
 def ngram_cosine(a: Column, b: Column, n: int = 3) -> Column:
-    """Cosine of the n-gram counts of two texts; null if either has none."""
+    """Cosine of the n-gram counts of two texts; null if either has none. The
+    n-grams of both are sorted together, so the work is in proportion to them."""
 
-    def times(g: Column, grams: Column) -> Column:
-        return F.size(F.filter(grams, lambda h: h == g))
+    def let(value: Column, body) -> Column:
+        # a lambda's argument is computed once; an expression inside its body would be for every n-gram
+        return F.transform(F.array(value), body)[0]
 
-    def product(p: Column, q: Column) -> Column:
-        return F.aggregate(F.array_distinct(p), F.lit(0).cast("long"), lambda s, g: s + times(g, p) * times(g, q))
+    def tagged(column: Column, side: int) -> Column:
+        return F.transform(ngrams(column, n), lambda g: F.struct(g.alias("g"), F.lit(side).alias("s")))
 
-    def cosine(sides: Column) -> Column:
-        x, y = sides["x"], sides["y"]
-        size = product(x, x).cast("double") * product(y, y)
-        return F.when(size > 0, product(x, y) / F.sqrt(size))
+    def runs(grams: Column) -> Column:
+        """Each n-gram of a side with its count, in order."""
+        places = F.sequence(F.lit(0), F.greatest(F.size(grams) - 1, F.lit(0)))
+        ends = F.filter(places, lambda i: ~F.get(grams, i).eqNullSafe(F.get(grams, i + 1)))
+        return let(ends, lambda e: F.transform(e, lambda end, j: F.struct(F.get(grams, end)["g"].alias("g"), F.get(grams, end)["s"].alias("s"), (end - F.coalesce(F.get(e, j - 1), F.lit(-1))).cast("long").alias("c"))))
 
-    # a lambda's argument is computed once; an expression inside its body would be for every n-gram
-    return F.transform(F.array(F.struct(ngrams(a, n).alias("x"), ngrams(b, n).alias("y"))), cosine)[0]
+    def cosine(r: Column) -> Column:
+        def total(side: int) -> Column:
+            return F.aggregate(r, F.lit(0).cast("long"), lambda t, x: t + F.when(x["s"] == side, x["c"] * x["c"]).otherwise(0))
+
+        # a run of the first side is followed by that of the second with the same n-gram, if there is one
+        both = F.transform(r, lambda x, j: let(F.get(r, j + 1), lambda y: F.when((x["s"] == 0) & (y["g"] == x["g"]), x["c"] * y["c"]).otherwise(0)))
+        size = total(0).cast("double") * total(1)
+        return F.when(size > 0, F.aggregate(both, F.lit(0).cast("long"), lambda t, x: t + F.coalesce(x, F.lit(0))) / F.sqrt(size))
+
+    return let(F.sort_array(F.concat(tagged(a, 0), tagged(b, 1))), lambda grams: let(runs(grams), cosine))
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

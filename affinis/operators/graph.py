@@ -44,8 +44,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     neighbours and keeps the edges between the replacements, until none is left.
     Hashes make the order random, so chains shrink by a constant factor a round.
     """
-    plain = edges.select(col(src).alias("a"), col(dst).alias("b")).where("a is not null and b is not null")
-
+    # written once, as edges that are computed again may be others
+    plain = stash(edges.select(col(src).alias("a"), col(dst).alias("b")).where("a is not null and b is not null"), "plain")
     names = stash(plain.select(F.col("a").alias("n")).union(plain.select("b")).distinct(), "nodes")
 
     def digest(c: str) -> F.Column:

@@ -91,6 +91,9 @@ def matches(left: DataFrame, right: DataFrame, left_on: list[str], right_on: lis
     else:
         found = similarity.sparse(text_a.withColumn("id", F.concat_ws("\x1e", "block", "text")), text_b, embedder.n, k, threshold)
     spread = found.select(F.col("left_id").alias("key"), F.col("right_id").alias("first_id"), "score").join(text_b.select(F.col("id").alias("first_id"), "block", "text"), "first_id")
+    if k is not None:  # of the rows of one text no more than k can count
+        nth = F.row_number().over(Window.partitionBy("block", "text").orderBy("right_id"))
+        b = b.withColumn("_nth", nth).where(F.col("_nth") <= k).drop("_nth")
     rows = spread.join(b, ["block", "text"]).select("key", "right_id", "score")
     if k is not None:
         nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "right_id"))
@@ -127,14 +130,20 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 
 
-def merge_range(left: DataFrame, right: DataFrame, on: Keys = None, sim_threshold: float = 0.5, embedder: Embedder = Ngrams(), left_on: Keys = None, right_on: Keys = None, suffixes: tuple[str, str] = ("_x", "_y"), left_id: str | None = None, right_id: str | None = None, keep_row_ids: bool = False, sep: str = SEPARATOR) -> DataFrame:
+def merge_range(left: DataFrame, right: DataFrame, on: Keys = None, sim_threshold: float = 0.5, embedder: Embedder = Ngrams(), left_on: Keys = None, right_on: Keys = None, suffixes: tuple[str, str] = ("_x", "_y"), left_id: str | None = None, right_id: str | None = None, keep_row_ids: bool = False, sep: str = SEPARATOR, in_order: bool = False) -> DataFrame:
     """Every left row with all right rows of similarity >= the threshold; a left
-    row without any is kept, with nulls."""
+    row without any is kept, with nulls. ``in_order`` sorts the result by the left
+    row's id and then the right one's."""
     if not -1 <= sim_threshold <= 1:
         raise ValueError("a similarity is between -1 and 1")
     l, r = ([], []) if isinstance(embedder, Precomputed) else resolve_keys(left, right, on, left_on, right_on)
     a, b = with_row_ids(left, LEFT, left_id), with_row_ids(right, RIGHT, right_id)
-    return glue(matches(a, b, l, r, embedder, None, sim_threshold, sep=sep), a, b, suffixes, "left", keep_row_ids)
+    out = glue(matches(a, b, l, r, embedder, None, sim_threshold, sep=sep), a, b, suffixes, "left", keep_row_ids or in_order)
+    if not in_order:
+        return out
+    ids = [f"id_lt{s}" for s in suffixes]
+    out = out.orderBy(*[col(c) for c in ids])
+    return out if keep_row_ids else out.drop(*ids)
 
 
 def merge_blocking(left: DataFrame, right: DataFrame, on: Keys = None, blocking_vars: list[str] | None = None, embedder: Embedder = Ngrams(), left_on: Keys = None, right_on: Keys = None, suffixes: tuple[str, str] = ("_x", "_y"), left_id: str | None = None, right_id: str | None = None, keep_row_ids: bool = False, sep: str = SEPARATOR) -> DataFrame:
@@ -190,7 +199,25 @@ def all_pair_combos_evaluate(df: DataFrame, left_on: str, right_on: str, embedde
     else:
         scores = similarity.sparse(items, items, embedder.n, threshold=0.0)
     scores = scores.select(F.col("left_id").alias("l"), F.col("right_id").alias("r"), "score")
-    return a.crossJoin(b).join(scores, ["l", "r"], "left").select(F.col("l").alias(left_on), F.col("r").alias(right_on if right_on != left_on else right_on + "_y"), "score")
+    # distinct values are paired and scored; the rows come last
+    grid = a.distinct().crossJoin(b.distinct()).join(scores, ["l", "r"], "left")
+    whole = a.alias("a").join(grid.alias("g"), F.col("a.l").eqNullSafe(F.col("g.l"))).select("g.*").alias("h").join(b.alias("b"), F.col("h.r").eqNullSafe(F.col("b.r"))).select("h.*")
+    return whole.select(F.col("l").alias(left_on), F.col("r").alias(right_on if right_on != left_on else right_on + "_y"), "score")
+
+
+def all_pair_dots(left: DataFrame, right: DataFrame, vector: str, left_id: str, right_id: str) -> DataFrame:
+    """``left_id``, ``right_id`` and ``score``, the dot product of every left with
+    every right vector."""
+    a, b = (df.select(col(id).alias("id"), F.lit("").alias("block"), col(vector).alias("v")) for df, id in ((left, left_id), (right, right_id)))
+    return similarity.dense(a, b, unit=False)
+
+
+def block_counts(left: DataFrame, right: DataFrame, blocking_vars: list[str]) -> DataFrame:
+    """One row: the number of blocks of either side and of those that both have.
+    Rows with a null in a blocking column are in no block."""
+    sides = [df.dropna(subset=blocking_vars).select(*[col(c) for c in blocking_vars]).distinct().withColumn(name, F.lit(1)) for df, name in ((left, "__l"), (right, "__r"))]
+    both = sides[0].join(sides[1], blocking_vars, "full")
+    return both.agg(F.count("__l").alias("n_left"), F.count("__r").alias("n_right"), F.count(F.when(F.col("__l").isNotNull() & F.col("__r").isNotNull(), 1)).alias("n_both"))
 
 
 def merge_edit(left: DataFrame, right: DataFrame, left_on: str, right_on: str, left_id: str, right_id: str, suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:

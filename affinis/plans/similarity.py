@@ -34,17 +34,17 @@ def rank_cut(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("_nth", nth).where(F.col("_nth") <= k).drop("_nth")
 
 
-def _unit(column: pa.ChunkedArray) -> np.ndarray:
+def _rows(column: pa.ChunkedArray, unit: bool) -> np.ndarray:
     column = column.combine_chunks()
     sizes = pa.compute.list_value_length(column)
     if len(column) and pa.compute.min(sizes) != pa.compute.max(sizes):
         raise ValueError("vectors of one block have different sizes")
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = x.reshape(len(column), -1)
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.sqrt((x * x).sum(1, keepdims=True)) if unit else x
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], k: int | None, threshold: float | None, left_type: pa.DataType, right_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _tiles(batches: Iterator[pa.RecordBatch], k: int | None, threshold: float | None, left_type: pa.DataType, right_type: pa.DataType, unit: bool) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("left_id", left_type), ("right_id", right_type), ("score", pa.float64())])
 
     def matched(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +54,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], k: int | None, threshold: float |
         if not len(rights) or not len(lefts):
             return
         rights = rights.sort_by("right_id")
-        r, l = _unit(rights.column("v")), _unit(lefts.column("v"))
+        r, l = _rows(rights.column("v"), unit), _rows(lefts.column("v"), unit)
         right_ids, left_ids = rights.column("right_id").combine_chunks(), lefts.column("left_id").combine_chunks()
         for a in range(0, len(l), 1024):
             score = np.round(l[a : a + 1024] @ r.T, DIGITS) + 0.0
@@ -88,8 +88,9 @@ def _tiles(batches: Iterator[pa.RecordBatch], k: int | None, threshold: float |
         yield from matched(held)
 
 
-def dense(left: DataFrame, right: DataFrame, k: int | None = None, threshold: float | None = None) -> DataFrame:
-    """Cosine matches of ``id``, ``block``, ``v`` (an array of numbers). Null
+def dense(left: DataFrame, right: DataFrame, k: int | None = None, threshold: float | None = None, unit: bool = True) -> DataFrame:
+    """Matches of ``id``, ``block``, ``v`` (an array of numbers) by cosine, or by
+    dot product if vectors don't get unit length. Null
     vectors, and those that are empty, zero or hold a null, have no matches.
     Vectors of one block must have one size."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -120,7 +121,7 @@ def dense(left: DataFrame, right: DataFrame, k: int | None = None, threshold: fl
     both = lefts.union(rights).repartition("tile").sortWithinPartitions("tile")
     schema = T.StructType([T.StructField("left_id", left_type), T.StructField("right_id", right_type), T.StructField("score", T.DoubleType())])
     a, b = to_arrow_type(left_type), to_arrow_type(right_type)
-    pairs = both.mapInArrow(lambda batches: _tiles(batches, k, threshold, a, b), schema)
+    pairs = both.mapInArrow(lambda batches: _tiles(batches, k, threshold, a, b, unit), schema)
     return rank_cut(pairs, k) if k is not None and (most[0] or 0) > 1 else pairs
 
 
@@ -131,6 +132,29 @@ def _counts(items: DataFrame, n: int) -> DataFrame:
     return counts.withColumn("size", F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id", "block")))
 
 
+def _candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that may reach the threshold, by prefixes of rare grams: as the most
+    frequent grams of a text whose norm stays below the threshold can't reach it
+    alone, texts that do must share one of the others. So a gram that all texts
+    have brings none together."""
+    sides = [x.select("block", "gram") for x in (a, b)]
+    frequency = sides[0].union(sides[1]).groupBy("block", "gram").agg(F.count("*").alias("df"))
+
+    def prefix(x: DataFrame, id: str, w: str, size: str) -> DataFrame:
+        so_far = Window.partitionBy("block", id).orderBy(F.desc("df"), "gram").rowsBetween(Window.unboundedPreceding, 0)
+        norm = F.sum(F.col(w) * F.col(w)).over(so_far)
+        return x.join(frequency, ["block", "gram"]).withColumn("norm", norm).where(F.col("norm") >= F.col(size) * (max(0.0, threshold - 1e-6) ** 2)).select("block", "gram", id)
+
+    return prefix(a, "left_id", "wl", "sl").join(prefix(b, "right_id", "wr", "sr"), ["block", "gram"]).select("block", "left_id", "right_id").distinct()
+
+
+def _verified(candidates: DataFrame, a: DataFrame, b: DataFrame, k: int | None, threshold: float) -> DataFrame:
+    shared = candidates.join(a, ["block", "left_id"]).join(b, ["block", "right_id", "gram"])
+    products = shared.groupBy("block", "left_id", "right_id").agg(F.sum(F.col("wl") * F.col("wr")).alias("p"), F.first("sl").alias("sl"), F.first("sr").alias("sr"))
+    pairs = products.select("left_id", "right_id", F.round(F.col("p") / F.sqrt(F.col("sl").cast("double") * F.col("sr")), DIGITS).alias("score")).where(F.col("score") >= threshold)
+    return pairs if k is None else rank_cut(pairs, k).select("left_id", "right_id", "score")
+
+
 def sparse(left: DataFrame, right: DataFrame, n: int, k: int | None = None, threshold: float | None = None) -> DataFrame:
     """Cosine matches of the n-gram counts of ``id``, ``block``, ``text``.
     Empty texts have no matches. Without a threshold above 0, a left item with
@@ -139,6 +163,8 @@ def sparse(left: DataFrame, right: DataFrame, n: int, k: int | None = None, thre
     left, right = (x.select("id", "block", "text").where("id is not null and block is not null and length(text) > 0") for x in (left, right))
     a = _counts(left, n).select(F.col("id").alias("left_id"), "block", "gram", F.col("w").alias("wl"), F.col("size").alias("sl"))
     b = _counts(right, n).select(F.col("id").alias("right_id"), "block", "gram", F.col("w").alias("wr"), F.col("size").alias("sr"))
+    if threshold is not None and threshold > 0:
+        return _verified(_candidates(a, b, threshold), a, b, k, threshold)
     products = a.join(b, ["block", "gram"]).groupBy("block", "left_id", "right_id").agg(F.sum(F.col("wl") * F.col("wr")).alias("p"), F.first("sl").alias("sl"), F.first("sr").alias("sr"))
     pairs = products.select("block", "left_id", "right_id", F.round(F.col("p") / F.sqrt(F.col("sl").cast("double") * F.col("sr")), DIGITS).alias("score"))
     if threshold is not None:
@@ -148,10 +174,7 @@ def sparse(left: DataFrame, right: DataFrame, n: int, k: int | None = None, thre
             every = left.select(F.col("id").alias("left_id"), "block").join(right.select(F.col("id").alias("right_id"), "block"), "block")
             pairs = every.join(pairs, ["block", "left_id", "right_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         return pairs.select("left_id", "right_id", "score")
-    best = rank_cut(pairs, k)
-    if threshold is not None and threshold > 0:
-        return best.select("left_id", "right_id", "score")
-    best = stash(best, "best")
+    best = stash(rank_cut(pairs, k), "best")
     found = best.groupBy("left_id").agg(F.count("*").alias("n"))
     short = left.select(F.col("id").alias("left_id"), "block").join(found, "left_id", "left").where(f"coalesce(n, 0) < {k}").drop("n")
     nth = F.row_number().over(Window.partitionBy("block").orderBy("id"))

@@ -151,3 +151,36 @@ def test_vectors_of_different_sizes_raise(spark):
     df = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0, 3.0])], "id long, v array<double>")
     with pytest.raises(Exception, match="different sizes"):
         linkage.merge_knn(df, df, embedder=Precomputed("v"), left_id="id", right_id="id").collect()
+
+
+def test_prefixes_lose_no_pair(spark):
+    """With one n-gram in every key, of the same counts as all pairs give."""
+    import random
+
+    r = random.Random(3)
+    names = ["item " + "".join(r.choice("abcde") for _ in range(r.choice([2, 6, 12]))) for _ in range(150)]
+    left = spark.createDataFrame([(i, n) for i, n in enumerate(names[:100])] + [(990, ""), (991, None)], "l int, n string")
+    right = spark.createDataFrame([(i, n) for i, n in enumerate(names[50:])] + [(800 + i, names[60]) for i in range(20)], "r int, n string")
+    every = {(x.l, x.r, x.score) for x in linkage.merge_range(left, right, on="n", sim_threshold=-1, left_id="l", right_id="r").collect() if x.r is not None}
+    for least in (0.2, 0.5, 0.95):
+        found = {(x.l, x.r, x.score) for x in linkage.merge_range(left, right, on="n", sim_threshold=least, left_id="l", right_id="r").collect() if x.r is not None}
+        assert found == {x for x in every if x[2] >= least} and found
+    top = linkage.merge_knn(left, right, on="n", k=2, drop_sim_threshold=0.5, left_id="l", right_id="r").collect()
+    for i in range(100):
+        best = sorted((-s, b) for a, b, s in every if a == i)[:2]
+        assert sorted((-x.score, x.r) for x in top if x.l == i) == [x for x in best if -x[0] >= 0.5]
+
+
+def test_a_gram_of_all_keys_brings_none_together(spark):
+    from affinis.plans import similarity
+
+    items = spark.createDataFrame([(i, "", f"common{chr(97 + i % 26)}{chr(97 + i // 26)}{i * 7919}") for i in range(300)], "id int, block string, text string")
+    a, b = (similarity._counts(items, 3).select(F.col("id").alias(side + "_id"), "block", "gram", F.col("w").alias("w" + side[0]), F.col("size").alias("s" + side[0])) for side in ("left", "right"))
+    assert similarity._candidates(a, b, 0.9).count() < 1500  # of 90,000
+
+
+def test_ranges_in_the_left_order(spark):
+    left = spark.createDataFrame([(i, f"name {9 - i}") for i in range(10)], "id int, n string").repartition(5)
+    out = linkage.merge_range(left, left, on="n", sim_threshold=0.3, left_id="id", right_id="id", in_order=True)
+    ids = [r.id_x for r in out.collect()]
+    assert ids == sorted(ids) and len(ids) > 10 and "id_lt_x" not in out.columns
