@@ -93,12 +93,12 @@ def merge_range_left(spark: SparkSession, d: str) -> DataFrame:
     return linkage.merge_range(v, v, sim_threshold=0.3, embedder=VECTOR, left_id="vec_id", right_id="vec_id").select("vec_id_x", "vec_id_y", "score")
 
 
-@query(f"""WITH {_ngram_pairs("SELECT n_nationkey AS id, '' AS blk, n_name AS t FROM nation", "SELECT r_regionkey AS id, '' AS blk, r_name AS t FROM region")}
-, near AS (SELECT * FROM pairs WHERE s >= 0.1)
-SELECT n_nationkey, n_name, r_regionkey, r_name, s AS score FROM nation LEFT JOIN near ON a = n_nationkey LEFT JOIN region ON b = r_regionkey""")
+@query(f"""WITH {_ngram_pairs("SELECT c_custkey AS id, '' AS blk, c_name AS t FROM customer", "SELECT s_suppkey AS id, '' AS blk, s_name AS t FROM supplier")}
+, near AS (SELECT * FROM pairs WHERE s >= 0.7)
+SELECT c_custkey, c_name, s_suppkey, s_name, s AS score FROM customer LEFT JOIN near ON a = c_custkey LEFT JOIN supplier ON b = s_suppkey""")
 def merge_range_text(spark: SparkSession, d: str) -> DataFrame:
-    left, right = _table(spark, d, "nation").select("n_nationkey", "n_name"), _table(spark, d, "region").select("r_regionkey", "r_name")
-    return linkage.merge_range(left, right, sim_threshold=0.1, left_on="n_name", right_on="r_name", left_id="n_nationkey", right_id="r_regionkey")
+    left, right = _table(spark, d, "customer").select("c_custkey", "c_name"), _table(spark, d, "supplier").select("s_suppkey", "s_name")
+    return linkage.merge_range(left, right, sim_threshold=0.7, left_on="c_name", right_on="s_name", left_id="c_custkey", right_id="s_suppkey")
 
 
 @query(f"""WITH {_ngram_pairs("SELECT c_custkey AS id, c_nationkey::VARCHAR AS blk, c_name AS t FROM customer", "SELECT s_suppkey AS id, s_nationkey::VARCHAR AS blk, s_name AS t FROM supplier")}
@@ -122,10 +122,17 @@ def merge_blocking_label(spark: SparkSession, d: str) -> DataFrame:
     return linkage.merge_blocking(v, v, blocking_vars=["label"], embedder=VECTOR, left_id="vec_id", right_id="vec_id").select("vec_id_x", "label_x", "vec_id_y", "score")
 
 
-@query(f"""WITH {_ngram_pairs("SELECT n_nationkey AS id, '' AS blk, n_name AS t FROM nation", "SELECT r_regionkey AS id, '' AS blk, r_name AS t FROM region")}
-SELECT n_nationkey, n_name, n_regionkey, r_regionkey, r_name, s AS score FROM ({_TOP}) JOIN nation ON a = n_nationkey JOIN region ON b = r_regionkey WHERE nth = 1""")
+@query(f"""WITH kinds AS (SELECT DISTINCT p_type AS kind FROM part), {_ngram_pairs("SELECT p_partkey AS id, '' AS blk, p_name AS t FROM part", "SELECT kind AS id, '' AS blk, kind AS t FROM kinds")}
+SELECT p_partkey, p_name, b AS kind, s AS score FROM ({_TOP}) JOIN part ON a = p_partkey WHERE nth = 1""")
 def aggregate_rows(spark: SparkSession, d: str) -> DataFrame:
-    return linkage.aggregate_rows(_table(spark, d, "nation"), _table(spark, d, "region"), "n_name", "r_name", left_id="n_nationkey", right_id="r_regionkey")
+    part = _table(spark, d, "part")
+    return linkage.aggregate_rows(part.select("p_partkey", "p_name"), part.select(F.col("p_type").alias("kind")).distinct(), "p_name", "kind", left_id="p_partkey", right_id="kind")
+
+
+@query("""SELECT (SELECT count(DISTINCT c_nationkey) FROM customer) AS n_left, (SELECT count(DISTINCT s_nationkey) FROM supplier) AS n_right,
+(SELECT count(DISTINCT c_nationkey) FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)) AS n_both""")
+def block_counts(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.block_counts(_table(spark, d, "customer").withColumnRenamed("c_nationkey", "nation"), _table(spark, d, "supplier").withColumnRenamed("s_nationkey", "nation"), ["nation"])
 
 
 def _ask(prompt: str, payload: str) -> str:
@@ -142,10 +149,11 @@ def merge_k_judge(spark: SparkSession, d: str) -> DataFrame:
     return judge.merge_k_judge(left, right, judge.Judge(_ask), k=2, left_on="n_name", right_on="r_name", left_id="n_nationkey", right_id="r_regionkey")
 
 
-@query("""WITH scored AS (SELECT n.*, r.*, round(1 - levenshtein(n_name, r_name) / greatest(length(n_name), length(r_name)), 6) AS s FROM nation n, region r)
-SELECT n_nationkey, n_name, n_regionkey, r_regionkey, r_name, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY s DESC, r_regionkey) AS nth FROM scored) WHERE nth = 1""")
+@query("""WITH scored AS (SELECT s_suppkey, s_name, c_custkey, c_name, round(1 - levenshtein(s_name, c_name) / greatest(length(s_name), length(c_name)), 6) AS s FROM supplier, customer)
+SELECT s_suppkey, s_name, c_custkey, c_name, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY s DESC, c_custkey) AS nth FROM scored) WHERE nth = 1""")
 def levenshtein_top1(spark: SparkSession, d: str) -> DataFrame:
-    return linkage.merge_edit(_table(spark, d, "nation"), _table(spark, d, "region"), "n_name", "r_name", "n_nationkey", "r_regionkey")
+    left, right = _table(spark, d, "supplier").select("s_suppkey", "s_name"), _table(spark, d, "customer").select("c_custkey", "c_name")
+    return linkage.merge_edit(left, right, "s_name", "c_name", "s_suppkey", "c_custkey")
 
 
 # scores
@@ -159,11 +167,14 @@ def edit_similarity(spark: SparkSession, d: str) -> DataFrame:
 _G = "list_transform(range(1, greatest(length({0}) - 2, 1) + 1), lambda i: substr(lower({0}), i, 3))"
 
 
-@query(f"""WITH x AS (SELECT p_partkey, unnest({_G.format("p_name")}) AS g FROM part), y AS (SELECT p_partkey, unnest({_G.format("p_type")}) AS g FROM part),
+_SCORED = f"""x AS (SELECT p_partkey, unnest({_G.format("p_name")}) AS g FROM part), y AS (SELECT p_partkey, unnest({_G.format("p_type")}) AS g FROM part),
 xc AS (SELECT p_partkey, g, count(*) AS w FROM x GROUP BY ALL), yc AS (SELECT p_partkey, g, count(*) AS w FROM y GROUP BY ALL),
 xn AS (SELECT p_partkey, sum(w * w) AS n FROM xc GROUP BY ALL), yn AS (SELECT p_partkey, sum(w * w) AS n FROM yc GROUP BY ALL),
-p AS (SELECT xc.p_partkey, sum(xc.w * yc.w) AS p FROM xc JOIN yc ON xc.p_partkey = yc.p_partkey AND xc.g = yc.g GROUP BY ALL)
-SELECT xn.p_partkey, coalesce(round(p / sqrt(xn.n::DOUBLE * yn.n), 6), 0.0::DOUBLE) AS score FROM xn JOIN yn ON xn.p_partkey = yn.p_partkey LEFT JOIN p ON p.p_partkey = xn.p_partkey""")
+p AS (SELECT xc.p_partkey, sum(xc.w * yc.w) AS p FROM xc JOIN yc ON xc.p_partkey = yc.p_partkey AND xc.g = yc.g GROUP BY ALL),
+scored AS (SELECT xn.p_partkey, coalesce(round(p / sqrt(xn.n::DOUBLE * yn.n), 6), 0.0::DOUBLE) AS score FROM xn JOIN yn ON xn.p_partkey = yn.p_partkey LEFT JOIN p ON p.p_partkey = xn.p_partkey)"""
+
+
+@query(f"WITH {_SCORED} SELECT * FROM scored")
 def evaluate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return linkage.evaluate_pairs(_table(spark, d, "part").select("p_partkey", "p_name", "p_type"), "p_name", "p_type").select("p_partkey", "score")
 
@@ -356,12 +367,44 @@ def labels_to_numbers(spark: SparkSession, d: str) -> DataFrame:
     return rows.to_numbers(_table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", {"F": 0, "O": 1, "P": 2})
 
 
-@query("SELECT p_partkey, (p_size > 25)::INTEGER AS llm_is_match, p_size / 50.0::DOUBLE AS llm_confidence FROM part")
+@query("""SELECT p_partkey, (p_size % 8 IN (0, 1, 2))::INTEGER AS llm_is_match, CASE WHEN p_size % 8 <= 3 THEN p_size / 100.0::DOUBLE ELSE 0 END AS llm_confidence FROM part""")
 def judge_parse(spark: SparkSession, d: str) -> DataFrame:
-    answer = F.concat(F.lit('{"is_match": '), (F.col("p_size") > 25).cast("string"), F.lit(', "confidence": '), (F.col("p_size") / 50.0).cast("string"), F.lit("}"))
+    kind, sure = F.col("p_size") % 8, (F.col("p_size") / 100.0).cast("string")
+    answers = [
+        F.concat(F.lit('{"is_match": true, "confidence": '), sure, F.lit("}")), F.concat(F.lit("[1, "), sure, F.lit("]")), F.concat(F.lit("Yes, they are: "), sure),
+        F.concat(F.lit('{"label": "no", "score": "'), sure, F.lit('"}')), F.lit("I can't say"), F.lit(""), F.lit(None), F.lit("[1]"),
+    ]
+    answer = F.coalesce(*[F.when(kind == k, x) for k, x in enumerate(answers)])
     return judge.judged(_table(spark, d, "part").select("p_partkey", answer.alias("answer")), "answer").drop("answer")
 
 
+def _topic(messages: list[dict], parameters: dict) -> str:
+    text = messages[-1]["content"]
+    if "bolt" in text:
+        raise ValueError("no answer")
+    return "Yes" if "ring" in text and parameters["max_tokens"] == 1 else "No"
+
+
+@query("""SELECT p_partkey, CASE WHEN p_name LIKE '%bolt%' THEN NULL WHEN p_name LIKE '%ring%' THEN 1 ELSE 0 END::INTEGER AS clf_preds_p_name,
+CASE WHEN p_name LIKE '%bolt%' THEN 'ValueError: no answer' END AS clf_error_p_name FROM part""")
+def classify_by_requests(spark: SparkSession, d: str) -> DataFrame:
+    return rows.classify_by_requests(_table(spark, d, "part").select("p_partkey", "p_name"), "p_name", _topic, topic="rings", retries=2, pause=0).drop("p_name")
+
+
+def _shout(messages: list[dict], parameters: dict) -> str:
+    return messages[-1]["content"].upper()
+
+
+@query("SELECT p_partkey, upper(p_name) AS transformed_p_name FROM part")
+def array_transform(spark: SparkSession, d: str) -> DataFrame:
+    return rows.transform_rows(_table(spark, d, "part").select("p_partkey", "p_name"), "p_name", rows.array_transform(_shout, "Write the texts in capitals."), batch_size=20).drop("p_name")
+
+
+@query("SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS prediction FROM embeddings")
+def label_of_scores(spark: SparkSession, d: str) -> DataFrame:
+    return rows.label_of_scores(_table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding").drop("embedding")
+
+
 # measures
 
 
@@ -434,18 +477,18 @@ def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window
 
     v = _vectors(spark, d)
-    found = linkage.merge_knn(v, v, k=11, embedder=VECTOR, left_id="vec_id", right_id="vec_id").where("vec_id_x <> vec_id_y")
+    found = linkage.merge_knn(v, v, k=101, embedder=VECTOR, left_id="vec_id", right_id="vec_id").where("vec_id_x <> vec_id_y")
     nth = F.row_number().over(Window.partitionBy("vec_id_x").orderBy(F.desc("score"), "vec_id_y"))
-    hits = found.select(F.col("vec_id_x").alias("qid"), F.col("vec_id_y").alias("cid"), nth.alias("rank")).where("rank <= 10")
+    hits = found.select(F.col("vec_id_x").alias("qid"), F.col("vec_id_y").alias("cid"), nth.alias("rank")).where("rank <= 100")
     own, other = v.select(F.col("vec_id").alias("qid"), "label"), v.select(F.col("vec_id").alias("cid"), "label")
     return hits, own.join(other, "label").where("qid <> cid").select("qid", "cid")
 
 
-_HITS = f"""{_DENSE}, ranked AS (SELECT a, b, la = lb AS hit, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM pairs) WHERE a <> b AND n <= 11),
-h AS (SELECT *, sum(hit::INT) OVER (PARTITION BY a ORDER BY rank) AS so_far FROM ranked WHERE rank <= 10),
+_HITS = f"""{_DENSE}, ranked AS (SELECT a, b, la = lb AS hit, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM pairs) WHERE a <> b AND n <= 101),
+h AS (SELECT *, sum(hit::INT) OVER (PARTITION BY a ORDER BY rank) AS so_far FROM ranked WHERE rank <= 100),
 w AS (SELECT x.vec_id AS a, count(*) AS wanted FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id GROUP BY ALL),
-q AS (SELECT w.a, wanted, sum((hit AND rank <= 1)::INT) AS h1, sum((hit AND rank <= 3)::INT) AS h3, sum((hit AND rank <= 5)::INT) AS h5, sum(hit::INT) AS h10,
- coalesce(max(CASE WHEN hit THEN 1 / rank END), 0) AS rr, coalesce(sum(CASE WHEN hit THEN 1 / log2(rank + 1) END), 0) AS dcg, coalesce(sum(CASE WHEN hit THEN so_far / rank END), 0) AS ap FROM w LEFT JOIN h ON h.a = w.a GROUP BY ALL)"""
+q AS (SELECT w.a, wanted, sum((hit AND rank <= 1)::INT) AS h1, sum((hit AND rank <= 3)::INT) AS h3, sum((hit AND rank <= 5)::INT) AS h5, sum((hit AND rank <= 10)::INT) AS h10,
+ coalesce(max(CASE WHEN hit AND rank <= 10 THEN 1 / rank END), 0) AS rr, coalesce(sum(CASE WHEN hit AND rank <= 10 THEN 1 / log2(rank + 1) END), 0) AS dcg, coalesce(sum(CASE WHEN hit THEN so_far / rank END), 0) AS ap FROM w LEFT JOIN h ON h.a = w.a GROUP BY ALL)"""
 _AT = ", ".join(f"round(avg((h{k} > 0)::INT), 6) AS accuracy_{k}, round(avg(h{k} / {k}), 6) AS precision_{k}, round(avg(h{k} / wanted), 6) AS recall_{k}" for k in (1, 3, 5, 10))
 
 
@@ -456,7 +499,8 @@ def ir_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_HITS} SELECT round(avg((h10 > 0)::INT), 6) AS accuracy FROM q""")
 def matching_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.matching_accuracy(*_hits(spark, d))
+    hits, relevant = _hits(spark, d)
+    return metrics.matching_accuracy(hits.where("rank <= 10"), relevant)
 
 
 # training data
@@ -580,7 +624,14 @@ def train_classifier(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([train.train_classifier(data, ["text"], "quality")[2]])
 
 
-@query()
+@query(f"""WITH {_SCORED},
+named AS (SELECT score, (p_size > 25)::INTEGER AS label, {_split("p_name || '|' || p_type")} AS split FROM scored JOIN part USING (p_partkey)),
+s AS (SELECT score, count(*) AS c, sum(label) AS p FROM named WHERE split = 'train' GROUP BY score),
+t AS (SELECT score, sum(c) OVER (ORDER BY score DESC) AS n, sum(p) OVER (ORDER BY score DESC) AS tp, sum(p) OVER () AS all_p FROM s),
+best AS (SELECT score AS threshold FROM t ORDER BY round(2 * tp / (n + all_p), 6) DESC, score DESC LIMIT 1),
+c AS (SELECT threshold, count(*) AS n, sum((label = (score >= threshold)::INT)::INT) AS good, sum(label * (score >= threshold)::INT) AS tp, sum((score >= threshold)::INT) AS said, sum(label) AS real FROM named, best WHERE split = 'test' GROUP BY threshold)
+SELECT threshold, round(good / n, 6) AS accuracy, coalesce(round(tp / nullif(said, 0), 6), 0) AS precision, coalesce(round(tp / nullif(real, 0), 6), 0) AS recall,
+ coalesce(round(2 * (tp / said) * (tp / real) / nullif(tp / said + tp / real, 0), 6), 0) AS f1 FROM c""")
 def train_linkage(spark: SparkSession, d: str) -> DataFrame:
     both = _table(spark, d, "part").select("p_name", "p_type", (F.col("p_size") > 25).cast("int").alias("label"))
     threshold, measures = train.train_linkage(both, train.LinkageConfig(["p_name"], ["p_type"]))
@@ -594,7 +645,17 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return tables.read_table(spark, path, "p_partkey int, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
 
 
-@query("""SELECT event_id, event_type, p_type FROM events LEFT JOIN (SELECT DISTINCT p_type FROM part) ON lower(event_type) = lower(p_type)""")
+@query("SELECT event_id, user_id, c_name FROM events LEFT JOIN customer ON user_id = c_custkey")
 def stream_exact_match(spark: SparkSession, d: str) -> DataFrame:
-    kinds = _table(spark, d, "part").select("p_type").distinct()
-    return match.exact_match(_table(spark, d, "events").select("event_id", "event_type"), kinds, "event_type", "p_type")
+    """The events as a stream, in files as they come, against the customers."""
+    events = _table(spark, d, "events").select("event_id", "user_id")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")  # a pattern may name one file
+    path = until_exit(spark, "stream")
+    match.exact_match(stream, _table(spark, d, "customer").select("c_custkey", "c_name"), "user_id", "c_custkey").drop("c_custkey").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("""SELECT x.vec_id AS left_id, y.vec_id AS right_id, round(list_inner_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) + 0.0::DOUBLE AS score FROM embeddings x JOIN embeddings y ON y.label = 0""")
+def all_pair_dots(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d)
+    return linkage.all_pair_dots(v, v.where("label = 0"), "embedding", "vec_id", "vec_id")

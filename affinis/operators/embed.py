@@ -7,7 +7,9 @@ and the keys at hand choose a provider are kept here too.
 
 from __future__ import annotations
 
+import functools
 import os
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -95,17 +97,24 @@ def provider(model: str) -> str:
     return "gemini" if is_gemini_embedding(model) else "openai" if is_openai_embedding(model) else "local"
 
 
-def retrieval(sbert: str | None = None, api: str | None = None, gemini: str | None = None, openai: str | None = None) -> tuple[str, str]:
-    """(mode, model) for the candidates of a judged merge. A local model
-    overrides any API model; ``api="auto"`` takes Gemini if it has a key."""
-    if sbert:
+def retrieval(sbert: str | None = None, api: str | None = None, gemini: str | None = None, openai: str | None = None, default: str = "all-MiniLM-L6-v2") -> tuple[str, str]:
+    """(mode, model) for the candidates of a judged merge: a local model, or an
+    API's, never both. ``api="auto"`` takes Gemini if it has a key, else the
+    other provider. With neither, ``default`` (the judge's own model) is taken,
+    with a warning."""
+    if sbert is not None and api is not None:
+        raise ValueError("candidates come from a local model or from an API's, not from both")
+    if sbert is not None:
         return "local", sbert
-    if api in (None, "auto"):
-        if gemini:
+    if api == "auto":
+        if gemini or os.environ.get("GEMINI_API_KEY"):
             return "gemini", "gemini-embedding-001"
-        if openai:
-            return "openai", "text-embedding-3-large"
-        return "local", "all-MiniLM-L6-v2"
+        if openai or os.environ.get("OPENAI_API_KEY"):
+            return "openai", "text-embedding-3-small"
+        raise ValueError("no key that chooses a model for the candidates")
+    if api is None:
+        warnings.warn(f"no model is named for the candidates; {default} is taken", stacklevel=2)
+        api = default
     return provider(api), api
 
 
@@ -130,3 +139,68 @@ def remote_encoder(request: Callable[[list[str]], list[list[float]]], most_chara
         return np.array([v for part in character_batches(texts, most_characters) for v in request(part)])
 
     return Encoder(encode)
+
+
+@functools.lru_cache(4)
+def _loaded(load: Callable, arguments: tuple):
+    return load(*arguments)
+
+
+def load_encoder(load: Callable[..., Callable[[list[str]], np.ndarray]], *arguments, batch_size: int = 128) -> Encoder:
+    """An encoder whose model each worker loads once, when it first needs it:
+    ``load(*arguments)`` gives the function that encodes. What ``load`` raises is
+    raised by the query."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        return _loaded(load, arguments)(texts)
+
+    return Encoder(encode, batch_size)
+
+
+def onnx_model(folder: str) -> Callable[[list[str]], np.ndarray]:
+    """For ``load_encoder``: the mean of the last hidden states, over a text's
+    tokens, of ``model.onnx`` with ``tokenizer.json``, both in a folder that all
+    workers see. A missing file raises FileNotFoundError."""
+    for name in ("model.onnx", "tokenizer.json"):
+        if not os.path.exists(os.path.join(folder, name)):
+            raise FileNotFoundError(f"{folder} has no {name}")
+    import onnxruntime
+    from tokenizers import Tokenizer
+
+    session = onnxruntime.InferenceSession(os.path.join(folder, "model.onnx"))
+    tokenizer = Tokenizer.from_file(os.path.join(folder, "tokenizer.json"))
+    tokenizer.enable_padding()
+    wanted = {x.name for x in session.get_inputs()}
+
+    def encode(texts: list[str]) -> np.ndarray:
+        found = tokenizer.encode_batch(texts)
+        mask = np.array([x.attention_mask for x in found], np.int64)
+        feed = {"input_ids": np.array([x.ids for x in found], np.int64), "attention_mask": mask, "token_type_ids": np.zeros_like(mask)}
+        hidden = session.run(None, {k: v for k, v in feed.items() if k in wanted})[0]
+        return (hidden * mask[..., None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1)
+
+    return encode
+
+
+@functools.lru_cache(4)
+def _tokenizer(path: str, length: int):
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.enable_truncation(length)
+    found.enable_padding(length=length)
+    return found
+
+
+def tokenize(df: DataFrame, column: str, tokenizer: str, length: int = 512) -> DataFrame:
+    """``df`` with ``input_ids`` and ``attention_mask``, cut and filled up to
+    ``length``, by a tokenizer file that all workers see. A null is an empty text."""
+
+    @F.pandas_udf("input_ids array<int>, attention_mask array<int>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = _tokenizer(tokenizer, length).encode_batch(["" if pd.isna(t) else t for t in part])
+            yield pd.DataFrame({"input_ids": [x.ids for x in found], "attention_mask": [x.attention_mask for x in found]})
+
+    kept = [c for c in df.columns if c not in ("input_ids", "attention_mask")]
+    return df.withColumn("__t", run(col(column))).select(*[col(c) for c in kept], "__t.input_ids", "__t.attention_mask")

@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,15 +56,19 @@ def train_linkage(pairs: DataFrame, config: LinkageConfig, embedder: Embedder |
 
 
 def train_classifier(df: DataFrame, on: list[str], label: str, features: int = 1 << 14, weighted: bool = True, seed: int = 22) -> tuple[PipelineModel, DataFrame, dict[str, float]]:
-    """A text classifier with its label numbers and its measures on the test
-    split. ``weighted`` gives rarer labels more weight."""
+    """A text classifier over words and pairs of words, weighted by their rarity,
+    with its label numbers and its measures on the test split. ``weighted`` gives rarer labels more weight."""
     data = classification_data(df, on, label, seed=seed).where("number is not null")
     labels = data.where("split = 'train'").select("label", "number").distinct()
     training = data.where("split = 'train'")
     training = training.join(F.broadcast(class_weights(training, "label")), "label") if weighted else training.withColumn("weight", F.lit(1.0))
     steps = [
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+"),
-        HashingTF(inputCol="words", outputCol="features", numFeatures=features),
+        NGram(n=2, inputCol="words", outputCol="pairs"),
+        HashingTF(inputCol="words", outputCol="word_counts", numFeatures=features),
+        HashingTF(inputCol="pairs", outputCol="pair_counts", numFeatures=features),
+        VectorAssembler(inputCols=["word_counts", "pair_counts"], outputCol="counts"),
+        IDF(inputCol="counts", outputCol="features", minDocFreq=2),
         LogisticRegression(labelCol="number", weightCol="weight", maxIter=30, regParam=1e-3),
     ]
     model = Pipeline(stages=steps).fit(training.withColumn("number", F.col("number").cast("double")))

@@ -63,3 +63,18 @@ def write_label_map(labels: dict[str, int], path: str) -> None:
 def read_label_map(path: str) -> dict[str, int]:
     with open(path) as file:
         return json.load(file)
+
+
+def sample_tables(spark: SparkSession) -> dict[str, DataFrame]:
+    """Small tables to try the operators on: two lists of firms, and products
+    with their kinds."""
+    return {
+        "firms_a": spark.createDataFrame([(1, "Harbour Shipping Co", "NO"), (2, "Miller & Sons Bakery", "GB"), (3, "Lindqvist Papper AB", "SE"), (4, "Cafe Azul", "ES")], "id int, firm string, country string"),
+        "firms_b": spark.createDataFrame([(101, "Harbour Shipping Company", "NO"), (102, "Miller and Sons Bakery Ltd", "GB"), (103, "Lindqvist Papper", "SE"), (104, "Nordic Timber", "FI")], "number int, company string, land string"),
+        "products": spark.createDataFrame([("oak table", "furniture"), ("pine chair", "furniture"), ("rye bread", "food"), ("goat cheese", "food")], "product string, kind string"),
+    }
+
+
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    """Some ``n`` rows to look at."""
+    return df.limit(n)

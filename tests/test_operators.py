@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from affinis.functions import text, vectors
-from affinis.operators import cluster, embed, graph, judge, metrics, prep, rows, train
+from affinis.operators import cluster, embed, graph, judge, linkage, metrics, prep, rows, train
 from affinis.operators.embed import Precomputed
 from affinis.plans.ranking import dense_ids
+from affinis.sources import tables
 
 # text and vectors
 
@@ -45,8 +46,12 @@ def test_routing(monkeypatch):
     with pytest.raises(ValueError):
         embed.gemini_key()
     assert [embed.provider(m) for m in ("text-embedding-004", "text-embedding-3-small", "all-MiniLM-L6-v2")] == ["gemini", "openai", "local"]
-    assert embed.retrieval("m", "text-embedding-3-small")[0] == "local"
-    assert embed.retrieval(api="auto", gemini="g", openai="o")[0] == "gemini" and embed.retrieval(openai="o")[0] == "openai"
+    with pytest.raises(ValueError, match="not from both"):
+        embed.retrieval("m", "text-embedding-3-small")
+    with pytest.warns(UserWarning, match="no model is named"):
+        assert embed.retrieval(default="text-embedding-3-small") == ("openai", "text-embedding-3-small")
+    assert embed.retrieval("m") == ("local", "m") and embed.retrieval(api="gemini-embedding-001")[0] == "gemini"
+    assert embed.retrieval(api="auto", gemini="g", openai="o")[0] == "gemini" and embed.retrieval(api="auto", openai="o")[0] == "openai"
     assert embed.gemini_name("x") == "models/x" == embed.gemini_name("models/x")
     assert embed.character_batches(["a" * 9, "b" * 2, "c" * 2], 4) == [["a" * 9], ["b" * 2, "c" * 2]]
 
@@ -317,3 +322,97 @@ def test_training(spark, tmp_path):
     assert train.LinkageConfig.read(str(tmp_path / "c.json"), n=4).n == 4
     threshold, measures = train.train_linkage(spark.createDataFrame(pairs, "a string, b string, label int"), config)
     assert 0.3 < threshold <= 1 and measures["f1"] == 1.0
+
+
+# requests, models, tokens
+
+
+def test_requests_fail_row_by_row(spark):
+    df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, None)], "id int, t string")
+
+    def ask(messages, parameters):
+        assert messages[0]["content"] == "Is the text about wine? Answer Yes or No." and parameters["temperature"] == 0.5
+        if messages[1]["content"] == "bad":
+            raise RuntimeError("too many")
+        return "Yes" if messages[1]["content"] else "No"
+
+    out = rows.classify_by_requests(df, "t", ask, topic="wine", parameters={"temperature": 0.5}, retries=2, pause=0)
+    assert sorted(map(tuple, out.collect())) == [(1, "good", 1, None), (2, "bad", None, "RuntimeError: too many"), (3, None, 0, None)]
+    strange = rows.classify_by_requests(df, "t", lambda m, p: "Maybe", topic="wine", pause=0)
+    assert {r.clf_preds_t for r in strange.collect()} == {"Maybe"}  # all or nothing
+    with pytest.raises(ValueError, match="topic or a prompt"):
+        rows.classify_by_requests(df, "t", ask)
+    with pytest.raises(ValueError, match="3 labels"):
+        rows.classify_by_requests(df, "t", ask, topic="x", label_map={"a": 0, "b": 1, "c": 2})
+    with pytest.warns(UserWarning, match="labels Yes and No"):
+        rows.classify_by_requests(df, "t", lambda m, p: "Yes", prompt="own")
+
+
+def test_a_request_is_tried_again():
+    tries = []
+
+    def ask(messages, parameters):
+        tries.append(json.loads(messages[1]["content"]))
+        return "[1" if len(tries) == 1 else '["a"]' if len(tries) == 2 else '["A", "B"]'
+
+    assert rows.array_transform(ask, "capitals", pause=0)(["a", "b"], {}) == ["A", "B"] and len(tries) == 3
+    with pytest.raises(ValueError, match="no array of 1"):
+        rows.array_transform(lambda m, p: "[]", "x", retries=2, pause=0)(["a"], {})
+
+
+def test_label_of_scores(spark):
+    df = spark.createDataFrame([([0.1, 0.7],), ([0.5, 0.5],), ([],), (None,)], "s array<double>")
+    assert [r.prediction for r in rows.label_of_scores(df, "s").collect()] == [1, 0, None, None]
+    assert [r.prediction for r in rows.label_of_scores(df, "s", {"no": 0, "yes": 1}).collect()] == ["yes", "no", None, None]
+
+
+def test_a_model_is_loaded_once_a_worker(spark):
+    def counting(start):
+        calls = {"loads": start}
+
+        def encode(texts):
+            calls["loads"] += 1
+            return [[float(len(t)), float(calls["loads"])] for t in texts]
+
+        return encode
+
+    df = spark.createDataFrame([(i, "x" * i) for i in range(1, 7)], "id int, t string").coalesce(1)
+    out = df.withColumn("v", embed.load_encoder(counting, 0, batch_size=2).column(F.col("t"))).collect()
+    assert [r.v[0] for r in out] == [1, 2, 3, 4, 5, 6] and [r.v[1] for r in out] == [1, 1, 2, 2, 3, 3]
+    with pytest.raises(FileNotFoundError):
+        embed.onnx_model("/nowhere")
+
+
+def test_tokenize(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    out = embed.tokenize(spark.createDataFrame([("hello world",), (None,), ("word " * 50,)], "t string"), "t", path, 8).collect()
+    assert all(len(r.input_ids) == len(r.attention_mask) == 8 for r in out)
+    assert [sum(r.attention_mask) for r in out] == [2, 0, 8]
+
+
+def test_ngram_cosine_against_counting(spark):
+    import random
+    from collections import Counter
+
+    r = random.Random(1)
+    texts = [("".join(r.choice("abA ") for _ in range(r.choice([0, 1, 2, 3, 9, 40]))), "".join(r.choice("ab ") for _ in range(r.choice([0, 1, 3, 20])))) for _ in range(60)]
+
+    def grams(t):
+        t = t.lower()
+        return Counter(t[i : i + 3] for i in range(max(1, len(t) - 2))) if t else Counter()
+
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(texts)], "i int, a string, b string").withColumn("c", text.ngram_cosine(F.col("a"), F.col("b")))
+    for row in df.collect():
+        x, y = grams(row.a), grams(row.b)
+        if not x or not y:
+            assert row.c is None
+        else:
+            want = sum(x[g] * y[g] for g in x) / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+            assert abs(row.c - want) < 1e-12
+
+
+def test_samples_and_preview(spark):
+    sample = tables.sample_tables(spark)
+    assert set(sample) == {"firms_a", "firms_b", "products"} and tables.preview(sample["products"], 2).count() == 2
+    found = linkage.merge(sample["firms_a"], sample["firms_b"], left_on="firm", right_on="company", left_id="id", right_id="number")
+    assert {(r.id, r.number) for r in found.collect()} >= {(1, 101), (2, 102), (3, 103)}
