@@ -13,8 +13,14 @@ two sets agree in one with a probability close to their Jaccard similarity.
    of greater, smaller and equal registers. A bucket passes on only as many
    links as keep its connected contents connected.
 4. Bring together the texts of connected contents and compare exact shingle
-   sets; the groups are the connected components under the exact similarity.
+   sets where the estimate allows it; the groups are the connected components
+   under the exact similarity.
 5. The document with the least id of each group stays.
+
+A task compares all contents of a bucket or of a component only up to LIMIT of
+them. In a larger one every content is compared with the least one first, which
+settles a group of copies of one text; those that are not similar to it are then
+compared with all, in blocks of which a task holds two. The links are the same.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import connected_components
 from .shared import col, fresh, grouped, mix, only, stash, steps, utf8, words
 
 M, ROWS = 160, 4
@@ -37,6 +44,12 @@ _B = mix(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _W = mix(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 #: Rows of a table that may be broadcast; larger ones are joined by a shuffle.
 SMALL = 400_000
+#: Contents of a bucket or component that one task compares, the bytes of their
+#: texts, and the same for a block of a larger one.
+LIMIT, LIMIT_BYTES = 2048, 64 << 20
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: One content of so many is counted to find the large buckets.
+SAMPLED = 16
 
 
 def shingles(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +120,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    id, text_hash, text, key, registers = names
+    id, text_hash, text, key, registers, size = names
     for whole in batches:
         for first, last in steps(utf8(only(whole, text))[1], 1 << 19):
             batch = whole.slice(first, last - first)
@@ -124,7 +137,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[p
             key_column = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(known), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
             sig_column = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * M), len(known), [None, pa.py_buffer(found.tobytes())]).cast(pa.binary())
             empty = pa.scalar(None, pa.binary())
-            yield pa.RecordBatch.from_arrays([only(batch, id), only(batch, text_hash), pa.compute.if_else(mask, empty, key_column), pa.compute.if_else(mask, empty, sig_column)], names=[id, text_hash, key, registers])
+            yield pa.RecordBatch.from_arrays([only(batch, id), only(batch, text_hash), pa.compute.if_else(mask, empty, key_column), pa.compute.if_else(mask, empty, sig_column), pa.array(np.diff(utf8(only(batch, text))[1]))], names=[id, text_hash, key, registers, size])
 
 
 def _span(n: int, similar) -> list[tuple[int, int]]:
@@ -143,8 +156,7 @@ def _span(n: int, similar) -> list[tuple[int, int]]:
     return links
 
 
-def _fixed(column: pa.ChunkedArray, dtype, width: int) -> np.ndarray:
-    column = column.combine_chunks()
+def _fixed(column: pa.Array | pa.ChunkedArray, dtype, width: int) -> np.ndarray:
     return np.frombuffer(utf8(column)[0].tobytes(), dtype).reshape(-1, width)
 
 
@@ -172,29 +184,46 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[p
         yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(x), pa.int64())) for x in (left, right)], schema=schema)
 
 
-def _exact_groups(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _estimated(one: np.ndarray, many: np.ndarray, least: float) -> np.ndarray:
+    """Whether the likeliest similarity of one register row with each of many is ``least``."""
+    return np.concatenate([similarity(np.broadcast_to(one, (len(x), M)), x) for x in np.array_split(many, 1 + len(many) // 4096)]) >= least
+
+
+def _alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """The exact similarity of two sets of shingles."""
+    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
+        return False
+    at = np.searchsorted(a, b)
+    both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+    return both >= threshold * (len(a) + len(b) - both)
+
+
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    """The distinct shingles of each text, sorted."""
+    out = []
+    for first, last in steps(utf8(texts)[1]):
+        grams, at = shingles(*words(*utf8(texts.slice(first, last - first))))
+        out += [np.unique(grams[a:b]) for a, b in zip(at, at[1:])]
+    return out
+
+
+def _exact_groups(batches: Iterator[pa.RecordBatch], threshold: float, least: float) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("key", pa.binary()), ("group", pa.binary())])
     for table in grouped(batches, "component", 1):
         component = [x.as_py() for x in table.column("component").combine_chunks()]
         keys = table.column("key").to_pylist()
         edges = [0, *[i for i in range(1, len(keys)) if component[i] != component[i - 1]], len(keys)]
-        texts = table.column("text").combine_chunks()
+        texts, sig = table.column("text").combine_chunks(), _fixed(table.column("sig"), np.uint16, M)
         for first, last in zip(edges, edges[1:]):
             rows = [i for i in range(first, last) if i == first or keys[i] != keys[i - 1]]
-            own = [_distinct(texts, i) for i in rows]
+            own, mine = _sets(texts.take(pa.array(rows))), sig[rows]
             sizes = np.array([len(x) for x in own])
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            flat = np.concatenate(own)
 
             def similar(i: int, rest: np.ndarray) -> np.ndarray:
-                # only sets of similar sizes can reach the threshold
-                out = np.zeros(len(rest), bool)
-                can = np.minimum(sizes[rest], sizes[i]) >= threshold * np.maximum(sizes[rest], sizes[i])
-                for j in np.flatnonzero(can):
-                    other = flat[ends[rest[j]] : ends[rest[j] + 1]]
-                    at = np.searchsorted(own[i], other)
-                    both = int((own[i][np.minimum(at, sizes[i] - 1)] == other).sum())
-                    out[j] = both >= threshold * (sizes[i] + sizes[rest[j]] - both)
+                out = np.minimum(sizes[rest], sizes[i]) >= threshold * np.maximum(sizes[rest], sizes[i])
+                out[out] = _estimated(mine[i], mine[rest[out]], least)
+                for j in np.flatnonzero(out):
+                    out[j] = _alike(own[i], own[rest[j]], threshold)
                 return out
 
             label = np.arange(len(rows))
@@ -203,29 +232,88 @@ def _exact_groups(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array([keys[r] for r in rows], pa.binary()), pa.array([keys[rows[k]] for k in label], pa.binary())], schema=schema)
 
 
-def _distinct(texts: pa.Array, i: int) -> np.ndarray:
-    return np.unique(shingles(*words(*utf8(texts.slice(i, 1))))[0])
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``key``, ``component`` for the ends ``a``, ``b`` of the edges: every round
-    replaces a key by the least key among itself and its neighbours. Keys are
-    hashes, so their order is random and rounds grow with the logarithm."""
-    maps: list[DataFrame] = []
-    edges = stash(edges.where("a <> b").distinct(), "edges")
-    while not edges.isEmpty():
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stash(both.groupBy(F.col("a").alias("key")).agg(F.least(F.first("a"), F.min("b")).alias("to")), "least")
-        maps.append(least)
-        a, b = least.select(F.col("key").alias("a"), F.col("to").alias("x")), least.select(F.col("key").alias("b"), F.col("to").alias("y"))
-        edges = stash(edges.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-    if not maps:
-        return edges.select(F.col("a").alias("key"), F.col("b").alias("component"))
-    out = maps[0].select("key", F.col("to").alias("component"))
-    for later in maps[1:]:
-        step = later.select(F.col("key").alias("component"), "to")
-        out = out.join(step, "component", "left").select("key", F.coalesce("to", "component").alias("component"))
-    return out
+def _near_centre(batches: Iterator[pa.RecordBatch], threshold: float | None, least: float) -> Iterator[pa.RecordBatch]:
+    """For rows of two contents whether they are similar: by the estimate, and
+    with a threshold by their texts too."""
+    known: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+    for batch in batches:
+        near = similarity(_fixed(only(batch, "centre_sig"), np.uint16, M), _fixed(only(batch, "sig"), np.uint16, M)) >= least if batch.num_rows else np.zeros(0, bool)
+        centre = only(batch, "centre").to_pylist()
+        hits = np.flatnonzero(near) if threshold else np.zeros(0, np.int64)
+        for i, own in zip(hits.tolist(), _sets(only(batch, "text").take(pa.array(hits))) if len(hits) else ()):
+            if centre[i] != known[0]:
+                known = centre[i], _sets(only(batch, "centre_text").slice(i, 1))[0]
+            near[i] = _alike(known[1], own, threshold)
+        yield pa.RecordBatch.from_arrays([*[only(batch, c) for c in ("of", "centre", "key")], pa.array(near)], names=["of", "centre", "key", "near"])
+
+
+def _cross(batches: Iterator[pa.RecordBatch], threshold: float | None, least: float) -> Iterator[pa.RecordBatch]:
+    """Links that connect what is connected among the rows of a task, where a row
+    that asks is compared with all."""
+    for table in grouped(batches, "task", 1):
+        task = table.column("task").to_numpy()
+        for first, last in zip(*(lambda e: (e, np.append(e[1:], len(task))))(np.flatnonzero(np.diff(task, prepend=task[0] - 1)))):
+            own = table.slice(first, last - first)
+            key, asks, sig = own.column("key").to_pylist(), own.column("asks").to_numpy(zero_copy_only=False), _fixed(own.column("sig"), np.uint16, M)
+            number: dict[bytes, int] = {}
+            row = np.array([number.setdefault(k, len(number)) for k in key])
+            label, sets, found = np.arange(len(number)), {}, []
+            texts = own.column("text").combine_chunks() if threshold else None
+            rest = np.flatnonzero(~asks)
+            for i in np.flatnonzero(asks):
+                for j in rest[_estimated(sig[i], sig[rest], least)] if len(rest) else ():
+                    if label[row[i]] == label[row[j]]:
+                        continue
+                    if threshold:
+                        for k in (i, j):
+                            if row[k] not in sets:
+                                sets[row[k]] = _sets(texts.slice(int(k), 1))[0]
+                        if not _alike(sets[row[i]], sets[row[j]], threshold):
+                            continue
+                    label[label == label[row[j]]] = label[row[i]]
+                    found.append((key[i], key[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[s] for x in found], pa.binary()) for s in (0, 1)], names=["a", "b"])
+
+
+def _if_small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def _large_links(rows: DataFrame, contents: DataFrame, threshold: float | None, least: float) -> DataFrame:
+    """Links ``a``, ``b`` among the contents of large sets (``rows``: of, key) that
+    connect what is connected. ``contents`` has the registers of a key, and its
+    text if there is a threshold for the exact similarity."""
+    more = ["sig", "text"] if threshold else ["sig"]
+    size = F.sum("size") if threshold else F.lit(0)
+    sized = rows.join(contents.select("key", "size"), "key") if threshold else rows
+    sets = stash(sized.groupBy("of").agg(F.min("key").alias("centre"), F.count("*").alias("n"), size.alias("bytes")), "large")
+    tagged = rows.join(_if_small(sets), "of")
+    centres = contents.join(_if_small(stash(sets.select(F.col("centre").alias("key")).distinct(), "centres")), "key").select(F.col("key").alias("centre"), *[F.col(c).alias(f"centre_{c}") for c in more])
+    # a content in many large buckets is compared once with a centre that they share
+    pairs = tagged.groupBy("centre", "key").agg(F.min("of").alias("of")).join(contents.select("key", *more), "key").join(centres, "centre")
+    stars = stash(pairs.mapInArrow(lambda b: _near_centre(b, threshold, least), T.StructType([rows.schema["of"], T.StructField("centre", T.BinaryType()), T.StructField("key", T.BinaryType()), T.StructField("near", T.BooleanType())])), "stars")
+    links = stars.where("near and centre <> key").select(F.col("centre").alias("a"), F.col("key").alias("b"))
+    apart = stash(tagged.join(stars.where("not near").select("centre", "key"), ["centre", "key"]).select("of", "key", "n", "bytes"), "apart")
+    asking = stash(apart.groupBy("of").agg(F.count("*").alias("asking")), "asking")
+    if asking.isEmpty():
+        return links
+
+    def blocks(n: str) -> F.Column:
+        return F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col("bytes") / F.col("n") * F.col(n) / BLOCK_BYTES), F.lit(1)).cast("int")
+
+    def own(count: F.Column) -> F.Column:
+        return F.pmod(F.hash(F.lit("block"), "key"), count)
+
+    def every(count: F.Column) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), count - 1))
+
+    few = _if_small(asking)
+    first = apart.join(few, "of").select("of", "key", F.lit(True).alias("asks"), own(blocks("asking")).alias("x"), every(blocks("n")).alias("y"))
+    second = tagged.join(few, "of").select("of", "key", F.lit(False).alias("asks"), own(blocks("n")).alias("y"), every(blocks("asking")).alias("x")).select(*first.columns)
+    both = first.union(second).join(contents.select("key", *more), "key").withColumn("task", F.xxhash64("of", "x", "y")).select("task", "asks", "key", *more)
+    crossed = both.repartition("task").sortWithinPartitions("task", "asks", "key").mapInArrow(lambda b: _cross(b, threshold, least), "a binary, b binary")
+    return links.union(crossed)
 
 
 def near_groups(docs: DataFrame, threshold: float = 0.5, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -238,24 +326,47 @@ def near_groups(docs: DataFrame, threshold: float = 0.5, text: str = "text", id:
     are one document. An empty table gives an empty table.
     """
     named = docs.select(col(id).alias("id"), F.xxhash64(col(text)).alias("text_hash"), col(text).alias("text"))
-    names = ["id", "text_hash", "text", "key", "sig"]
-    schema = T.StructType([named.schema["id"], T.StructField("text_hash", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sig", T.BinaryType())])
+    names = ["id", "text_hash", "text", "key", "sig", "size"]
+    schema = T.StructType([named.schema["id"], T.StructField("text_hash", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("size", T.LongType())])
     base = stash(named.where("text is not null").mapInArrow(lambda b: _sketches(b, names), schema).where("key is not null"), "sketches")
+    contents = stash(base.groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("one"), F.first("sig").alias("sig"), F.max("size").alias("size")), "contents")
+    least = threshold - 3 * (threshold * (1 - threshold) / M) ** 0.5
+
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(M // ROWS)])
-    buckets = base.select("key", F.explode(bands).alias("band")).groupBy("band").agg(F.sort_array(F.collect_set("key")).alias("keys")).where("size(keys) > 1").select("keys").distinct()
-    members = buckets.select(F.xxhash64("keys").alias("bucket"), F.explode("keys").alias("key"))
-    contents = base.groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("one"), F.first("sig").alias("sig"))
-    slack = 3 * (threshold * (1 - threshold) / M) ** 0.5
-    sorted_members = members.join(contents.select("key", "sig"), "key").repartition("bucket").sortWithinPartitions("bucket")
-    links = sorted_members.mapInArrow(lambda b: _bucket_links(b, threshold - slack), "a binary, b binary")
-    found = components(links)
-    wanted = stash(found.join(contents, "key").select("key", "component", F.col("one.id").alias("one_id"), F.col("one.text_hash").alias("one_hash")), "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
-    texts = named.join(side, (F.col("text_hash") == F.col("one_hash")) & F.col("id").eqNullSafe(F.col("one_id"))).select("component", "key", "text")
-    exact = texts.repartition("component").sortWithinPartitions("component", "key").mapInArrow(lambda b: _exact_groups(b, threshold), "key binary, group binary")
+    members = contents.select("key", F.explode(bands).alias("of"))
+    some = contents.where(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(SAMPLED)) == 0).select(F.explode(bands).alias("of"))
+    large = stash(some.groupBy("of").count().where(F.col("count") * SAMPLED * 2 > LIMIT).select("of"), "large")
+    links = None
+    if not large.isEmpty():
+        side = _if_small(large)
+        links = _large_links(stash(members.join(side, "of"), "members").select("of", "key"), contents, None, least)
+        members = members.join(side, "of", "left_anti")
+    buckets = members.groupBy("of").agg(F.sort_array(F.collect_set("key")).alias("keys")).where("size(keys) > 1").select("keys").distinct()
+    few = buckets.select(F.xxhash64("keys").alias("bucket"), F.explode("keys").alias("key"))
+    sorted_members = few.join(contents.select("key", "sig"), "key").repartition("bucket").sortWithinPartitions("bucket", "key")
+    small_links = sorted_members.mapInArrow(lambda b: _bucket_links(b, least), "a binary, b binary")
+    found = connected_components(small_links.union(links) if links else small_links, "a", "b").withColumnRenamed("node", "key")
+
+    wanted = stash(found.join(contents, "key").select("key", "component", "sig", "size", F.col("one.id").alias("one_id"), F.col("one.text_hash").alias("one_hash")), "wanted")
+    texts = named.join(_if_small(wanted.drop("sig")), (F.col("text_hash") == F.col("one_hash")) & F.col("id").eqNullSafe(F.col("one_id"))).select("component", "key", "size", "text")
+    many = stash(wanted.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where((F.col("n") > LIMIT) | (F.col("bytes") > LIMIT_BYTES)).select("component"), "many")
+    sigs = wanted.select("key", "sig")
+    if many.isEmpty():
+        exact = _in_one_task(texts.join(sigs, "key"), threshold, least)
+    else:
+        side = _if_small(many)
+        own = stash(texts.join(side, "component").dropDuplicates(["key"]).join(sigs, "key"), "texts")
+        verified = _large_links(own.select(F.col("component").alias("of"), "key"), own, threshold, least)
+        joined = connected_components(verified, "a", "b").select(F.col("node").alias("key"), F.col("component").alias("group"))
+        exact = _in_one_task(texts.join(side, "component", "left_anti").join(sigs, "key"), threshold, least).union(joined)
     return base.select("id", "text_hash", "key").join(exact, "key", "left").select("id", "text_hash", F.coalesce("group", "key").alias("group"))
 
 
+def _in_one_task(texts: DataFrame, threshold: float, least: float) -> DataFrame:
+    """``key``, ``group`` of components that a task may hold."""
+    return texts.repartition("component").sortWithinPartitions("component", "key").mapInArrow(lambda b: _exact_groups(b, threshold, least), "key binary, group binary")
+
+
 def near_dedup(docs: DataFrame, threshold: float = 0.5, text: str = "text", id: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each group of ``near_groups``, all columns.
 
@@ -269,7 +380,7 @@ def near_dedup(docs: DataFrame, threshold: float = 0.5, text: str = "text", id:
     least = groups.groupBy("group").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first")
     hash_name, gone_id, gone_hash = fresh(docs, "text_hash", "gone_id", "gone_hash")
     gone = stash(groups.join(least, "group").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash")))).select(F.col("id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct(), "gone")
-    side = F.broadcast(gone) if gone.count() <= SMALL else gone
+    side = _if_small(gone)
     hashed = docs.withColumn(hash_name, F.xxhash64(col(text)))
     kept = hashed.join(side, (F.col(hash_name) == F.col(gone_hash)) & col(id).eqNullSafe(F.col(gone_id)), "left_anti")
     return kept.select(*[col(c) for c in docs.columns])

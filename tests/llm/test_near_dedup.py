@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from affinis.llm import near_dedup as N
 from affinis.llm.shared import words
@@ -66,6 +67,36 @@ def test_many_copies_and_a_chain(spark):
     assert sorted(r.doc_id for r in out.collect()) == [0, 1000]
 
 
+def test_a_hot_band_of_distinct_contents(spark):
+    """20,000 distinct contents share most of their bands with one text; some
+    others are similar to some of them only."""
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[: i % 60], f"x{i}", *base[i % 60 + 1 :]])) for i in range(20_000)]
+    far = [*base[:30], *[f"y{i}" for i in range(22)]]  # 0.34 like the text, 0.59 like the next one
+    rows += [(30_000, " ".join([*base[:44], *[f"y{i}" for i in range(10)]])), (30_001, " ".join(far)), (30_002, " ".join(f"z{i}" for i in range(40)))]
+    out = N.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert sorted(x.doc_id for x in out.collect()) == [0, 30_002]
+
+
+@pytest.mark.parametrize("limit", [8, 2048])
+def test_large_buckets_and_components_give_the_same_groups(spark, monkeypatch, limit):
+    monkeypatch.setattr(N, "LIMIT", limit)
+    monkeypatch.setattr(N, "BLOCK", max(4, limit // 2))
+    monkeypatch.setattr(N, "SAMPLED", 1)
+    r = random.Random(9)
+    rows = corpus(4)
+    base = [f"b{i}" for i in range(150)]
+    rows += [(5000 + i, " ".join(w if r.random() > 0.01 else f"x{r.randrange(999)}" for w in base)) for i in range(60)]  # copies of one text
+    half = [f"t{i}" for i in range(60)]
+    rows += [(6000 + i, " ".join([*half, *[f"v{r.randrange(10**6)}" for _ in range(70)]])) for i in range(60)]  # a template, 0.29 alike
+    words_ = [f"u{i}" for i in range(4000)]
+    rows += [(7000 + k, " ".join(words_[40 * k : 40 * k + 200])) for k in range(60)]  # a chain, neighbours 0.66 alike
+    out = N.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    found = sorted(x.doc_id for x in out.collect())
+    assert found == brute(rows)
+    assert [i for i in found if 5000 <= i < 6000] == [5000] and [i for i in found if i >= 7000] == [7000]
+
+
 def test_empty_table(spark):
     assert N.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
