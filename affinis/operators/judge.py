@@ -8,6 +8,7 @@ import re
 import time
 import warnings
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -73,12 +74,13 @@ def judged(df: DataFrame, answer: str) -> DataFrame:
 class Judge:
     """``ask`` answers a prompt and a payload, two records as JSON. A failure is
     tried again after 1, 2, 4, ... times ``pause`` seconds; with ``retries`` 0
-    nothing is asked and the answer is empty."""
+    nothing is asked and the answer is empty. A task asks ``at_once`` times together."""
 
     ask: Callable[[str, str], str]
     prompt: str = PROMPT
     retries: int = 5
     pause: float = 15.0
+    at_once: int = 4
 
     def answer(self, payload: str) -> str:
         for attempt in range(self.retries):
@@ -118,8 +120,9 @@ def merge_k_judge(left: DataFrame, right: DataFrame, judge: Judge, on: Keys = No
     schema = T.StructType([*found.schema, T.StructField("llm_raw_response", T.StringType())])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield part.drop(columns="__payload").assign(llm_raw_response=[judge.answer(x) for x in part["__payload"]])
+        with ThreadPoolExecutor(judge.at_once) as pool:
+            for part in parts:
+                yield part.drop(columns="__payload").assign(llm_raw_response=list(pool.map(judge.answer, part["__payload"])))
 
     verdicts = judged(stash(asked.mapInPandas(run, schema), "verdicts"), "llm_raw_response")
     order = [*found.columns, "llm_is_match", "llm_confidence", "llm_raw_response"]
