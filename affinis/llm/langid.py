@@ -90,13 +90,14 @@ class SortedHashes:
 class Model:
     """``languages``; per order n: sorted n-gram hashes with log-probabilities
     [n-grams, languages], and sorted context hashes with the log of what is left
-    for unseen characters [contexts, languages]; thresholds by language."""
+    for unseen characters [contexts, languages]; ``unseen``, the log-probability
+    of a character that no language has; thresholds by language."""
 
     def __init__(self, languages: list[str]) -> None:
         self.languages = languages
         self.grams: list[tuple[SortedHashes, np.ndarray]] = []
         self.left: list[tuple[SortedHashes, np.ndarray]] = []
-        self.unseen = 0.0
+        self.unseen = np.zeros(len(languages))
         self.thresholds = np.full(len(languages), np.inf)
 
     def sums(self, c: np.ndarray, row: np.ndarray, pos: np.ndarray, n: int, skip: np.ndarray | None = None) -> np.ndarray:
@@ -140,7 +141,8 @@ def _count(c: np.ndarray, pos: np.ndarray) -> list[tuple[np.ndarray, np.ndarray,
 def train(texts: dict[str, list[bytes]], held: dict[str, list[bytes]], quantile: float = 0.995, margin: float = 0.6) -> Model:
     """A model of the languages in ``texts``; ``held`` calibrates: a language's
     threshold is the quantile of the cross-entropies of its held-out texts of 50
-    characters or more, plus ``margin`` nats a character."""
+    characters or more, plus ``margin`` nats a character; without such texts it
+    rejects nothing."""
     model = Model(sorted(texts))
     per = []
     for language in model.languages:
@@ -148,7 +150,6 @@ def train(texts: dict[str, list[bytes]], held: dict[str, list[bytes]], quantile:
         c = np.concatenate([np.zeros(0, np.uint64), *points])
         per.append(_count(c, _positions(np.array([len(x) for x in points], np.int64))))
     alphabet = len(np.unique(np.concatenate([p[0][0] for p in per]))) + 1 if per else 1
-    model.unseen = float(np.log(1 / alphabet))
     lower: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(1, np.uint64), np.full((1, len(per)), 1 / alphabet))]
     for k in range(1, ORDER + 1):
         union = np.unique(np.concatenate([p[k - 1][0] for p in per])) if per else np.zeros(0, np.uint64)
@@ -179,8 +180,9 @@ def train(texts: dict[str, list[bytes]], held: dict[str, list[bytes]], quantile:
         lower.append((union, probability))
         model.grams.append((SortedHashes(union), np.log(probability).astype(np.float32)))
         model.left.append((SortedHashes(contexts), np.log(left).astype(np.float32)))
-    if per:
-        model.unseen = float(np.log(np.mean(model.left[0][1] * 0 + np.exp(model.left[0][1])) / alphabet))
+    model.unseen = np.full(len(per), -np.log(alphabet))
+    if len(model.left[0][1]):  # what each language leaves for characters it has never seen
+        model.unseen = model.left[0][1][0].astype(np.float64) - np.log(alphabet)
     for j, language in enumerate(model.languages):
         entropies = [-s[j] / len(x) for t in held.get(language, []) if len(x := _points(t)) >= 50 for s in model.sums(x, np.zeros(len(x), np.int64), np.arange(len(x)), 1)]
         if entropies:
@@ -209,7 +211,7 @@ def _pick(docs: DataFrame, most: int, text: str, lang: str, id: str) -> list:
     named = docs.select(col(lang).cast("string").alias("lang"), F.xxhash64(col(id).cast("string")).alias("h"), col(text).alias("text")).where("lang is not null")
     by_hash = Window.partitionBy("lang").orderBy("h")
     first = named.select("lang", "h").withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= most)
-    chosen = named.where("length(text) >= 50").join(F.broadcast(first.select("lang", "h").distinct()), ["lang", "h"])
+    chosen = named.where("text is not null").join(F.broadcast(first.select("lang", "h").distinct()), ["lang", "h"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     return chosen.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("lang", "rank").collect()
 

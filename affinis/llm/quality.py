@@ -170,7 +170,9 @@ def classify(docs: DataFrame, model: Model, neighbours: int = 15, threshold: flo
     A document without evidence (null or empty text, no term in common with
     labelled ones, a model without labels) has score null and is kept. Labelled
     documents at the same distance as the last neighbour all vote. Whole texts
-    count. Rows are independent; repeated rows have equal results; an empty
+    count. How far a text repeats itself is the share of its runs of three words
+    that have stood before, among all of them and 40 more, so that a short text
+    which repeats a line is not taken for junk. Rows are independent; repeated rows have equal results; an empty
     table gives an empty table. If a kept column has one of the new names, the
     new one gets an underscore before its name.
     """

@@ -87,3 +87,19 @@ def test_edge_cases(spark):
     ignorant = L.fit(docs.limit(0))
     assert {r.lang_id for r in L.identify(docs, ignorant, keep=["doc_id"]).collect()} == {"und", None}
     assert L.identify(docs.limit(0), model).count() == 0
+
+
+def test_an_unseen_character_costs_what_its_language_leaves():
+    """Each language's own share, not that of all."""
+    r = random.Random(2)
+    model = L.train({"a": ["".join(r.choice("abc") for _ in range(300)).encode()], "b": [bytes(range(97, 123)) * 4]}, {})
+    found = model.sums(np.array([0x3041], np.uint64), np.array([0]), np.array([0]), 1)[0]
+    # at order 1 a character counts once for each one that stood before it: nine pairs of three, and 26 of 26
+    for j, left in enumerate((L.DISCOUNT * 3 / 9, L.DISCOUNT * 26 / 26)):
+        assert abs(found[j] - math.log(left / 27)) < 1e-5
+
+
+def test_a_language_of_short_texts_has_a_model(spark):
+    rows = [(i, "kort tekst", "s", 1) for i in range(20)] + documents(60)
+    docs = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], SCHEMA)
+    assert L.fit(docs, 30).languages == ["s", "x", "y", "z"]
