@@ -13,6 +13,7 @@ sequence whose neighbouring pairs are all such is the encoding of the whole.
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -39,8 +40,6 @@ class Coder:
         pairs = [line.split() for line in content.splitlines() if line.strip()]
         ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.encoding = tiktoken.Encoding("affinis", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
-        # takes a text for one piece; unlike a piece's own encoder, it lets other threads run
-        self.whole = tiktoken.Encoding("affinis-leaf", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.leaf = leaf
         self.long = regex.compile(r"\S{%d,}|\s{%d,}" % (leaf, leaf))
         self.pieces = regex.compile(PIECES)
@@ -52,6 +51,12 @@ class Coder:
         self.blob = np.frombuffer(b"".join(self.words), np.uint8)
         self.pool = ThreadPoolExecutor(threads) if threads > 1 else None
 
+    @functools.cached_property
+    def whole(self) -> tiktoken.Encoding:
+        """Takes a text for one piece; unlike a piece's own encoder, it lets other
+        threads run. Made when the first long piece comes."""
+        return tiktoken.Encoding("affinis-leaf", pat_str=r"[\s\S]+", mergeable_ranks={w: i for i, w in enumerate(self.words) if w}, special_tokens={})
+
     def piece(self, data: bytes) -> list[int]:
         return self.encoding._core_bpe.encode_single_piece(data)
 
@@ -83,6 +88,7 @@ class Coder:
             leaves *= 2
         cuts = [len(text) * i // leaves for i in range(leaves + 1)]
         parts = [text[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
+        self.whole  # before the threads need it
         level = list(self.pool.map(self.stretch, parts)) if self.pool and len(parts) > 1 else [self.stretch(x) for x in parts]
         while len(level) > 1:
             joined = [self.join(a, b) for a, b in zip(level[::2], level[1::2])]  # a few tokens each

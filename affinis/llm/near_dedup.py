@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import connected_components
-from .shared import col, fresh, grouped, mix, only, stash, steps, utf8, words
+from .shared import col, fresh, grouped, lean, mix, only, stash, steps, utf8, words
 
 M, ROWS = 160, 4
 BASE, RATE, TOP = 1.001, 20.0, 65535
@@ -292,7 +292,7 @@ def _large_links(rows: DataFrame, contents: DataFrame, threshold: float | None,
     centres = contents.join(_if_small(stash(sets.select(F.col("centre").alias("key")).distinct(), "centres")), "key").select(F.col("key").alias("centre"), *[F.col(c).alias(f"centre_{c}") for c in more])
     # a content in many large buckets is compared once with a centre that they share
     pairs = tagged.groupBy("centre", "key").agg(F.min("of").alias("of")).join(contents.select("key", *more), "key").join(centres, "centre")
-    stars = stash(pairs.mapInArrow(lambda b: _near_centre(b, threshold, least), T.StructType([rows.schema["of"], T.StructField("centre", T.BinaryType()), T.StructField("key", T.BinaryType()), T.StructField("near", T.BooleanType())])), "stars")
+    stars = stash(pairs.mapInArrow(lean(lambda b: _near_centre(b, threshold, least)), T.StructType([rows.schema["of"], T.StructField("centre", T.BinaryType()), T.StructField("key", T.BinaryType()), T.StructField("near", T.BooleanType())])), "stars")
     links = stars.where("near and centre <> key").select(F.col("centre").alias("a"), F.col("key").alias("b"))
     apart = stash(tagged.join(stars.where("not near").select("centre", "key"), ["centre", "key"]).select("of", "key", "n", "bytes"), "apart")
     asking = stash(apart.groupBy("of").agg(F.count("*").alias("asking")), "asking")
@@ -312,7 +312,7 @@ def _large_links(rows: DataFrame, contents: DataFrame, threshold: float | None,
     first = apart.join(few, "of").select("of", "key", F.lit(True).alias("asks"), own(blocks("asking")).alias("x"), every(blocks("n")).alias("y"))
     second = tagged.join(few, "of").select("of", "key", F.lit(False).alias("asks"), own(blocks("n")).alias("y"), every(blocks("asking")).alias("x")).select(*first.columns)
     both = first.union(second).join(contents.select("key", *more), "key").withColumn("task", F.xxhash64("of", "x", "y")).select("task", "asks", "key", *more)
-    crossed = both.repartition("task").sortWithinPartitions("task", "asks", "key").mapInArrow(lambda b: _cross(b, threshold, least), "a binary, b binary")
+    crossed = both.repartition("task").sortWithinPartitions("task", "asks", "key").mapInArrow(lean(lambda b: _cross(b, threshold, least)), "a binary, b binary")
     return links.union(crossed)
 
 
@@ -328,7 +328,7 @@ def near_groups(docs: DataFrame, threshold: float = 0.5, text: str = "text", id:
     named = docs.select(col(id).alias("id"), F.xxhash64(col(text)).alias("text_hash"), col(text).alias("text"))
     names = ["id", "text_hash", "text", "key", "sig", "size"]
     schema = T.StructType([named.schema["id"], T.StructField("text_hash", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("size", T.LongType())])
-    base = stash(named.where("text is not null").mapInArrow(lambda b: _sketches(b, names), schema).where("key is not null"), "sketches")
+    base = stash(named.where("text is not null").mapInArrow(lean(lambda b: _sketches(b, names)), schema).where("key is not null"), "sketches")
     contents = stash(base.groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("one"), F.first("sig").alias("sig"), F.max("size").alias("size")), "contents")
     least = threshold - 3 * (threshold * (1 - threshold) / M) ** 0.5
 
@@ -344,7 +344,7 @@ def near_groups(docs: DataFrame, threshold: float = 0.5, text: str = "text", id:
     buckets = members.groupBy("of").agg(F.sort_array(F.collect_set("key")).alias("keys")).where("size(keys) > 1").select("keys").distinct()
     few = buckets.select(F.xxhash64("keys").alias("bucket"), F.explode("keys").alias("key"))
     sorted_members = few.join(contents.select("key", "sig"), "key").repartition("bucket").sortWithinPartitions("bucket", "key")
-    small_links = sorted_members.mapInArrow(lambda b: _bucket_links(b, least), "a binary, b binary")
+    small_links = sorted_members.mapInArrow(lean(lambda b: _bucket_links(b, least)), "a binary, b binary")
     found = connected_components(small_links.union(links) if links else small_links, "a", "b").withColumnRenamed("node", "key")
 
     wanted = stash(found.join(contents, "key").select("key", "component", "sig", "size", F.col("one.id").alias("one_id"), F.col("one.text_hash").alias("one_hash")), "wanted")
@@ -364,7 +364,7 @@ def near_groups(docs: DataFrame, threshold: float = 0.5, text: str = "text", id:
 
 def _in_one_task(texts: DataFrame, threshold: float, least: float) -> DataFrame:
     """``key``, ``group`` of components that a task may hold."""
-    return texts.repartition("component").sortWithinPartitions("component", "key").mapInArrow(lambda b: _exact_groups(b, threshold, least), "key binary, group binary")
+    return texts.repartition("component").sortWithinPartitions("component", "key").mapInArrow(lean(lambda b: _exact_groups(b, threshold, least)), "key binary, group binary")
 
 
 def near_dedup(docs: DataFrame, threshold: float = 0.5, text: str = "text", id: str = "doc_id") -> DataFrame:

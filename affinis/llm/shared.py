@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -60,9 +61,28 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
         return pafs.PyFileSystem(pafs.FSSpecHandler(fs)), where
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(run: Run) -> Run:
+    """``run``, after which a worker, which lives on, gives back the memory that
+    it no longer needs."""
+
+    def then_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps what it keeps
+            pass
+
+    return then_release
+
+
+def map_arrow(df: DataFrame, run: Run, schema: T.StructType) -> DataFrame:
     """``df.mapInArrow``, which by itself fails for column names with dots or
     backquotes; ``run`` sees and gives the names as they are."""
+    run = lean(run)
     if not any(set(".`") & set(c) for c in [*df.columns, *schema.names]):
         return df.mapInArrow(run, schema)
     names = df.columns
