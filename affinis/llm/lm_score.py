@@ -1,26 +1,32 @@
 """Language-model scoring by logistic mixing of hashed-context bit predictors.
 
-A text's bytes are coded bit by bit. A predictor of order n looks up the
-probability of a 1 in a table, under a hash of the n bytes before and the bits
-of the byte so far. A mixer adds the predictors' log-odds with weights that are
-gated by the kind of the byte before and the bit's place, and a last stage
-scales and shifts the sum. Weights and last stage begin alike for every text and
-learn online from its own bits, block by block; the cost of all bits is the
-text's score.
+A text's bytes are coded bit by bit. Two predictors, of orders 2 and 4, look up
+the log-odds of a 1 in tables of the corpus, under a hash of the bytes before and
+of the bits of the byte so far; an entry holds a check of its context, and where
+two want one place the more frequent stays. Two predictors move with the text:
+counters of its bits under the bits of the byte so far, and a match model, which
+guesses the byte that followed where the four bytes before stood last, if the
+five before are the same; its trust grows with the length of the match and with
+its success. A mixer adds all log-odds with weights that are gated by the kind of
+the byte before and the bit's place. An adaptive probability map refines the sum:
+a shift for each kind, place and level of the sum. Weights, map, counters and
+trust begin alike for every text and learn online from its own bits, block by
+block; the cost of all bits is the text's score.
 
 The tables are counts over all documents. Documents are in two folds by a hash
 of their text, and a document is scored by the counts of the other fold, so
 neither it nor its exact copies tell about it. Tables are wider for a larger
 corpus, without an end. Counts travel in pages (a range of contexts of one order
-and fold), and a task turns the counts of a page into log-odds. Where an order
-has more contexts than a worker may hold, its pages are written in shards, and a
-worker gathers the log-odds of some texts from one shard after the other.
+and fold), and a task turns the counts of a page into a segment of the table.
+Where an order has more entries than a worker may hold, its pages are written in
+shards, and a worker gathers the log-odds of some texts from one shard after the
+other.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,70 +36,92 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import col, file_system, fresh, map_arrow, only, steps, until_exit, utf8
+from .shared import col, file_system, fresh, lean, map_arrow, only, steps, until_exit, utf8
 
-ORDERS = (1, 2, 3, 5)
-#: Log-odds are kept in steps of 1/SCALE, as one byte.
+ORDERS = (2, 4)
+#: Log-odds of the tables are kept in steps of 1/SCALE, as one byte.
 SCALE = 14.0
-#: Contexts of an order of 3 or more: 2 to the first power at least; a worker
-#: holds 2 to the second at once.
-LEAST_BITS, MOST_BITS = 10, 18
+#: Entries of a page, as a power of 2; the least of an order and fold.
+PAGE_BITS = 16
+#: Entries of an order and fold that a worker holds at once, as a power of 2.
+MOST_BITS = 24
+#: Pairs of context and byte that a task counts before it sends them on.
+PAIRS = 3_000_000
 #: Bytes of text whose log-odds a worker gathers from the shards at a time.
-SPAN = 1 << 23
-PAGE = 256
-BLOCK, TOGETHER = 256, 64
-START_WEIGHTS = (0.2, 0.3, 0.3, 0.35)
-RATE, LAST_RATE = 0.003, 0.002
+SPAN = 1 << 22
+#: Bytes of a block; beyond so many bytes of a text a block is four times as long.
+BLOCK, EARLY, TOGETHER = 256, 4096, 64
+#: At first, of the tables' orders, of the counters and of the match model.
+START_WEIGHTS = (0.35, 0.65, 0.3, 0.3)
+RATE, MAP_RATE = 0.002, 0.005
+#: Levels of the map, from -LEVEL to LEVEL.
+LEVELS, LEVEL = 24, 8.0
+#: Counters start at FEW, and are halved beyond MANY.
+FEW, MANY = 0.4, 400.0
+#: The right bits by which the match model first believes a guess, where no, and
+#: at least 5, 8, 16, 24 and 32 bytes before are the same.
+_BELIEF = np.array([1, 2, 5, 12, 30, 80], np.float32)
+_EIGHT = np.arange(-8, 0)
 _HASH = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
-_PATH = np.array([[1 << k | v >> 8 - k for k in range(8)] for v in range(256)], np.int64)
-_SIGN = np.array([[1 if v >> 7 - k & 1 else -1 for k in range(8)] for v in range(256)], np.float32)
 #: The kind of the byte before: letter or digit, other ASCII, beyond ASCII.
 _KIND = np.array([0 if chr(b).isalnum() and b < 128 else 1 if b < 128 else 2 for b in range(256)])
-_ONE_HOT = np.eye(3, dtype=np.float32)[_KIND]
-_ONES = np.ones((1, BLOCK), np.float32)
+_BIT = np.arange(8)[:, None]
+#: By the difference of a guess and a byte (256 for no guess): the leading bits that are right.
+_RIGHT = np.array([8 - x.bit_length() for x in range(256)] + [0], np.float32)
 
 
 def spread(total_bytes: int) -> int:
-    """The contexts of an order of 3 or more, as a power of 2. Hashes have 32
-    bits, so beyond 2^46 bytes of text there is no table."""
-    bits = max(LEAST_BITS, math.ceil(math.log2(max(2, total_bytes))) - 14)
-    if bits > 32:
-        raise ValueError("contexts have 32 bits: at most 2^46 bytes of text")
-    return bits
+    """The entries of an order and fold, as a power of 2: nearly as the bytes to
+    the power 0.6, as the contexts that matter grow more slowly than the text."""
+    return min(PAGE_BITS + 32, max(PAGE_BITS, math.ceil(0.6 * math.log2(max(2, total_bytes)) + 5.2)))
 
 
-def width(total_bytes: int) -> int:
-    """Those of them that a worker holds at once."""
-    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(2, total_bytes))) - 14))
-
-
-def _slots(bits: int) -> list[int]:
-    return [1 << 8, 1 << 16, 1 << bits, 1 << bits]
-
-
-def _contexts(before: list[np.ndarray], bits: int) -> list[np.ndarray]:
-    """Per order the context's number, from the bytes before (1, 2, ... back)."""
-    out = [before[0].astype(np.int64), before[0].astype(np.int64) | before[1].astype(np.int64) << 8]
+def _contexts(before: list[np.ndarray]) -> list[np.ndarray]:
+    """Per order the context's hash, from the bytes before (1, 2, ... back)."""
+    out = []
     h, done = np.zeros(before[0].shape, np.uint32), 0
-    for order in ORDERS[2:]:
+    for order in ORDERS:
         for k in range(done, order):
             h = (h + before[k]) * _HASH[k] + (h >> np.uint32(15))
         done = order
-        out.append((h * np.uint32(0x9E3779B1) >> np.uint32(32 - bits)).astype(np.int64))
+        c = h * np.uint32(0x9E3779B1)
+        c ^= c >> np.uint32(16)
+        c *= np.uint32(0x85EBCA77)
+        out.append(c)
     return out
 
 
-def log_odds(counts: np.ndarray) -> np.ndarray:
-    """From counts of bytes [contexts, 256] the log-odds of a 1 at each node [contexts, 256] as int8."""
-    heap = np.zeros((len(counts), 512))
-    heap[:, 256:] = counts
-    for low in (128, 64, 32, 16, 8, 4, 2, 1):
-        pairs = heap[:, 2 * low : 4 * low]
-        heap[:, low : 2 * low] = pairs[:, ::2] + pairs[:, 1::2]
-    heap[:, 0] = heap[:, 1]  # no node
-    one = heap[:, 1::2]  # node n's right child is 2n + 1
-    odds = np.log((one + 0.4) / (heap[:, :256] - one + 0.4))
-    return np.clip(np.round(odds * SCALE), -127, 127).astype(np.int8)
+def _paths(byte: np.ndarray) -> np.ndarray:
+    """The nodes that bytes [.., n] pass [.., 8, n]: a 1, and the bits so far."""
+    return byte.astype(np.uint32)[..., None, :] >> (8 - _BIT).astype(np.uint32) | (1 << _BIT).astype(np.uint32)
+
+
+def _signs(byte: np.ndarray) -> np.ndarray:
+    """1 for a bit that is 1, else -1 [.., 8, n]."""
+    out = (byte[..., None, :] >> (7 - _BIT).astype(np.uint8) & np.uint8(1)).astype(np.float32)
+    out *= 2
+    out -= 1
+    return out
+
+
+def _lines(contexts: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 15 nodes of half a byte lie together, in a line of 16 places. For
+    hashes of contexts and what stands before the half (1, or 16 and the first
+    half): where in the page the line begins, how its places are mixed, and a
+    number with the check in its lowest byte."""
+    h = (contexts * np.uint32(0xC2B2AE3D)) ^ (prefix * np.uint32(0x9E3779B1))
+    h *= np.uint32(0x27D4EB2F)
+    h ^= h >> np.uint32(15)
+    return (h >> np.uint32(36 - PAGE_BITS) << np.uint32(4)).astype(np.int64), (h >> np.uint32(8) & np.uint32(15)).astype(np.int64), h.astype(np.int16)
+
+
+def _place(contexts: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of nodes (of one level: a 1, and the bits before) the place in the
+    context's page, and the check."""
+    late = node >= 16
+    level = np.floor(np.log2(node)).astype(np.int64) - np.where(late, 4, 0)
+    begin, turn, check = _lines(contexts, np.where(late, node >> level, 1).astype(np.uint32))
+    return begin + ((1 << level | node & (1 << level) - 1) ^ turn), check & 0xFF
 
 
 def _windows(data: np.ndarray, at: np.ndarray, first: int, last: int) -> Iterator[tuple[slice, np.ndarray, int, int, list[np.ndarray]]]:
@@ -115,110 +143,186 @@ def _windows(data: np.ndarray, at: np.ndarray, first: int, last: int) -> Iterato
 
 
 def _count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    slots = _slots(bits)
-    base = np.cumsum([0, *slots])[:-1]
-    kind = np.int32 if sum(slots) << 9 < 1 << 31 else np.int64
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
-        order = np.argsort(ids)
-        ids, counts = ids[order], counts[order]
-        first = np.flatnonzero(np.diff(ids, prepend=-1))
-        return ids[first], np.add.reduceat(counts, first) if len(first) else counts
-
     for whole in batches:
         folds, (data, at) = only(whole, "fold").to_numpy(), utf8(only(whole, "text"))
         for rows, sizes, low, high, before in _windows(data, at, 0, len(data)):
-            fold = np.repeat(folds[rows].astype(kind), sizes)
-            parts = [np.unique((((c.astype(kind) + kind(base[o])) * 2 + fold) << 8) | data[low:high], return_counts=True) for o, c in enumerate(_contexts(before, bits))]
-            ids, counts = (np.concatenate([x[i] for x in parts]) for i in (0, 1))  # orders follow one another
-            held.append((ids, counts))
-            size += len(ids)
-            if size > 3_000_000:
-                held = [merged()]
+            fold = np.repeat(folds[rows].astype(np.int64), sizes) << 40
+            for o, c in enumerate(_contexts(before)):
+                ids, counts = np.unique(fold | c.astype(np.int64) << 8 | data[low:high], return_counts=True)
+                held.append((ids + (o << 41), counts))
+                size += len(ids)
+            if size > PAIRS:
+                held = [_merged(held)]
                 size = len(held[0][0])
-    if not held:
-        return
-    ids, counts = merged()
-    pages = ids >> 8 + 1 + int(math.log2(PAGE))
+                if size > PAIRS // 2:
+                    yield from _packed(*held[0], bits)
+                    held, size = [], 0
+    if held:
+        yield from _packed(*_merged(held), bits)
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    ids, counts = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+    if len(ids) and ids.max() < 1 << 42 and counts.max() < 1 << 21:  # one number sorts faster than two
+        both = np.sort(ids << 21 | counts)
+        ids, counts = both >> 21, both & ((1 << 21) - 1)
+    else:
+        order = np.argsort(ids)
+        ids, counts = ids[order], counts[order]
+    first = np.flatnonzero(np.diff(ids, prepend=-1))
+    return ids[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _packed(ids: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a page each: contexts, bytes and counts. Ids are of the order, the
+    fold, the context and the byte, from the highest bit to the lowest."""
+    pages = ids >> 40 - (bits - PAGE_BITS)
     edges = np.concatenate([[0], np.flatnonzero(np.diff(pages)) + 1, [len(pages)]])
     for first in range(0, len(edges) - 1, 64):
         parts = [slice(a, b) for a, b in zip(edges[first : first + 64], edges[first + 1 : first + 65])]
-        packed = [(ids[p] & ((PAGE << 9) - 1)).astype(np.uint32).tobytes() + counts[p].astype(np.uint32).tobytes() for p in parts]
+        packed = [(ids[p] >> 8 & 0xFFFFFFFF).astype(np.uint32).tobytes() + counts[p].astype(np.uint32).tobytes() + (ids[p] & 255).astype(np.uint8).tobytes() for p in parts]
         yield pa.RecordBatch.from_arrays([pa.array([int(pages[p.start]) for p in parts], pa.int64()), pa.array(packed, pa.binary())], names=["page", "counts"])
 
 
+def segment(contexts: np.ndarray, byte: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A page's entries, from the counts of bytes after contexts, which are sorted
+    and distinct: log-odds in the upper byte, check in the lower. Of the nodes
+    that want one place the one of the highest count has it (of equal ones the
+    first by level and context)."""
+    places, checks, odds, totals = [], [], [], []
+    for k in range(8):
+        prefix = byte >> 8 - k if k else np.zeros_like(byte)
+        first = np.flatnonzero((np.diff(contexts, prepend=0) != 0) | (np.diff(prefix.astype(np.int16), prepend=-1) != 0)) if len(byte) else np.zeros(0, np.int64)
+        if not len(first):
+            continue
+        both = np.add.reduceat(counts, first)
+        one = np.add.reduceat(counts * (byte >> 7 - k & 1), first)
+        place, check = _place(contexts[first], (1 << k) | prefix[first].astype(np.int64))
+        places.append(place)
+        checks.append(check)
+        odds.append(np.clip(np.round(np.log((one + 0.4) / (both - one + 0.4)) * SCALE), -127, 127).astype(np.int16))
+        totals.append(both)
+    out = np.zeros(1 << PAGE_BITS, np.int16)
+    if places:
+        place, check, odd, total = (np.concatenate(x) for x in (places, checks, odds, totals))
+        order = np.argsort(-total, kind="stable")
+        place, at = np.unique(place[order], return_index=True)
+        out[place] = odd[order][at] << 8 | check[order][at]
+    return out
+
+
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a page follow one another."""
-    now, total = None, np.zeros(PAGE << 9, np.int64)
+    now, held, size = None, [], 0
 
     def done() -> pa.RecordBatch:
-        # contexts and folds alternate; a context that never came has log-odds 0
-        return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([log_odds(total.reshape(-1, 256)).tobytes()], pa.binary())], names=["page", "odds"])
+        ids, counts = _merged(held)
+        odds = segment((ids >> 8).astype(np.uint32), (ids & 255).astype(np.uint8), counts)
+        return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([odds.tobytes()], pa.binary())], names=["page", "odds"])
 
     for batch in batches:
-        for page, counts in zip(only(batch, "page").to_pylist(), only(batch, "counts").to_pylist()):
+        for page, packed in zip(only(batch, "page").to_pylist(), only(batch, "counts").to_pylist()):
             if page != now:
                 if now is not None:
                     yield done()
-                now, total = page, np.zeros(PAGE << 9, np.int64)
-            both = np.frombuffer(counts, np.uint32).reshape(2, -1)
-            total[both[0]] += both[1]
+                now, held, size = page, [], 0
+            n = len(packed) // 9
+            ids = np.frombuffer(packed, np.uint32, n).astype(np.int64) << 8 | np.frombuffer(packed, np.uint8, n, 8 * n)
+            held.append((ids, np.frombuffer(packed, np.uint32, n, 4 * n).astype(np.int64)))
+            size += n
+            if size > PAIRS:
+                held = [_merged(held)]
+                size = len(held[0][0])
     if now is not None:
         yield done()
 
 
-def fit(docs: DataFrame, text: str = "text", held: int = MOST_BITS) -> tuple[str, int, int]:
+def fit(docs: DataFrame, text: str = "text", held: int = MOST_BITS, bits: int | None = None) -> tuple[str, int, int]:
     """Count all of ``docs``; the model is a table in the shared folder (its
-    path), the width of its contexts, and the width of a shard, at most ``held``
-    (of a page at least). Null and empty texts add nothing."""
+    path), the entries of an order and fold, and those of a shard, at most
+    ``held`` (of a page at least), as powers of 2. ``bits`` None: as ``spread``
+    says. Null and empty texts add nothing."""
     known = docs.select(col(text).alias("text")).where("text is not null")
-    bits = spread(known.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0)
-    held = min(bits, held)
-    counts = known.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2))).select("fold", "text").mapInArrow(lambda b: _count(b, bits), "page long, counts binary")
+    bits = bits or spread(known.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0)
+    held = min(bits, max(PAGE_BITS, held))
+    counts = known.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2))).select("fold", "text").mapInArrow(lean(lambda b: _count(b, bits)), "page long, counts binary")
     path = until_exit(docs.sparkSession, "lm")
-    pages = counts.repartition("page").sortWithinPartitions("page").mapInArrow(_pages, "page long, odds binary")
+    pages = counts.repartition("page").sortWithinPartitions("page").mapInArrow(lean(_pages), "page long, odds binary")
     if held == bits:
         pages.write.parquet(path)
-    else:  # shard 0 has the orders of 1 and 2
-        shard = F.floor((F.col("page") - _SMALL // PAGE) / ((1 << held) // PAGE)) + 1
-        pages.withColumn("shard", F.greatest(shard, F.lit(0)).cast("long")).write.partitionBy("shard").parquet(path)
+    else:  # a shard has a range of contexts of an order, of both folds
+        top, more = bits - PAGE_BITS, bits - held
+        order = F.shiftright("page", top + 1)
+        range_ = F.shiftright(F.col("page").bitwiseAND(F.lit((1 << top) - 1)), top - more)
+        pages.withColumn("shard", F.shiftleft(order, more) + range_).write.partitionBy("shard").parquet(path)
     return path, bits, held
 
 
 _loaded: dict[str, np.ndarray] = {}
-#: Contexts of the orders of 1 and 2.
-_SMALL = sum(_slots(0)[:2])
 
 
-def _read(path: str, first: int, contexts: int) -> np.ndarray:
-    """Log-odds [contexts from ``first``, folds, 256] of the pages in a folder, if there is one."""
-    table = np.zeros((-(-contexts // PAGE), PAGE << 9), np.int8)
-    fs, where = file_system(path)
-    for info in fs.get_file_info(pafs.FileSelector(where, allow_not_found=True)):
+def _read(path: str, entries: int, where: Callable[[int], int]) -> np.ndarray:
+    """The table of the pages in a folder, if there is one: ``where`` says how
+    many pages lie before a page."""
+    table = np.zeros(entries, np.int16)
+    fs, folder = file_system(path)
+    for info in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
         if info.path.endswith(".parquet"):
             with fs.open_input_file(info.path) as file:
                 for batch in pq.ParquetFile(file).iter_batches(64):
                     for page, odds in zip(batch.column(0).to_pylist(), batch.column(1)):
-                        table[page - first // PAGE] = np.frombuffer(odds.as_buffer(), np.int8)
-    return table.reshape(-1)
-
-
-def load(path: str, bits: int, held: int) -> np.ndarray:
-    """All log-odds [contexts of all orders, folds, 256], once a worker; of a
-    table in shards, those of the orders of 1 and 2."""
-    if path not in _loaded:
-        _loaded.clear()
-        _loaded[path] = _read(path, 0, sum(_slots(bits))) if held == bits else _read(f"{path}/shard=0", 0, _SMALL)
-    return _loaded[path]
+                        at = where(page) << PAGE_BITS
+                        table[at : at + (1 << PAGE_BITS)] = np.frombuffer(odds.as_buffer(), np.int16)
+    return table
+
+
+def _nodes(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For bytes [.., n]: what stands before each half [.., 2, n], and the nodes
+    that the halves pass [.., 2, 4, n]."""
+    first = (byte >> np.uint8(4)).astype(np.uint32)
+    halves = np.stack([first, (byte & np.uint8(15)).astype(np.uint32)], -2)
+    prefix = np.stack([np.ones_like(first), first | np.uint32(16)], -2)
+    level = np.arange(4)[:, None]
+    return prefix, halves.astype(np.int64)[..., None, :] >> 4 - level | 1 << level
+
+
+def _odds(table: np.ndarray, base: np.ndarray, contexts: np.ndarray, prefix: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Log-odds in steps [.., 8, n] on the way of bytes (``_nodes``) under contexts
+    [.., n], whose pages begin at ``base``; 0 for what the table doesn't know."""
+    begin, turn, check = _lines(contexts[..., None, :], prefix)
+    begin += base[..., None, :]
+    at = nodes ^ turn[..., None, :]
+    at += begin[..., None, :]
+    found = table.take(at)
+    known = ((found ^ check[..., None, :]) & np.int16(0xFF)) == 0
+    found >>= np.int16(8)
+    found *= known
+    return found.reshape(*found.shape[:-3], 8, found.shape[-1])
+
+
+class Table:
+    """All entries, once a worker."""
+
+    def __init__(self, path: str, bits: int, held: int) -> None:
+        self.bits = bits
+        if path not in _loaded:
+            _loaded.clear()
+            _loaded[path] = _read(path, len(ORDERS) * 2 << bits, lambda page: page)
+        self.table = _loaded[path]
+
+    def look(self, o: int, contexts: np.ndarray, way: tuple[np.ndarray, np.ndarray], folds: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of order ``o``: log-odds in steps, by the other fold's counts."""
+        top = contexts.astype(np.int64) >> 32 - (self.bits - PAGE_BITS) << PAGE_BITS
+        top += ((o * 2 + 1 - folds) << self.bits)[:, None]
+        return _odds(self.table, top, contexts, *way)
 
 
 class Shards:
-    """The log-odds of the orders of 3 and more for some texts, gathered from one
-    shard after the other; texts of more than SPAN bytes together are one text,
-    which is read from its start to its end."""
+    """The log-odds for some texts, gathered from one shard after the other;
+    texts of more than SPAN bytes together are one text, which is read from its
+    start to its end."""
 
     def __init__(self, path: str, bits: int, held: int, data: np.ndarray, at: np.ndarray, folds: np.ndarray) -> None:
         self.path, self.bits, self.held = path, bits, held
@@ -227,53 +331,80 @@ class Shards:
 
     def _fill(self, first: int) -> None:
         self.low, self.high = first, min(len(self.data), first + SPAN)
-        n, more = self.high - first, self.bits - self.held
-        large = len(ORDERS) - 2
-        contexts, fold = np.empty((large, n), np.uint32), np.empty(n, np.uint8)
+        n, more, top = self.high - first, self.bits - self.held, self.bits - PAGE_BITS
+        contexts, fold = np.empty((len(ORDERS), n), np.uint32), np.empty(n, np.int64)
         for rows, sizes, low, high, before in _windows(self.data, self.at, first, self.high):
-            for o, c in enumerate(_contexts(before, self.bits)[2:]):
+            for o, c in enumerate(_contexts(before)):
                 contexts[o, low - first : high - first] = c
             fold[low - first : high - first] = np.repeat(1 - self.folds[rows], sizes)
-        self.odds = np.empty((large, n, 8), np.int8)
-        for o in range(large):
-            shard = contexts[o] >> np.uint32(self.held)
+        self.odds = np.empty((len(ORDERS), 8, n), np.int8)
+        own = (1 << top - more) - 1  # pages of a fold in a shard, less one
+        for o in range(len(ORDERS)):
+            shard = (contexts[o].astype(np.int64) >> 32 - more).astype(np.uint32)
             order = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[order], np.arange((1 << more) + 1))
             for k, (a, b) in enumerate(zip(edges, edges[1:])):
                 if a == b:
                     continue
-                number = (o << more) + k
-                table = _read(f"{self.path}/shard={number + 1}", _SMALL + (number << self.held), 1 << self.held)
+                table = _read(f"{self.path}/shard={(o << more) + k}", 2 << self.held, lambda page: (page >> top & 1) << top - more | page & own)
                 for low in range(a, b, 1 << 18):
                     some = order[low : min(b, low + (1 << 18))]
-                    slot = ((contexts[o, some] & np.uint32((1 << self.held) - 1)).astype(np.int64) * 2 + fold[some]) << 8
-                    self.odds[o, some] = table.take(_PATH.take(self.data[first + some], axis=0) + slot[:, None])
+                    page = (contexts[o, some].astype(np.int64) >> 32 - top) & own
+                    base = fold[some] << self.held | page << PAGE_BITS
+                    self.odds[o][:, some] = _odds(table, base, contexts[o, some], *_nodes(self.data[first + some]))
 
-    def take(self, o: int, at: np.ndarray) -> np.ndarray:
-        """Those of the large order ``o`` at the places of ``at``."""
+    def look(self, o: int, contexts: np.ndarray, way: tuple[np.ndarray, np.ndarray], folds: np.ndarray, at: np.ndarray) -> np.ndarray:
         if len(self.data) <= SPAN:
             if not self.high:
                 self._fill(0)
         elif at[0, 0] >= self.high:  # SPAN is a number of blocks
             self._fill(int(at[0, 0]))
-        return self.odds[o].take(at - self.low, axis=0, mode="clip")  # places that don't count lie outside
+        return self.odds[o].take(at - self.low, axis=1, mode="clip").swapaxes(0, 1)  # places that don't count lie outside
+
+
+def _eights(data: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from places to the eight bytes before each, as one number with
+    the last byte highest; what lies before the data doesn't count."""
+    if len(data) > 1 << 24:
+        return lambda at: data.take(at[..., None] + _EIGHT, mode="clip").view("<u8")[..., 0]
+    padded = np.concatenate([np.zeros(8, np.uint8), data])
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8")[:, 0]
+    return lambda at: words.take(at, mode="clip")
 
 
-def cost(table: np.ndarray, bits: int, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, folds: np.ndarray, shards: Shards | None = None) -> np.ndarray:
-    """Bits that each of some texts costs, under the other fold's counts. Texts
-    advance together, a block at a time, each with its own weights. With
-    ``shards``, the table has the orders of 1 and 2."""
-    base = np.cumsum([0, *_slots(bits)])
+def _histogram(row: np.ndarray, byte: np.ndarray, live: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text's live bytes: how often each node's bit was 0 and 1 [n, 256]."""
+    leaves = np.bincount((row + byte)[live], minlength=n << 8)[: n << 8].reshape(n, 256).astype(np.float32)
+    zero, one = np.zeros((n, 256), np.float32), np.zeros((n, 256), np.float32)
+    for low in (128, 64, 32, 16, 8, 4, 2, 1):
+        zero[:, low : 2 * low], one[:, low : 2 * low] = leaves[:, ::2], leaves[:, 1::2]
+        leaves = leaves[:, ::2] + leaves[:, 1::2]
+    return zero, one
+
+
+def cost(model: Table | Shards, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, folds: np.ndarray) -> np.ndarray:
+    """Bits that each of some texts costs, from the longest to the shortest, under
+    the other fold's counts. Texts advance together, a block at a time, each with
+    its own weights, map, counters and matches, which change after the block."""
     out = np.zeros(len(sizes))
+    step, eights = np.float32(1 / SCALE), _eights(data)
     for first in range(0, len(sizes), TOGETHER):
-        rows = slice(first, first + TOGETHER)  # from the longest to the shortest
-        start, size, fold = starts[rows], sizes[rows], 1 - folds[rows]
+        rows = slice(first, first + TOGETHER)
+        start, size, fold = starts[rows], sizes[rows], folds[rows]
         n = len(size)
-        weights = [np.full((n, 3, 8), w, np.float32) for w in START_WEIGHTS]
-        scale, shift, total = np.ones((n, 1, 8), np.float32), np.zeros((n, 1, 8), np.float32), np.zeros(n)
-        for low in range(0, int(size[0]) if n else 0, BLOCK):
+        weights = [np.full((n, 8, 3), w, np.float32) for w in START_WEIGHTS]
+        shifts, total = np.zeros((n, 24 * LEVELS), np.float32), np.zeros(n)
+        zero, one = np.full((n, 256), FEW, np.float32), np.full((n, 256), FEW, np.float32)
+        wrong, right = np.ones((n, len(_BELIEF)), np.float32), np.tile(_BELIEF, (n, 1))
+        own_bits = np.array([min(18, max(8, int(x).bit_length())) for x in size])  # of a text's table of matches
+        most_bits = int(own_bits.max()) if n else 0
+        seen = np.zeros((n, 1 << most_bits), np.int32)
+        high = 0
+        while n and high < size[0]:
+            low, high = high, high + (BLOCK if high < EARLY else 4 * BLOCK)
             n = int(np.searchsorted(-size, -low))  # those that are longer
-            place = np.arange(low, low + BLOCK)
+            each = np.arange(n)[:, None]
+            place = np.arange(low, high)
             live = place < size[:n, None]
             at = start[:n, None] + np.where(live, place, 0)
             byte = data.take(at)
@@ -282,30 +413,69 @@ def cost(table: np.ndarray, bits: int, data: np.ndarray, starts: np.ndarray, siz
                 before.append(data.take(at - k, mode="clip"))
                 if low == 0:
                     before[-1][:, :k] = 0
-            path, sign = _PATH.take(byte, axis=0), _SIGN.take(byte, axis=0)
-            gate = _ONE_HOT.take(before[0], axis=0)
-            odds, x = np.zeros((n, BLOCK, 8), np.float32), []
-            for o, context in enumerate(_contexts(before, bits)):
-                x.append(shards.take(o - 2, at) if shards and o > 1 else table.take(path + (((base[o] + context) * 2 + fold[:n, None]) << 8)[..., None]))
-                part = np.matmul(gate, weights[o][:n])
-                part *= x[o]
-                odds += part
-            odds *= np.float32(1 / SCALE)
-            e = odds * scale[:n]
-            e += shift[:n]
+            contexts = _contexts(before)
+            path, sign = _paths(byte), _signs(byte)
+            kind = _KIND.take(before[0])
+            gate = (kind[:, None, :] == np.arange(3)[:, None]).astype(np.float32)
+            way = _nodes(byte)
+            x = [model.look(o, c, way, fold[:n], at) * step for o, c in enumerate(contexts)]
+
+            x.append(np.log(one[:n] / zero[:n]).take(path + (each << 8)[..., None]))
+
+            slot = (each << most_bits) + (contexts[-1] >> (32 - own_bits[:n, None]).astype(np.uint32))
+            if low:  # before, nothing has stood
+                last = seen.take(slot)  # the place after the one where the context stood
+                there = start[:n, None] + last - 1
+                apart = eights(there) ^ eights(at)
+                length = ((last > 5) & (apart < 1 << 24)).astype(np.int64)
+                same = (last > 8) & (apart == 0)
+                for k in (8, 16, 24, 32):
+                    length += same
+                    if k == 32 or not same.any():
+                        break
+                    same &= (last > k + 8) & (eights(there - k) == eights(at - k))
+                guess = data.take(there, mode="clip")
+                differ = np.where((length > 0) & live, guess ^ byte, np.uint16(256))
+                agree = differ[:, None, :] < (256 >> _BIT).astype(np.uint16)  # the bits before are right
+                hit = differ[:, None, :] < (128 >> _BIT).astype(np.uint16)
+                belief = np.log(right[:n] / wrong[:n]).take(each * len(_BELIEF) + length)
+                guessed = belief[:, None, :] * sign
+                guessed *= (hit.view(np.int8) << 1) - agree.view(np.int8)  # against the bit, if this one is wrong
+                x.append(guessed)
+
+            z, part = np.zeros(path.shape, np.float32), None
+            for w, one_x in zip(weights, x):
+                part = np.matmul(w[:n], gate, out=part)
+                part *= one_x
+                z += part
+            level = np.clip(z * np.float32(LEVELS / (2 * LEVEL)) + np.float32(LEVELS / 2), 0, LEVELS - 1).astype(np.int32)
+            level += ((each * 24 + kind * 8) * LEVELS).astype(np.int32)[:, None, :]
+            level += (_BIT * LEVELS).astype(np.int32)
+            e = z + shifts.take(level)
             e *= sign
             np.exp(np.minimum(np.negative(e, out=e), 30, out=e), out=e)
             if not live.all():
-                e *= live[..., None]
+                e *= live[:, None, :]
             miss = e + 1
-            total[:n] += np.log(miss).sum((1, 2), dtype=np.float64)
+            total[:n] += np.log(miss).sum(2).sum(1, dtype=np.float64)
             np.divide(e, miss, out=miss)
             miss *= sign
-            turned = np.swapaxes(gate, 1, 2)
-            for o in range(len(ORDERS)):
-                weights[o][:n] += np.float32(RATE / SCALE) * np.matmul(turned, np.multiply(miss, x[o], out=part))
-            scale[:n] += np.float32(LAST_RATE / 8) * np.matmul(_ONES, np.multiply(miss, odds, out=part))
-            shift[:n] += np.float32(LAST_RATE) * np.matmul(_ONES, miss)
+
+            turned, damp = np.swapaxes(gate, 1, 2), BLOCK / (high - low)  # a longer block doesn't take a longer step
+            for w, one_x in zip(weights, x):
+                w[:n] += np.float32(RATE * damp) * np.matmul(np.multiply(miss, one_x, out=part), turned)
+            moved = np.bincount(level.ravel(), miss.ravel(), minlength=n * 24 * LEVELS)
+            shifts[:n] += np.float32(MAP_RATE * damp) * moved.reshape(n, -1).astype(np.float32)
+            for old, new in zip((zero, one), _histogram(each << 8, byte, live, n)):
+                old[:n] += new
+            much = zero[:n] + one[:n] > MANY
+            if much.any():
+                zero[:n][much], one[:n][much] = zero[:n][much] / 2 + FEW / 2, one[:n][much] / 2 + FEW / 2
+            if low:
+                which = (each * len(_BELIEF) + length).ravel()
+                for old, new in ((right, _RIGHT.take(differ)), (wrong, (differ & 255) > 0)):
+                    old[:n] += np.bincount(which, new.ravel(), minlength=n * len(_BELIEF)).reshape(n, -1)
+            seen.reshape(-1)[slot[live]] = np.broadcast_to(place + 1, live.shape)[live]
         out[rows] = total / math.log(2)
     return out
 
@@ -343,7 +513,7 @@ def score(docs: DataFrame, model: tuple[str, int, int], text: str = "text", keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches if held == bits else _together(batches, text):
-            table = load(where, bits, held)
+            whole_table = Table(where, bits, held) if held == bits else None
             for first, last in steps(utf8(only(whole, text))[1], 1 << 22 if held == bits else SPAN):
                 batch = whole.slice(first, last - first)
                 known = np.asarray(only(batch, text).is_valid())
@@ -352,8 +522,7 @@ def score(docs: DataFrame, model: tuple[str, int, int], text: str = "text", keep
                 order = np.argsort(-sizes, kind="stable")
                 found = np.zeros(len(sizes))
                 folds = only(batch, fold_name).to_numpy(zero_copy_only=False)
-                shards = None if held == bits else Shards(where, bits, held, data, at, folds)
-                found[order] = cost(table, bits, data, at[:-1][order], sizes[order], folds[order], shards)
+                found[order] = cost(whole_table or Shards(where, bits, held, data, at, folds), data, at[:-1][order], sizes[order], folds[order])
                 per = found / np.maximum(sizes, 1)
                 yield pa.RecordBatch.from_arrays([*[only(batch, f.name) for f in kept], pa.array(sizes, mask=~known), pa.array(np.round(found, 2), mask=~known), pa.array(np.round(per, 4), mask=~known | (sizes == 0))], names=schema.names)
 
