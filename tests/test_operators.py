@@ -416,3 +416,19 @@ def test_samples_and_preview(spark):
     assert set(sample) == {"firms_a", "firms_b", "products"} and tables.preview(sample["products"], 2).count() == 2
     found = linkage.merge(sample["firms_a"], sample["firms_b"], left_on="firm", right_on="company", left_id="id", right_id="number")
     assert {(r.id, r.number) for r in found.collect()} >= {(1, 101), (2, 102), (3, 103)}
+
+
+def test_older_names_of_the_judged_merge(spark):
+    left, right = spark.createDataFrame([(1, "acme")], "i int, n string"), spark.createDataFrame([(2, "acme corp")], "j int, m string")
+    asking = judge.Judge(lambda prompt, payload: "yes 0.9")
+    options = {"left_on": "n", "right_on": "m", "k": 1, "left_id": "i", "right_id": "j"}
+    want = judge.merge_k_judge(left, right, asking, **options).collect()
+    assert judge.merge_knn_with_llm(left, right, asking, **options).collect() == want and want[0].llm_is_match == 1
+    with pytest.warns(DeprecationWarning, match="merge_k_judge"):
+        assert judge.merge_knn_openai(left, right, asking, **options).collect() == want
+
+
+def test_pairs_of_label_one(spark):
+    rows_ = [("a", "x", 1), ("a", "y", 0), ("b", "z", 1), ("b", None, 1)]
+    pairs = prep.prepare_pairs(spark.createDataFrame(rows_, "l string, r string, label int"), ["l"], ["r"], ["l"], ["r"], label="label")
+    assert sorted(sorted(r.texts) for r in prep.positive_clusters(pairs).collect()) == [["a", "x"], ["b", "z"]]
