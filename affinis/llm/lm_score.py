@@ -64,8 +64,9 @@ _BELIEF = np.array([1, 2, 5, 12, 30, 80], np.float32)
 _EIGHT = np.arange(-8, 0)
 _HASH = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 #: The kind of the byte before: letter or digit, other ASCII, beyond ASCII.
-_KIND = np.array([0 if chr(b).isalnum() and b < 128 else 1 if b < 128 else 2 for b in range(256)])
-_BIT = np.arange(8)[:, None]
+_KIND = np.array([0 if chr(b).isalnum() and b < 128 else 1 if b < 128 else 2 for b in range(256)], np.uint8)
+_BIT = np.arange(8, dtype=np.uint8)[:, None]
+_ONE = np.uint8(1)
 #: By the difference of a guess and a byte (256 for no guess): the leading bits that are right.
 _RIGHT = np.array([8 - x.bit_length() for x in range(256)] + [0], np.float32)
 
@@ -82,7 +83,10 @@ def _contexts(before: list[np.ndarray]) -> list[np.ndarray]:
     h, done = np.zeros(before[0].shape, np.uint32), 0
     for order in ORDERS:
         for k in range(done, order):
-            h = (h + before[k]) * _HASH[k] + (h >> np.uint32(15))
+            late = h >> np.uint32(15)
+            h += before[k]
+            h *= _HASH[k]
+            h += late
         done = order
         c = h * np.uint32(0x9E3779B1)
         c ^= c >> np.uint32(16)
@@ -93,26 +97,33 @@ def _contexts(before: list[np.ndarray]) -> list[np.ndarray]:
 
 def _paths(byte: np.ndarray) -> np.ndarray:
     """The nodes that bytes [.., n] pass [.., 8, n]: a 1, and the bits so far."""
-    return byte.astype(np.uint32)[..., None, :] >> (8 - _BIT).astype(np.uint32) | (1 << _BIT).astype(np.uint32)
+    out = byte[..., None, :] >> 8 - _BIT
+    out |= _ONE << _BIT
+    return out
 
 
 def _signs(byte: np.ndarray) -> np.ndarray:
     """1 for a bit that is 1, else -1 [.., 8, n]."""
-    out = (byte[..., None, :] >> (7 - _BIT).astype(np.uint8) & np.uint8(1)).astype(np.float32)
-    out *= 2
-    out -= 1
+    out = ((byte[..., None, :] & np.uint8(128) >> _BIT) > 0).view(np.int8)
+    out += out
+    out -= np.int8(1)
     return out
 
 
-def _lines(contexts: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _lines(contexts: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The 15 nodes of half a byte lie together, in a line of 16 places. For
     hashes of contexts and what stands before the half (1, or 16 and the first
-    half): where in the page the line begins, how its places are mixed, and a
-    number with the check in its lowest byte."""
+    half): where in the page the line begins, with how its places are mixed in
+    the lowest four bits, and a number with the check in its lowest byte."""
     h = (contexts * np.uint32(0xC2B2AE3D)) ^ (prefix * np.uint32(0x9E3779B1))
     h *= np.uint32(0x27D4EB2F)
     h ^= h >> np.uint32(15)
-    return (h >> np.uint32(36 - PAGE_BITS) << np.uint32(4)).astype(np.int64), (h >> np.uint32(8) & np.uint32(15)).astype(np.int64), h.astype(np.int16)
+    line = h >> np.uint32(32 - PAGE_BITS)
+    line &= np.uint32((1 << PAGE_BITS) - 16)
+    turn = h >> np.uint32(8)
+    turn &= np.uint32(15)
+    line |= turn
+    return line.astype(np.int64), h.astype(np.int16)
 
 
 def _place(contexts: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,8 +131,8 @@ def _place(contexts: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarr
     context's page, and the check."""
     late = node >= 16
     level = np.floor(np.log2(node)).astype(np.int64) - np.where(late, 4, 0)
-    begin, turn, check = _lines(contexts, np.where(late, node >> level, 1).astype(np.uint32))
-    return begin + ((1 << level | node & (1 << level) - 1) ^ turn), check & 0xFF
+    line, check = _lines(contexts, np.where(late, node >> level, 1).astype(np.uint32))
+    return (1 << level | node & (1 << level) - 1) ^ line, check & 0xFF
 
 
 def _windows(data: np.ndarray, at: np.ndarray, first: int, last: int) -> Iterator[tuple[slice, np.ndarray, int, int, list[np.ndarray]]]:
@@ -281,24 +292,24 @@ def _read(path: str, entries: int, where: Callable[[int], int]) -> np.ndarray:
 def _nodes(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For bytes [.., n]: what stands before each half [.., 2, n], and the nodes
     that the halves pass [.., 2, 4, n]."""
-    first = (byte >> np.uint8(4)).astype(np.uint32)
-    halves = np.stack([first, (byte & np.uint8(15)).astype(np.uint32)], -2)
-    prefix = np.stack([np.ones_like(first), first | np.uint32(16)], -2)
-    level = np.arange(4)[:, None]
-    return prefix, halves.astype(np.int64)[..., None, :] >> 4 - level | 1 << level
+    nodes = _paths(byte)
+    prefix = nodes[..., ::4, :].astype(np.uint32)
+    late = nodes[..., 4:, :]
+    late &= (_ONE << _BIT[:4]) - _ONE
+    late |= _ONE << _BIT[:4]
+    return prefix, nodes.astype(np.int64).reshape(*byte.shape[:-1], 2, 4, byte.shape[-1])
 
 
 def _odds(table: np.ndarray, base: np.ndarray, contexts: np.ndarray, prefix: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """Log-odds in steps [.., 8, n] on the way of bytes (``_nodes``) under contexts
     [.., n], whose pages begin at ``base``; 0 for what the table doesn't know."""
-    begin, turn, check = _lines(contexts[..., None, :], prefix)
-    begin += base[..., None, :]
-    at = nodes ^ turn[..., None, :]
-    at += begin[..., None, :]
-    found = table.take(at)
-    known = ((found ^ check[..., None, :]) & np.int16(0xFF)) == 0
+    line, check = _lines(contexts[..., None, :], prefix)
+    line += base[..., None, :]
+    found = table.take(nodes ^ line[..., None, :], mode="clip")  # none lies outside
+    known = found ^ check[..., None, :]
+    known &= np.int16(0xFF)
     found >>= np.int16(8)
-    found *= known
+    found *= known == 0
     return found.reshape(*found.shape[:-3], 8, found.shape[-1])
 
 
@@ -368,13 +379,14 @@ def _eights(data: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     if len(data) > 1 << 24:
         return lambda at: data.take(at[..., None] + _EIGHT, mode="clip").view("<u8")[..., 0]
     padded = np.concatenate([np.zeros(8, np.uint8), data])
-    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8")[:, 0]
+    words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,)).copy()
     return lambda at: words.take(at, mode="clip")
 
 
 def _histogram(row: np.ndarray, byte: np.ndarray, live: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each text's live bytes: how often each node's bit was 0 and 1 [n, 256]."""
-    leaves = np.bincount((row + byte)[live], minlength=n << 8)[: n << 8].reshape(n, 256).astype(np.float32)
+    leaf = row + byte
+    leaves = np.bincount(leaf.ravel() if live.all() else leaf[live], minlength=n << 8).reshape(n, 256).astype(np.float32)
     zero, one = np.zeros((n, 256), np.float32), np.zeros((n, 256), np.float32)
     for low in (128, 64, 32, 16, 8, 4, 2, 1):
         zero[:, low : 2 * low], one[:, low : 2 * low] = leaves[:, ::2], leaves[:, 1::2]
@@ -382,6 +394,17 @@ def _histogram(row: np.ndarray, byte: np.ndarray, live: np.ndarray, n: int) -> t
     return zero, one
 
 
+def _wide(values: np.ndarray, width: int) -> np.ndarray:
+    """Values [.., n] with zeros up to a block's whole width: sums over blocks of
+    one width come out alike, however long a text's neighbours are."""
+    n = values.shape[-1]
+    if n == width:
+        return values
+    out = np.zeros((*values.shape[:-1], width), values.dtype)
+    out[..., :n] = values
+    return out
+
+
 def cost(model: Table | Shards, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, folds: np.ndarray) -> np.ndarray:
     """Bits that each of some texts costs, from the longest to the shortest, under
     the other fold's counts. Texts advance together, a block at a time, each with
@@ -392,21 +415,23 @@ def cost(model: Table | Shards, data: np.ndarray, starts: np.ndarray, sizes: np.
         rows = slice(first, first + TOGETHER)
         start, size, fold = starts[rows], sizes[rows], folds[rows]
         n = len(size)
-        weights = [np.full((n, 8, 3), w, np.float32) for w in START_WEIGHTS]
+        weights = np.tile(np.repeat(np.array(START_WEIGHTS, np.float32), 8)[:, None], (n, 1, 3))
         shifts, total = np.zeros((n, 24 * LEVELS), np.float32), np.zeros(n)
         zero, one = np.full((n, 256), FEW, np.float32), np.full((n, 256), FEW, np.float32)
         wrong, right = np.ones((n, len(_BELIEF)), np.float32), np.tile(_BELIEF, (n, 1))
         own_bits = np.array([min(18, max(8, int(x).bit_length())) for x in size])  # of a text's table of matches
         most_bits = int(own_bits.max()) if n else 0
         seen = np.zeros((n, 1 << most_bits), np.int32)
+        room = np.empty((2, n * len(START_WEIGHTS) * 8 * min(int(size[0]), 4 * BLOCK)) if n else 0, np.float32)
         high = 0
         while n and high < size[0]:
             low, high = high, high + (BLOCK if high < EARLY else 4 * BLOCK)
             n = int(np.searchsorted(-size, -low))  # those that are longer
             each = np.arange(n)[:, None]
-            place = np.arange(low, high)
+            place = np.arange(low, min(high, int(size[0])))  # beyond, no text has bytes
             live = place < size[:n, None]
-            at = start[:n, None] + np.where(live, place, 0)
+            every = bool(live.all())
+            at = start[:n, None] + (place if every else np.where(live, place, 0))
             byte = data.take(at)
             before = []
             for k in range(1, max(ORDERS) + 1):
@@ -414,56 +439,68 @@ def cost(model: Table | Shards, data: np.ndarray, starts: np.ndarray, sizes: np.
                 if low == 0:
                     before[-1][:, :k] = 0
             contexts = _contexts(before)
-            path, sign = _paths(byte), _signs(byte)
+            turn = _signs(byte)
+            path, sign = _paths(byte).astype(np.int64), turn.astype(np.float32)
+            path += (each << 8)[..., None]
             kind = _KIND.take(before[0])
-            gate = (kind[:, None, :] == np.arange(3)[:, None]).astype(np.float32)
+            gate = (kind[:, None, :] == np.arange(3, dtype=np.uint8)[:, None]).astype(np.float32)
             way = _nodes(byte)
-            x = [model.look(o, c, way, fold[:n], at) * step for o, c in enumerate(contexts)]
-
-            x.append(np.log(one[:n] / zero[:n]).take(path + (each << 8)[..., None]))
+            many = len(START_WEIGHTS) - (not low)  # of the predictors; before the first block, nothing has stood
+            x, part = (r[: n * many * path[0].size].reshape(n, many, *path.shape[1:]) for r in room)
+            for o, c in enumerate(contexts):
+                x[:, o] = model.look(o, c, way, fold[:n], at)
+                x[:, o] *= step
+            x[:, len(ORDERS)] = np.log(one[:n] / zero[:n]).take(path, mode="clip")
 
             slot = (each << most_bits) + (contexts[-1] >> (32 - own_bits[:n, None]).astype(np.uint32))
-            if low:  # before, nothing has stood
-                last = seen.take(slot)  # the place after the one where the context stood
+            if low:
+                last = seen.take(slot, mode="clip")  # the place after the one where the context stood
                 there = start[:n, None] + last - 1
                 apart = eights(there) ^ eights(at)
                 length = ((last > 5) & (apart < 1 << 24)).astype(np.int64)
-                same = (last > 8) & (apart == 0)
-                for k in (8, 16, 24, 32):
-                    length += same
-                    if k == 32 or not same.any():
-                        break
-                    same &= (last > k + 8) & (eights(there - k) == eights(at - k))
-                guess = data.take(there, mode="clip")
-                differ = np.where((length > 0) & live, guess ^ byte, np.uint16(256))
-                agree = differ[:, None, :] < (256 >> _BIT).astype(np.uint16)  # the bits before are right
-                hit = differ[:, None, :] < (128 >> _BIT).astype(np.uint16)
-                belief = np.log(right[:n] / wrong[:n]).take(each * len(_BELIEF) + length)
-                guessed = belief[:, None, :] * sign
-                guessed *= (hit.view(np.int8) << 1) - agree.view(np.int8)  # against the bit, if this one is wrong
-                x.append(guessed)
-
-            z, part = np.zeros(path.shape, np.float32), None
-            for w, one_x in zip(weights, x):
-                part = np.matmul(w[:n], gate, out=part)
-                part *= one_x
-                z += part
-            level = np.clip(z * np.float32(LEVELS / (2 * LEVEL)) + np.float32(LEVELS / 2), 0, LEVELS - 1).astype(np.int32)
-            level += ((each * 24 + kind * 8) * LEVELS).astype(np.int32)[:, None, :]
-            level += (_BIT * LEVELS).astype(np.int32)
-            e = z + shifts.take(level)
+                same = np.flatnonzero((last > 8) & (apart == 0))
+                length.reshape(-1)[same] += 1
+                for k in (8, 16, 24):
+                    a, b = there.take(same) - k, at.take(same) - k
+                    same = same[(last.take(same) > k + 8) & (eights(a) == eights(b))]
+                    length.reshape(-1)[same] += 1
+                off = data.take(there, mode="clip") ^ byte  # of the guess
+                guessed = (length > 0) & live
+                differ = np.where(guessed, off, np.uint16(256))
+                belief = np.log(right[:n] / wrong[:n]).take(each * len(_BELIEF) + length) * guessed
+                hit = (off[:, None, :] <= np.uint8(127) >> _BIT).view(np.int8)
+                hit += hit
+                hit -= (off[:, None, :] <= np.uint8(255) >> _BIT).view(np.int8)
+                turn *= hit  # against the bit, if it is the first that is wrong; none after it
+                np.multiply(belief[:, None, :], turn, out=x[:, -1])
+
+            np.matmul(weights[:n, : many * 8], gate, out=part.reshape(n, many * 8, -1))
+            part *= x
+            z = part.sum(1)
+            scaled = z * np.float32(LEVELS / (2 * LEVEL))
+            scaled += np.float32(LEVELS / 2)
+            level = np.clip(scaled, 0, LEVELS - 1, out=scaled).astype(np.int32)
+            level += ((each * 24 + kind * np.int64(8)) * LEVELS).astype(np.int32)[:, None, :]
+            level += _BIT * np.int32(LEVELS)
+            level = level.astype(np.int64)
+            e = shifts.take(level, mode="clip")
+            e += z
             e *= sign
-            np.exp(np.minimum(np.negative(e, out=e), 30, out=e), out=e)
-            if not live.all():
+            np.negative(e, out=e)
+            if e.max() > 30:
+                np.minimum(e, 30, out=e)
+            np.exp(e, out=e)
+            if not every:
                 e *= live[:, None, :]
             miss = e + 1
-            total[:n] += np.log(miss).sum(2).sum(1, dtype=np.float64)
+            total[:n] += _wide(np.log(miss), high - low).sum(2).sum(1, dtype=np.float64)
             np.divide(e, miss, out=miss)
             miss *= sign
 
-            turned, damp = np.swapaxes(gate, 1, 2), BLOCK / (high - low)  # a longer block doesn't take a longer step
-            for w, one_x in zip(weights, x):
-                w[:n] += np.float32(RATE * damp) * np.matmul(np.multiply(miss, one_x, out=part), turned)
+            turned, damp = np.swapaxes(_wide(gate, high - low), 1, 2), BLOCK / (high - low)  # a longer block doesn't take a longer step
+            for i in range(many):
+                np.multiply(miss, x[:, i], out=part[:, i])
+            weights[:n, : many * 8] += np.float32(RATE * damp) * np.matmul(_wide(part.reshape(n, many * 8, -1), high - low), turned)
             moved = np.bincount(level.ravel(), miss.ravel(), minlength=n * 24 * LEVELS)
             shifts[:n] += np.float32(MAP_RATE * damp) * moved.reshape(n, -1).astype(np.float32)
             for old, new in zip((zero, one), _histogram(each << 8, byte, live, n)):
@@ -475,7 +512,12 @@ def cost(model: Table | Shards, data: np.ndarray, starts: np.ndarray, sizes: np.
                 which = (each * len(_BELIEF) + length).ravel()
                 for old, new in ((right, _RIGHT.take(differ)), (wrong, (differ & 255) > 0)):
                     old[:n] += np.bincount(which, new.ravel(), minlength=n * len(_BELIEF)).reshape(n, -1)
-            seen.reshape(-1)[slot[live]] = np.broadcast_to(place + 1, live.shape)[live]
+            if high < size[0]:
+                after = np.broadcast_to(place.astype(np.int32) + np.int32(1), live.shape)
+                if every:
+                    seen.reshape(-1)[slot] = after
+                else:
+                    seen.reshape(-1)[slot[live]] = after[live]
         out[rows] = total / math.log(2)
     return out
 

@@ -227,3 +227,28 @@ def test_pairs_that_a_task_sends_on_early(spark, monkeypatch):
         return [r for b in L._pages(iter([one])) for r in b.to_pylist()]
 
     assert len(parts) > len(whole) and table(parts) == table(whole)
+
+
+class Blank:
+    """A table that knows nothing, and tells how many places were asked for."""
+
+    asked = 0
+
+    def look(self, o, contexts, way, folds, at):
+        self.asked += contexts.size
+        return np.zeros((len(contexts), 8, contexts.shape[1]), np.int16)
+
+
+def test_no_work_beyond_the_longest_text():
+    """The rest of a block is left out, with the same cost to the last bit as
+    beside a text that fills the block."""
+    r = random.Random(9)
+    for n in (1, 3, 258, 700, 4097, 6000):
+        data = np.frombuffer(bytes(r.choice(b"abc \xc3\xa9") for _ in range(n + 9000)), np.uint8)
+        alone, beside = Blank(), Blank()
+        fold = np.array([0, 1])
+        got = L.cost(alone, data, np.array([0]), np.array([n]), fold[:1])
+        assert alone.asked == n * len(L.ORDERS)
+        assert got[0] == L.cost(beside, data, np.array([n, 0]), np.array([9000, n]), fold)[1]
+    assert len(L.cost(Blank(), data[:0], fold[:0], fold[:0], fold[:0])) == 0
+    assert L.cost(Blank(), data[:0], np.array([0]), np.array([0]), fold[:1]).tolist() == [0]
