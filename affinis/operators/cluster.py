@@ -143,6 +143,12 @@ def hdbscan(x: np.ndarray, min_cluster_size: int, min_samples: int) -> np.ndarra
         done[k] = True
         closer = (reach[k] < near) & ~done
         near[closer], source[closer] = reach[k][closer], k
+    return densest(edges, n, min_cluster_size)
+
+
+def densest(edges: list[tuple[float, int, int]], n: int, min_cluster_size: int) -> np.ndarray:
+    """Labels from the edges (length, end, end) of a spanning tree of ``n`` rows;
+    edges that close a circle are left out."""
     # single-linkage tree
     parent, node, size = list(range(2 * n - 1)), list(range(n)), [1] * n + [0] * (n - 1)
     children: dict[int, tuple[int, int, float]] = {}
@@ -153,8 +159,12 @@ def hdbscan(x: np.ndarray, min_cluster_size: int, min_samples: int) -> np.ndarra
             i = parent[i]
         return i
 
-    for k, (w, a, b) in enumerate(sorted(edges)):
+    k = 0
+    for w, a, b in sorted(edges):
         a, b, new = find(a), find(b), n + k
+        if a == b:
+            continue
+        k += 1
         children[new] = (a, b, w)
         size[new] = size[a] + size[b]
         parent[a] = parent[b] = new
@@ -169,8 +179,8 @@ def hdbscan(x: np.ndarray, min_cluster_size: int, min_samples: int) -> np.ndarra
                 todo += children[i][:2]
         return out
 
-    # condensed tree: clusters with their birth, points' exits, and children
-    clusters = [{"birth": 0.0, "mass": 0.0, "kids": [], "points": leaves(2 * n - 2)}]
+    # condensed tree: clusters with their birth, their node of the tree, and children
+    clusters = [{"birth": 0.0, "mass": 0.0, "kids": [], "top": 2 * n - 2}]
     todo = [(2 * n - 2, 0)]
     while todo:
         top, c = todo.pop()
@@ -181,7 +191,7 @@ def hdbscan(x: np.ndarray, min_cluster_size: int, min_samples: int) -> np.ndarra
             if len(big) == 2:
                 clusters[c]["mass"] += size[top] * (level - clusters[c]["birth"])
                 for x in big:
-                    clusters.append({"birth": level, "mass": 0.0, "kids": [], "points": leaves(x)})
+                    clusters.append({"birth": level, "mass": 0.0, "kids": [], "top": x})
                     clusters[c]["kids"].append(len(clusters) - 1)
                     todo.append((x, len(clusters) - 1))
                 break
@@ -202,12 +212,96 @@ def hdbscan(x: np.ndarray, min_cluster_size: int, min_samples: int) -> np.ndarra
     while todo:
         c = todo.pop()
         if chosen[c]:
-            label[clusters[c]["points"]] = min(clusters[c]["points"])
+            points = leaves(clusters[c]["top"])
+            label[points] = min(points)
         else:
             todo += clusters[c]["kids"]
     return label
 
 
+#: HDBSCAN of at most so many rows is done by one task.
+WHOLE_ROWS = 4096
+#: Neighbours of a row that the first rounds of its spanning tree go by.
+LISTED = 16
+
+
+def _listed_rounds(at: np.ndarray, to: np.ndarray, score: np.ndarray, n: int, samples: int) -> tuple[np.ndarray, list, np.ndarray]:
+    """From every row's nearest neighbours (of best score first): the bounds of
+    their reach, the edges that a component's best one can be told by, and the
+    components that these make."""
+    order = np.lexsort((to, -score, at))
+    k = len(at) // n
+    to, score = to[order].reshape(n, k), score[order].reshape(n, k)
+    core = score[:, min(samples, k) - 1].copy() if samples > 0 else np.ones(n)
+    reach = np.minimum(np.minimum(score, core[:, None]), core[to])
+    beyond = np.minimum(score[:, -1], core) if k < n - 1 else np.full(n, -np.inf)
+    root, edges, own = np.arange(n), [], np.arange(n)
+    while True:
+        r = np.where(root[to] != root[:, None], reach, -np.inf)
+        best = r.max(1)
+        end = np.where(r == best[:, None], to, n).min(1)
+        order = np.lexsort((np.maximum(own, end), np.minimum(own, end), -best, root))
+        first = order[np.r_[True, np.diff(root[order]) != 0]]
+        bound = np.full(n, -np.inf)
+        np.maximum.at(bound, root, beyond)
+        first = first[best[first] > bound[root[first]]]
+        if not len(first):
+            return core, edges, root
+        edges.append((first, end[first], best[first]))
+        similarity.joined(root, [(np.concatenate([first, end[first]]), np.tile(np.arange(len(first)), 2))])
+
+
+def _spanning_edges(items: DataFrame, samples: int, n: int) -> DataFrame:
+    """(a, b, w) of a minimum spanning tree under mutual reachability of ``i``
+    (from 0) and ``v``. The best edge out of a component belongs to it; so in every
+    round all components but the largest look for theirs."""
+    def state(df: DataFrame, component, core) -> DataFrame:
+        return df.select(F.col("i").alias("id"), F.lit("").alias("block"), F.concat(F.array(component.cast("double"), core.cast("double")), "v").alias("v"))
+
+    size = F.size("v") * F.lit(8)
+    every = state(items, F.col("i"), F.lit(2.0))
+    nearest = similarity.streamed(every, every, similarity.Reach(), size, "best", min(max(samples, LISTED), n - 1))
+
+    def begin(part: pd.DataFrame) -> pd.DataFrame:
+        core, edges, root = _listed_rounds(part["left_id"].to_numpy(), part["right_id"].to_numpy(), part["score"].to_numpy(), n, samples)
+        rows = [pd.DataFrame({"a": np.arange(n), "b": root, "w": core, "edge": False})]
+        return pd.concat(rows + [pd.DataFrame({"a": a, "b": b, "w": w, "edge": True}) for a, b, w in edges])
+
+    schema = "a long, b long, w double, edge boolean"
+    start = stash(nearest.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda part: begin(part), schema), "spanning")
+    edges = start.where("edge").select("a", "b", "w")
+    known = start.where("not edge").select(F.col("a").alias("i"), F.col("b").alias("component"), F.col("w").alias("core"))
+    while len(most := known.groupBy("component").count().orderBy(F.desc("count"), "component").limit(2).collect()) > 1:
+        placed = items.join(known, "i")
+        rights = state(placed, F.col("component"), F.col("core"))
+        lefts = state(placed.where(F.col("component") != most[0]["component"]), F.col("component"), F.col("core"))
+        found = similarity.streamed(lefts, rights, similarity.Reach(), size, "best", 1)
+        ends = found.join(known.select(F.col("i").alias("left_id"), "component"), "left_id").join(known.select(F.col("i").alias("right_id"), F.col("component").alias("other")), "right_id")
+        edge = F.struct((-F.col("score")).alias("s"), F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b"), "other")
+        best = stash(ends.groupBy("component").agg(F.min(edge).alias("e")).select("component", "e.other", "e.a", "e.b", (-F.col("e.s")).alias("w")), "best-edges")
+        edges = stash(edges.union(best.select("a", "b", "w")), "spanning")
+        to = connected_components(best.select("component", "other"), "component", "other").select(F.col("node").alias("component"), F.col("component").alias("to"))
+        known = stash(known.join(to, "component", "left").select("i", F.coalesce("to", "component").alias("component"), "core"), "components")
+    return edges
+
+
+def _whole_hdbscan(rows: DataFrame, n: int, size: int, samples: int) -> DataFrame:
+    """``node`` and ``label`` of more rows than one task compares. Where distances
+    are equal, as with more than one sample, the tree is another one of equal
+    length than in one task, and labels that hang on such a choice may differ."""
+    unit = rows.select("node", vectors.normalise(F.col("v")).alias("v"))
+    items = stash(unit.join(dense_ids(rows, ["node"], "i"), "node"), "numbered")
+    edges = _spanning_edges(items, samples, n)
+
+    def read(part: pd.DataFrame) -> pd.DataFrame:
+        w = np.sqrt(np.maximum(2 - 2 * part["w"].to_numpy(), 0))
+        label = densest(list(zip(w.tolist(), part["a"].tolist(), part["b"].tolist())), n, size)
+        return pd.DataFrame({"i": np.arange(n), "label": label.astype(str)})
+
+    found = edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda part: read(part), "i long, label string")
+    return items.select("node", "i").join(found, "i").select("node", "label")
+
+
 def _vectors(df: DataFrame, on: list[str], embedder: Embedder, id: str) -> DataFrame:
     if isinstance(embedder, Precomputed):
         return df.select(col(id).alias("node"), col(embedder.column).cast("array<double>").alias("v"))
@@ -317,6 +411,9 @@ def cluster_labels(df: DataFrame, on: Keys, embedder: Embedder, cluster_type: st
     rows = _vectors(df, keys, embedder, id)
     if cluster_type == "HDBScan":
         size, samples = p["min cluster size"], p["min samples"]
+        rows = stash(rows, "vectors")
+        if (n := rows.count()) > WHOLE_ROWS:
+            return _numbered(stash(_whole_hdbscan(rows, n, size, samples), "labels"), id)
 
         def whole(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("node")
